@@ -63,7 +63,7 @@ CTES = {
              ELSE 'missing_book' END AS reason,
         round((value - 20) / 100, 4) AS raw_gap, round((value - 21) / 100, 4) AS edge_after_fee,
         CASE WHEN event_type <> 'error' THEN round((value - 22) / 100, 4) END AS after_cost_edge,
-        round(value / 400, 4) AS spread, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+        round(value / 400, 6) AS spread, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
         FROM events LEFT JOIN cities c ON c.c_custkey = user_id)""",
 }
 NEEDS = {
@@ -250,7 +250,7 @@ def opportunities(spark: SparkSession, sf: str) -> DataFrame:
             F.round((value - 20) / 100, 4).alias("raw_gap"),
             F.round((value - 21) / 100, 4).alias("edge_after_fee"),
             F.when(F.col("event_type") != "error", F.round((value - 22) / 100, 4)).alias("after_cost_edge"),
-            F.round(value / 400, 4).alias("spread"),
+            F.round(value / 400, 6).alias("spread"),
             F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         )
     )
