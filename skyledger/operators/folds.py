@@ -87,13 +87,26 @@ def date_folds(df: DataFrame, date: str, folds: int) -> DataFrame:
     return df.join(marked, df[date] == marked["__d"]).drop("__d")
 
 
-def validation_starts(n_groups: Column, n_splits: int, min_train: int) -> Column:
-    """Start ordinals of k expanding validation folds: equal steps after the
-    minimum training part; a 20 % tail where there are too few groups."""
-    step = F.floor((n_groups - min_train) / n_splits)
-    regular = F.transform(F.sequence(F.lit(0), F.lit(n_splits - 1)), lambda k: (F.lit(min_train) + k * step).cast("bigint"))
-    tail = F.array(F.greatest(F.floor(n_groups * 0.8), F.lit(1)).cast("bigint"))
-    return F.when(step >= 1, regular).otherwise(tail)
+def validation_folds(df: DataFrame, group: Sequence[str], n_splits: int = 4, min_train: int = 16) -> DataFrame:
+    """Rows with their group ordinal and the fold that validates them (null: none).
+
+    A validation part is 1/(n_splits + 1) of the groups. The first starts after
+    ``min_train`` groups, the rest follow while they are full; where none fits,
+    the last 20 % of the groups are the only fold.
+    """
+    ordinals = group_ordinal(df, group).select(*[F.col(g).alias(f"__g_{g}") for g in group], "ordinal")
+    n = ordinals.agg(F.count("*")).scalar()
+    sized = ordinals.withColumn("__n", n)
+    size = F.greatest(F.floor(F.col("__n") / max(n_splits + 1, 2)), F.lit(1))
+    first = F.greatest(F.lit(min_train), size)
+    k = F.floor((F.col("ordinal") - first) / size)
+    regular = F.when((k >= 0) & (first + (k + 1) * size <= F.col("__n")), k)
+    tail_start = F.col("__n") - F.greatest(F.ceil(F.col("__n") * 0.2), F.lit(1))
+    tail = F.when((tail_start > 0) & (F.col("ordinal") >= tail_start), F.lit(0))
+    fold = F.when(first + size <= F.col("__n"), regular).otherwise(tail).cast("bigint")
+    marked = sized.withColumn("fold", fold).drop("__n")
+    on = [df[g].eqNullSafe(marked[f"__g_{g}"]) for g in group]
+    return df.join(marked, on).drop(*[f"__g_{g}" for g in group])
 
 
 def holdout(df: DataFrame, group: Sequence[str], share: float = 0.2) -> DataFrame:
@@ -102,7 +115,7 @@ def holdout(df: DataFrame, group: Sequence[str], share: float = 0.2) -> DataFram
     n = ordinals.agg(F.count("*")).scalar()
     on = [df[g].eqNullSafe(ordinals[f"__g_{g}"]) for g in group]
     out = df.join(ordinals, on).drop(*[f"__g_{g}" for g in group])
-    cutoff = F.greatest(F.floor(n * F.lit(1.0 - share)), F.lit(1))
+    cutoff = F.least(F.greatest(F.floor(n * F.lit(1.0 - share)), F.lit(1)), n - 1)
     return out.withColumn("role", F.when(F.col("ordinal") >= cutoff, "test").otherwise("train"))
 
 

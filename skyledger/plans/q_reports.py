@@ -314,13 +314,13 @@ def log_sql(extra="", levels=LEVEL_SQL):
     return with_roles("opportunities", f"WITH {levels}, s AS ({inner}) SELECT *, {GATE_SQL} FROM s")
 
 
-@query("a16_opportunity_summary", log_sql(", round(median(spread), 6) AS median_spread, round(median(k), 6) AS median_visible_liquidity"))
+@query("a16_opportunity_summary", log_sql(", round(median(spread), 8) AS median_spread, round(median(k), 8) AS median_visible_liquidity"))
 def a16(spark, sf):
     """Opportunity log: overall, by city, horizon, city and horizon, and reason."""
     out = R.log_summary(
         roles.opportunities(spark, sf), LEVELS, {"spread": "median_spread", "k": "median_visible_liquidity"}
     )
-    return rounded(out, "median_spread", "median_visible_liquidity")
+    return rounded(out, "median_spread", "median_visible_liquidity", digits=8)
 
 
 QUEUE_SQL = "CASE WHEN reason = 'tradable' AND k < 60 THEN 'tradable' WHEN k < 80 THEN 'manual_review' ELSE 'blocked' END"
@@ -347,7 +347,7 @@ def observation_log(spark, sf):
 @query(
     "a17_observation_summary",
     log_sql(f""", count(*) FILTER ({QUEUE_SQL} = 'manual_review') AS manual_review_count, count(*) FILTER ({QUEUE_SQL} = 'tradable') AS queue_tradable_count,
-    round(median(k), 6) AS median_freshness"""),
+    round(median(k), 8) AS median_freshness"""),
 )
 def a17(spark, sf):
     """Observation log with queue states and freshness."""
@@ -356,7 +356,7 @@ def a17(spark, sf):
         R.count_if(F.col("queue_state") == "tradable").alias("queue_tradable_count"),
     ]
     out = R.log_summary(observation_log(spark, sf), LEVELS, {"k": "median_freshness"}, extra)
-    return rounded(out, "median_freshness")
+    return rounded(out, "median_freshness", digits=8)
 
 
 @query(
@@ -392,7 +392,7 @@ HOPE_LEVEL_SQL = f"""leveled AS (SELECT o.*, u.level, u.grp FROM (SELECT *, {PRI
     "a18_hope_hunt_summary",
     log_sql(
         """, count(*) FILTER (priority_bucket LIKE 'fresh%') AS fresh_listing_count, count(*) FILTER (priority_bucket LIKE 'mature%') AS mature_market_count,
-    round(median(k), 6) AS median_open_phase_age_hours""",
+    round(median(k), 8) AS median_open_phase_age_hours""",
         HOPE_LEVEL_SQL,
     ),
 )
@@ -403,7 +403,7 @@ def a18(spark, sf):
         R.count_if(bucket.isin("mature_core", "mature_expansion", "unknown_open_time")).alias("mature_market_count"),
     ]
     out = R.log_summary(hope_log(spark, sf), HOPE_LEVELS, {"k": "median_open_phase_age_hours"}, extra)
-    return rounded(out, "median_open_phase_age_hours")
+    return rounded(out, "median_open_phase_age_hours", digits=8)
 
 
 OPEN_LEVELS = {"all": [], "city": ["city"], "horizon": ["decision_horizon"], "city_horizon": ["city", "decision_horizon"], "age_bucket": ["age_bucket"]}
@@ -415,7 +415,7 @@ OPEN_LEVEL_SQL = f"""leveled AS (SELECT o.*, u.level, u.grp FROM (SELECT *, unne
 @query(
     "a19_open_phase_summary",
     log_sql(
-        ", min(k) AS min_open_phase_age_hours, max(k) AS max_open_phase_age_hours, round(median(spread), 6) AS median_spread, round(median(k), 6) AS median_open_phase_age_hours",
+        ", min(k) AS min_open_phase_age_hours, max(k) AS max_open_phase_age_hours, round(median(spread), 8) AS median_spread, round(median(k), 8) AS median_open_phase_age_hours",
         OPEN_LEVEL_SQL,
     ),
 )
@@ -424,7 +424,7 @@ def a19(spark, sf):
     out = R.log_summary(
         hope_log(spark, sf), OPEN_LEVELS, {"spread": "median_spread", "k": "median_open_phase_age_hours"}, extra
     )
-    return rounded(out, "median_spread", "median_open_phase_age_hours")
+    return rounded(out, "median_spread", "median_open_phase_age_hours", digits=8)
 
 
 @query(
@@ -441,7 +441,7 @@ def a20(spark, sf):
         "opportunities",
         f"""WITH {LEVEL_SQL} SELECT level, grp, count(*) AS evaluation_rows, count(*) FILTER (reason = 'tradable') AS tradable_rows,
     count(*) FILTER (reason = 'tradable' AND k > 50) AS fills, round(coalesce(sum(spread * k) FILTER (reason = 'tradable' AND k > 50), 0), 6) AS filled_notional,
-    round(median(spread), 6) AS median_spread FROM leveled GROUP BY ALL""",
+    round(median(spread), 8) AS median_spread FROM leveled GROUP BY ALL""",
     ),
 )
 def a21(spark, sf):
@@ -457,7 +457,7 @@ def a21(spark, sf):
         F.col("tradable_count").alias("tradable_rows"),
         "fills",
         "filled_notional",
-        F.round("median_spread", 6).alias("median_spread"),
+        F.round("median_spread", 8).alias("median_spread"),
     )
 
 
@@ -809,7 +809,7 @@ def a48(spark, sf):
 
 L2_SQL = """WITH e AS (SELECT CASE WHEN k > 24 THEN CASE WHEN k <= 48 THEN '24-48h' END WHEN k > 12 THEN '12-24h' WHEN k > 6 THEN '6-12h' WHEN k > 3 THEN '3-6h' WHEN k > 1 THEN '1-3h' WHEN k > 0 THEN '0-1h' END AS bucket, spread, raw_gap, after_cost_edge, event_id FROM opportunities),
     b AS (SELECT * FROM (VALUES ('0-1h'), ('1-3h'), ('3-6h'), ('6-12h'), ('12-24h'), ('24-48h')) v(bucket))
-    SELECT b.bucket, count(event_id) AS count, round(list_sort(list(spread) FILTER (event_id IS NOT NULL))[len(list(spread) FILTER (event_id IS NOT NULL)) // 2 + 1], 6) AS median_spread,
+    SELECT b.bucket, count(event_id) AS count, round(list_sort(list(spread) FILTER (event_id IS NOT NULL))[len(list(spread) FILTER (event_id IS NOT NULL)) // 2 + 1], 8) AS median_spread,
     round(avg(raw_gap), 6) AS mean_bid_depth, round(avg(after_cost_edge), 6) AS mean_ask_depth, round(avg(CASE WHEN event_id IS NOT NULL THEN CAST(coalesce(spread, 1) < 0.1 AS INT) END) * 100, 6) AS tradeable_pct
     FROM b LEFT JOIN e USING (bucket) GROUP BY 1"""
 
@@ -820,7 +820,7 @@ def a23(spark, sf):
     l2 = roles.opportunities(spark, sf).select(
         F.col("k").alias("hours_to_settlement"), "spread", F.col("raw_gap").alias("bid_depth"), F.col("after_cost_edge").alias("ask_depth")
     )
-    return rounded(R.l2_buckets(l2), "median_spread", "mean_bid_depth", "mean_ask_depth", "tradeable_pct")
+    return rounded(R.l2_buckets(l2), "median_spread", digits=8).transform(rounded, "mean_bid_depth", "mean_ask_depth", "tradeable_pct")
 
 
 # --- errors -------------------------------------------------------------------------
