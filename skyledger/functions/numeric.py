@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of the double-precision normal distribution
@@ -34,6 +34,15 @@ CDF_CENTRAL_LIMIT = 7.07106781186547
 MIN_STD = 1e-6
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Column functions are inlined wherever they are used; inside nested array
+    functions that would repeat the work for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _horner(x: Column, coefficients: Sequence[float]) -> Column:
     value = F.lit(coefficients[0])
     for c in coefficients[1:]:
@@ -51,7 +60,8 @@ def std_normal_cdf(z: Column) -> Column:
         fraction = a + F.lit(k) / fraction
     tail = density / fraction / F.lit(2.506628274631)
     upper = F.when(a > 37.0, F.lit(0.0)).when(a < CDF_CENTRAL_LIMIT, central).otherwise(tail)
-    return F.when(z > 0, 1.0 - upper).otherwise(upper)
+    # One use of ``upper`` keeps the generated code within the JVM's method limit.
+    return 0.5 + F.signum(z) * (0.5 - upper)
 
 
 def normal_cdf(x: Column, mean: Column, std: Column) -> Column:
@@ -59,6 +69,22 @@ def normal_cdf(x: Column, mean: Column, std: Column) -> Column:
     return std_normal_cdf((x - mean) / F.greatest(std, F.lit(MIN_STD)))
 
 
+def normal_cdf_array(z):
+    """The same approximation over a numpy array, for use inside Arrow functions."""
+    import numpy as np
+
+    a = np.abs(z)
+    with np.errstate(over="ignore", invalid="ignore"):
+        density = np.exp(-a * a / 2.0)
+        central = density * np.polyval(CDF_NUMERATOR, a) / np.polyval(CDF_DENOMINATOR, a)
+        fraction = a + 0.65
+        for k in (4.0, 3.0, 2.0, 1.0):
+            fraction = a + k / fraction
+        tail = density / fraction / 2.506628274631
+    upper = np.where(a > 37.0, 0.0, np.where(a < CDF_CENTRAL_LIMIT, central, tail))
+    return np.where(z > 0, 1.0 - upper, upper)
+
+
 def normal_pdf(z: Column) -> Column:
     return F.exp(-z * z / 2.0) / F.lit(math.sqrt(2.0 * math.pi))
 
@@ -70,6 +96,15 @@ def gaussian_crps(mean: Column, std: Column, y: Column) -> Column:
     return sigma * (z * (2.0 * std_normal_cdf(z) - 1.0) + 2.0 * normal_pdf(z) - F.lit(1.0 / math.sqrt(math.pi)))
 
 
+def with_gaussian_crps(df: DataFrame, mean: str, std: str, actual: str, into: str = "crps") -> DataFrame:
+    """The CRPS as a column, with the standard score in a projection of its own so
+    that the generated code stays small."""
+    sigma = F.greatest(F.col(std), F.lit(MIN_STD))
+    z = F.col("__z")
+    score = sigma * (z * (2.0 * std_normal_cdf(z) - 1.0) + 2.0 * normal_pdf(z) - F.lit(1.0 / math.sqrt(math.pi)))
+    return df.withColumn("__z", (F.col(actual) - F.col(mean)) / sigma).withColumn(into, score).drop("__z")
+
+
 def gaussian_nll(mean: Column, std: Column, y: Column) -> Column:
     """Negative log-likelihood of a Gaussian forecast, sigma clipped at 1e-6."""
     sigma = F.greatest(std, F.lit(MIN_STD))
@@ -82,12 +117,13 @@ def sample_crps(samples: Column, y: Column) -> Column:
     Half the mean pairwise distance equals sum((2i - n - 1) x_(i)) / n^2 over
     the sorted samples, so no n x n matrix is formed.
     """
-    n = F.size(samples).cast("double")
-    ordered = F.array_sort(samples)
-    distance = F.aggregate(samples, F.lit(0.0), lambda acc, s: acc + F.abs(s.cast("double") - y)) / n
-    weighted = F.transform(ordered, lambda s, i: (2.0 * (i + 1) - n - 1.0) * s.cast("double"))
-    spread = F.aggregate(weighted, F.lit(0.0), lambda acc, s: acc + s) / (n * n)
-    return F.when(F.size(samples) > 0, distance - spread)
+    def score(ordered: Column) -> Column:
+        n = F.size(ordered).cast("double")
+        distance = F.aggregate(ordered, F.lit(0.0), lambda acc, s: acc + F.abs(s.cast("double") - y)) / n
+        weighted = F.transform(ordered, lambda s, i: (2.0 * (i + 1) - n - 1.0) * s.cast("double"))
+        return distance - F.aggregate(weighted, F.lit(0.0), lambda acc, s: acc + s) / (n * n)
+
+    return F.when(F.size(samples) > 0, let(F.array_sort(samples), score))
 
 
 def present(values: Sequence[Column]) -> Column:

@@ -40,11 +40,12 @@ def grouped_quantiles(
     """
     keys = list(keys)
     gk = [f"__k{i}" for i in range(len(keys))]
-    # Null keys form a group: joins below use a null-free rendering of the key.
-    base = df.where(F.col(value).isNotNull()).select(
+    base = df.select(
         *[F.col(k).alias(a) for k, a in zip(keys, gk)], F.col(value).cast("double").alias("__v")
     )
-    counts = base.groupBy(*gk, "__v").agg(F.count("*").alias("__c")).withColumn("__s", value_slice(F.col("__v")))
+    # Counting the value gives the null group a weight of 0. A null filter would be
+    # pushed below the projection and compute a costly value expression twice.
+    counts = base.groupBy(*gk, "__v").agg(F.count("__v").alias("__c")).withColumn("__s", value_slice(F.col("__v")))
 
     slices = counts.groupBy(*gk, "__s").agg(F.sum("__c").alias("__n"))
     along = Window.partitionBy(*gk) if gk else Window.partitionBy(F.lit(0))

@@ -306,7 +306,7 @@ def trade_query(spark, sf, half_spread=None):
     "w21_best_trades",
     with_roles(
         "panel",
-        f"WITH {PRICED.replace('PX', '(market_price / 500)')} SELECT decision_id, outcome, round(mp, 6) AS market_price, round(age, 4) AS price_age_seconds, token_id FROM pr",
+        f"WITH {PRICED.replace('PX', '(market_price / 500)')} SELECT decision_id, outcome, round(mp, 6) AS market_price, round(age, 6) AS price_age_seconds, token_id FROM pr",
     ),
 )
 def w21(spark, sf):
@@ -314,7 +314,7 @@ def w21(spark, sf):
     t = trade_query(spark, sf)
     return t.select(
         "decision_id", "outcome", F.round("market_price", 6).alias("market_price"),
-        F.round("price_age_seconds", 4).alias("price_age_seconds"), "token_id",
+        F.round("price_age_seconds", 6).alias("price_age_seconds"), "token_id",
     )
 
 
