@@ -86,15 +86,15 @@ def x03(spark, sf):
 
 @query(
     "x04_mixture_moments",
-    """WITH w AS (SELECT l_orderkey, sum(l_quantity) AS tw, sum(l_quantity * (l_extendedprice / 1000)) / sum(l_quantity) AS m, sum(l_quantity * ((1 + l_tax) * (1 + l_tax) + (l_extendedprice / 1000) * (l_extendedprice / 1000))) / sum(l_quantity) AS q FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, round(m, 9) AS mean, round(sqrt(greatest(q - m * m, 1e-12)), 9) AS std FROM w""",
+    """WITH w AS (SELECT l_orderkey, sum(l_extendedprice * l_quantity) / sum(l_extendedprice) AS m, sum(l_extendedprice * ((1 + l_tax) * (1 + l_tax) + l_quantity * l_quantity)) / sum(l_extendedprice) AS q FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, round(m, 6) AS mean, round(sqrt(greatest(q - m * m, 1e-12)), 4) AS std FROM w""",
 )
 def x04(spark, sf):
     """Mean and deviation of Gaussian mixtures held as arrays (lines of an order)."""
     li = table(spark, sf, "lineitem")
-    arrays = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", (F.col("l_extendedprice") / 1000).alias("m"), (1 + F.col("l_tax")).alias("s"))).alias("c"))
-    out = arrays.select("l_orderkey", N.mixture_moments(F.col("c.l_quantity"), F.col("c.m"), F.col("c.s")).alias("x")).select("l_orderkey", "x.*")
-    return rounded(out, "mean", "std", digits=9)
+    arrays = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_extendedprice").alias("w"), F.col("l_quantity").alias("m"), (1 + F.col("l_tax")).alias("s"))).alias("c"))
+    out = arrays.select("l_orderkey", N.mixture_moments(F.col("c.w"), F.col("c.m"), F.col("c.s")).alias("x")).select("l_orderkey", "x.*")
+    return rounded(rounded(out, "mean"), "std", digits=4)
 
 
 @query("j05_winning_bins", with_roles("preds", f"SELECT {WIN_SQL} AS winner, count(*) AS n FROM preds GROUP BY 1"))
