@@ -191,13 +191,57 @@ def is_temperature_market(question: Column, description: Column, outcomes: Colum
 
 
 def safe_token(value: Column) -> Column:
-    """Lower-case word characters joined by single underscores."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(value)), r"[^a-z0-9]+", "_"), F.lit("_"))
+    """Lower-case ASCII word characters joined by single underscores."""
+    token = F.trim(F.regexp_replace(F.lower(F.trim(value)), r"[^0-9a-zA-Z]+", "_"), F.lit("_"))
+    return F.when(token != "", token).otherwise("unknown")
 
 
-def safe_slug(value: Column, fallback: str = "item") -> Column:
-    slug = F.trim(F.regexp_replace(F.lower(F.trim(value)), r"[^a-z0-9]+", "-"), F.lit("-"))
-    return F.when(slug != "", slug).otherwise(fallback)
+def safe_slug(value: Column) -> Column:
+    """Letters and digits kept in lower case, every other character an underscore."""
+    slug = F.trim(F.lower(F.regexp_replace(F.trim(value), r"[^\p{L}\p{N}]", "_")), F.lit("_"))
+    return F.when(slug != "", slug).otherwise("item")
+
+
+def _ladder(text: Column, steps: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
+    out = F.lit(default)
+    for name, phrases in reversed(steps):
+        hit = F.lit(False)
+        for phrase in phrases:
+            hit = hit | F.contains(text, F.lit(phrase))
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+# Adapter keys by the phrases of the official source name.
+ADAPTERS = [
+    ("wunderground", ["wunderground"]),
+    ("hko", ["hong kong observatory"]),
+    ("cwa", ["central weather administration", "cwa"]),
+    ("noaa", ["noaa"]),
+]
+# Public sources of research markets by the phrases of their name.
+PUBLIC_SOURCES = [
+    ("amo_air_calp", ["air_calp"]),
+    ("wunderground", ["wunderground"]),
+    ("noaa_daily_summaries", ["daily summaries"]),
+]
+
+
+def adapter_key(official_name: Column) -> Column:
+    return _ladder(F.lower(official_name), ADAPTERS, "unknown")
+
+
+def truth_source_key(official_name: Column, public_name: Column, truth_track: Column) -> Column:
+    """Truth adapter of a market; research markets may name a public source."""
+    own = adapter_key(official_name)
+    public = _ladder(F.lower(F.coalesce(public_name, F.lit(""))), PUBLIC_SOURCES, "")
+    research = F.coalesce(truth_track == "research_public", F.lit(False))
+    return (
+        F.when(research & (public != ""), public)
+        .when(research & (own == "wunderground"), "noaa_global_hourly")
+        .when(own == "noaa", "noaa_global_hourly")
+        .otherwise(own)
+    )
 
 
 # Fixed value: message of a request for a place the archive does not cover.
@@ -240,11 +284,41 @@ def market_volume(top_level: Column, components: Column) -> Column:
     return F.coalesce(top_level.cast("double"), F.when(F.size(components) > 0, total))
 
 
-def retryable(message: Column) -> Column:
-    """Whether a failed collection is worth another attempt."""
-    return F.coalesce(F.lower(message).rlike(r"timeout|timed out|429|too many requests|5\d\d|connection|temporar"), F.lit(False))
+# Collection statuses that a later run revisits, the details that
+# older logs stored as parse failures, and messages of a lagging truth archive.
+OPEN_STATUSES = ("not_closed", "not_historical", "truth_source_lag", "truth_parse_failed", "truth_request_failed")
+OPEN_DETAILS = ("not_closed", "not_historical")
+LAG_MESSAGES = (
+    "no hko record",
+    "no cwa codis daily row",
+    "no wunderground historical observations found",
+    "no wunderground historical temperature values found",
+    "could not parse wunderground daily max",
+    "no noaa global hourly rows",
+    "could not parse cwa daily max",
+    "missing airtemperature.maximum",
+    "no record for ",
+)
+RULE_MESSAGES = ("unsupported official source", "unsupported question format")
+
+
+def mentions(text: Column, phrases: Sequence[str]) -> Column:
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    hit = F.lit(False)
+    for phrase in phrases:
+        hit = hit | F.contains(lowered, F.lit(phrase))
+    return hit
+
+
+def retryable(status: Column, detail: Column) -> Column:
+    """Whether a collection entry is revisited on the next run."""
+    legacy = (status == "parse_failed") & detail.isin(*OPEN_DETAILS)
+    return F.coalesce(status.isin(*OPEN_STATUSES) | legacy, F.lit(False))
 
 
 def source_lag(message: Column) -> Column:
-    """Whether an error says the official archive has not caught up."""
-    return F.coalesce(F.lower(message).rlike(r"no data|not (?:yet )?available|archive lag|latest available"), F.lit(False))
+    return mentions(message, LAG_MESSAGES)
+
+
+def unsupported_rule(message: Column) -> Column:
+    return mentions(message, RULE_MESSAGES)
