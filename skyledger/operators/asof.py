@@ -8,7 +8,7 @@ rows, so the large side is shuffled once and nothing is joined back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,76 +22,96 @@ def time_slice(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * MICROS))
 
 
-def asof_join(
-    decisions: DataFrame,
-    ticks: DataFrame,
+def ordered_join(
+    left: DataFrame,
+    right: DataFrame,
     keys: Sequence[str],
-    decision_time: str,
-    tick_time: str,
-    tick_columns: Sequence[str],
-    sequence: str | None = None,
-    slice_seconds: int = 86_400,
+    left_order: Column,
+    right_order: Column,
+    slice_of: Callable[[Column], Column],
+    right_columns: Sequence[str],
+    sequence: Column | None = None,
+    position_as: str = "matched_at",
 ) -> DataFrame:
-    """Attach the latest tick at or before each decision (backward as-of).
+    """Attach to each left row the last right row at or before it on one axis.
 
-    Ticks without a time never match; a tick with a null price does match and
-    hides older ones. Equal times match. ``sequence`` breaks ties among ticks
-    of one time (highest wins). Result: the decision columns, the tick columns
-    and ``matched_time``, all null where nothing matched.
+    ``slice_of`` maps the axis to slices in the same order. Right rows without a
+    position never match; equal positions match; ``sequence`` breaks ties (the
+    highest wins).
     """
     keys = list(keys)
-    d_cols = [c for c in decisions.columns if c not in keys]
-    d_struct = F.struct(*[F.col(c) for c in d_cols])
-    seq = F.col(sequence).cast("bigint") if sequence else F.lit(0).cast("bigint")
-    t_struct = F.struct(F.col(tick_time).cast("timestamp").alias("__at"), *[F.col(c) for c in tick_columns])
-
-    tick_rows = ticks.where(F.col(tick_time).isNotNull()).select(
+    kept = [c for c in left.columns if c not in keys]
+    seq = (F.lit(0) if sequence is None else sequence).cast("bigint")
+    right_rows = right.where(right_order.isNotNull()).select(
         *keys,
-        F.col(tick_time).cast("timestamp").alias("__time"),
+        right_order.alias("__at"),
         F.lit(0).alias("__late"),
         seq.alias("__seq"),
-        t_struct.alias("__tick"),
+        F.struct(right_order.alias("__at"), *[F.col(c) for c in right_columns]).alias("__right"),
     )
-    decision_rows = decisions.select(
+    left_rows = left.select(
         *keys,
-        F.col(decision_time).cast("timestamp").alias("__time"),
+        left_order.alias("__at"),
         F.lit(1).alias("__late"),
         F.lit(0).cast("bigint").alias("__seq"),
-        d_struct.alias("__decision"),
-    )
-    rows = tick_rows.unionByName(decision_rows, allowMissingColumns=True).withColumn(
-        "__slice", time_slice(F.col("__time"), slice_seconds)
+        F.struct(*[F.col(c) for c in kept]).alias("__left"),
     )
+    rows = right_rows.unionByName(left_rows, allowMissingColumns=True).withColumn("__slice", slice_of(F.col("__at")))
 
-    # Last tick of every (key, slice), carried to the next slices of the key.
-    order = F.when(F.col("__late") == 0, F.struct("__time", "__seq"))
-    closing = rows.groupBy(*keys, "__slice").agg(F.max_by("__tick", order).alias("__close"))
-    before = (
-        Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-        if keys
-        else Window.partitionBy(F.lit(0)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # Last right row of every (key, slice), carried to the next slices of the key.
+    order = F.when(F.col("__late") == 0, F.struct("__at", "__seq"))
+    closing = rows.groupBy(*keys, "__slice").agg(F.max_by("__right", order).alias("__close"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        closing.withColumn("__tick", F.last("__close", ignorenulls=True).over(before))
-        .where(F.col("__tick").isNotNull())
-        .select(*keys, F.col("__tick.__at").alias("__time"), F.lit(0).alias("__late"),
-                F.lit(0).cast("bigint").alias("__seq"), "__tick", "__slice")
+        closing.withColumn("__right", F.last("__close", ignorenulls=True).over(before))
+        .where(F.col("__right").isNotNull())
+        .select(*keys, F.col("__right.__at").alias("__at"), F.lit(0).alias("__late"),
+                F.lit(0).cast("bigint").alias("__seq"), "__right", "__slice")
     )
     inside = (
         Window.partitionBy(*keys, "__slice")
-        .orderBy("__time", "__late", "__seq")
+        .orderBy("__at", "__late", "__seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     matched = (
         rows.unionByName(carried, allowMissingColumns=True)
-        .withColumn("__hit", F.last("__tick", ignorenulls=True).over(inside))
+        .withColumn("__hit", F.last("__right", ignorenulls=True).over(inside))
         .where(F.col("__late") == 1)
     )
     return matched.select(
         *keys,
-        *[F.col(f"__decision.{c}").alias(c) for c in d_cols],
-        *[F.col(f"__hit.{c}").alias(c) for c in tick_columns],
-        F.col("__hit.__at").alias("matched_time"),
+        *[F.col(f"__left.{c}").alias(c) for c in kept],
+        *[F.col(f"__hit.{c}").alias(c) for c in right_columns],
+        F.col("__hit.__at").alias(position_as),
+    )
+
+
+def asof_join(
+    decisions: DataFrame,
+    ticks: DataFrame,
+    keys: Sequence[str],
+    decision_time: str,
+    tick_time: str,
+    tick_columns: Sequence[str],
+    sequence: str | None = None,
+    slice_seconds: int = 86_400,
+) -> DataFrame:
+    """Attach the latest tick at or before each decision (backward as-of).
+
+    A tick with a null price does match and hides older ones. Result: the
+    decision columns, the tick columns and ``matched_time``, null where nothing
+    matched.
+    """
+    return ordered_join(
+        decisions,
+        ticks,
+        keys,
+        F.col(decision_time).cast("timestamp"),
+        F.col(tick_time).cast("timestamp"),
+        lambda at: time_slice(at, slice_seconds),
+        tick_columns,
+        F.col(sequence) if sequence else None,
+        "matched_time",
     )
 
 

@@ -143,22 +143,29 @@ def oracle_comparison(df: DataFrame, first: str, second: str, weight: str, keys:
     return with_quantiles(out, df, keys, weight, {"weight_p10": 0.1, "weight_p50": 0.5, "weight_p90": 0.9})
 
 
-def expert_diagnostics(df: DataFrame, experts: Sequence[str], weights: Sequence[str], actual: str) -> DataFrame:
-    """Error of every expert, of the best expert per row, gate entropy and how often
-    the heaviest expert is the best."""
+def expert_diagnostics(df: DataFrame, experts: Sequence[str], weights: Sequence[str], actual: str, scales: Sequence[str] = ()) -> DataFrame:
+    """Error of every expert, of the best expert per row, gate entropy, how often the
+    heaviest expert is the best, and quantiles of the mean predicted deviation."""
     from functools import reduce
 
+    from skyledger.operators.quantiles import with_quantiles
+
     errors = [F.abs(F.col(e) - F.col(actual)) for e in experts]
     entropy = reduce(lambda a, b: a + b, [-F.col(w) * F.log(F.greatest(F.col(w), F.lit(1e-6))) for w in weights])
     best = F.array_position(F.array(*errors), F.least(*errors))
     heaviest = F.array_position(F.array(*[F.col(w) for w in weights]), F.greatest(*[F.col(w) for w in weights]))
-    return df.agg(
+    out = df.agg(
         F.count("*").alias("n"),
         *[F.avg(x).alias(f"{e}_mae") for e, x in zip(experts, errors)],
         F.avg(F.least(*errors)).alias("best_expert_mae"),
         F.avg(entropy).alias("gate_entropy"),
         F.avg((best == heaviest).cast("double")).alias("gate_match_rate"),
     )
+    if not scales:
+        return out
+    mean_scale = reduce(lambda a, b: a + b, [F.col(s) for s in scales]) / len(scales)
+    wanted = {"pred_std_p50": 0.5, "pred_std_p90": 0.9, "pred_std_p99": 0.99}
+    return with_quantiles(out, df.withColumn("__scale", mean_scale), [], "__scale", wanted)
 
 
 def dense_rank_score(df: DataFrame, name: str, lower: dict[str, float], higher: dict[str, float], into: str) -> DataFrame:
