@@ -138,10 +138,22 @@ def source_family(name: Column) -> Column:
     return out
 
 
+# Dates inside free text, month first or day first.
+MONTH_FIRST = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
+DAY_FIRST = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)?\s+(?:of\s+)?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+(\d{4})"
+
+
 def parse_date_text(text: Column) -> Column:
-    """Date from the known formats, null otherwise."""
+    """Date from the known formats, else from a date inside the text, else null."""
     tidy = F.regexp_replace(F.trim(text), r"\s+", " ")
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(tidy, F.lit(f))) for f in DATE_FORMATS])
+
+    def inside(pattern: str, day: int, month: int) -> Column:
+        part = lambda i: F.regexp_extract(tidy, pattern, i)
+        return F.concat_ws(" ", part(day), F.initcap(part(month)), part(3))
+
+    exact = [F.try_to_timestamp(tidy, F.lit(f)) for f in DATE_FORMATS]
+    loose = [F.try_to_timestamp(inside(MONTH_FIRST, 2, 1), F.lit("d MMM yyyy")), F.try_to_timestamp(inside(DAY_FIRST, 1, 2), F.lit("d MMM yyyy"))]
+    return F.to_date(F.coalesce(*exact, *loose))
 
 
 def parse_rules(text: Column) -> Column:

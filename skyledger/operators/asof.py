@@ -226,13 +226,14 @@ def stop_scan(
     threshold: float = 0.20,
     sequence: Sequence[str] = (),
     slice_seconds: int = 86_400,
+    opening_peak: str | None = None,
 ) -> DataFrame:
     """First stop per position: loss of ``threshold`` of entry, else a fall of
     20 % from the peak once the price has been above entry. The loss rule is
-    tested first, and the peak starts at the entry price."""
+    tested first, and the peak starts at the entry price or an earlier peak."""
     keys = list(keys)
     marked = running_max(ticks, keys, time_column, price, "__seen", sequence, slice_seconds)
-    peak = F.greatest(F.col("__seen"), F.col(entry_price))
+    peak = F.greatest("__seen", entry_price, *([opening_peak] if opening_peak else []))
     loss = F.when(F.col(entry_price) > 0, (F.col(entry_price) - F.col(price)) / F.col(entry_price))
     drawdown = F.when(peak > 0, (peak - F.col(price)) / peak)
     reason = F.when(loss >= threshold, "stop_loss").when(

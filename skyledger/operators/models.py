@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from skyledger.functions.numeric import from_celsius, present, array_mean, array_std, to_celsius
 from skyledger.operators.asof import ordered_join
 from skyledger.operators.quantiles import value_slice
+from skyledger.session import written
 
 MIN_STD = 0.5
 # Range of residuals that scale models learn from.
@@ -495,18 +496,24 @@ def _predict(model, df: DataFrame, into: str) -> DataFrame:
     return model.transform(df).withColumnRenamed("__p", into)
 
 
-def out_of_fold(df: DataFrame, fit, fold: str, ordinal: str, into: str) -> DataFrame:
-    """Predictions for every validation fold by models fitted on earlier groups only;
-    rows outside all folds take the model of all rows.
+def out_of_fold(df: DataFrame, fits: dict, fold: str, ordinal: str) -> DataFrame:
+    """Add predictions for every validation fold by models fitted on earlier groups
+    only; rows outside all folds take the models of all rows.
 
-    ``fit(train)`` returns a function that adds ``into`` to a frame. One fit per fold
-    is a distributed job; the folds are few.
+    ``fits`` maps a new column to ``fit(train)``, which returns a function that adds
+    it to a frame. A fold's models score its rows together, so the parts are unioned
+    once. One fit per model and fold is a distributed job; both are few.
     """
+
+    def score(train: DataFrame, rows: DataFrame) -> DataFrame:
+        for into, fit in fits.items():
+            rows = fit(train)(rows, into)
+        return rows
+
     starts = df.where(F.col(fold).isNotNull()).groupBy(fold).agg(F.min(ordinal).alias("start")).collect()
-    parts = [fit(df)(df.where(F.col(fold).isNull()), into)]
+    parts = [score(df, df.where(F.col(fold).isNull()))]
     for r in sorted(starts, key=lambda r: r[0]):
-        train = df.where(F.col(ordinal) < r["start"])
-        parts.append(fit(train)(df.where(F.col(fold) == r[0]), into))
+        parts.append(score(df.where(F.col(ordinal) < r["start"]), df.where(F.col(fold) == r[0])))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -514,18 +521,17 @@ def boosted_gaussian(df: DataFrame, features: Sequence[str], y: str, group: Sequ
     """Boosted mean and a boosted scale on clipped out-of-fold absolute residuals."""
     from skyledger.operators.folds import validation_folds
 
-    ready = _assemble(validation_folds(df, group, n_splits), features)
-    mean_model = _boosted(y, max_iter, depth).fit(ready)
+    ready = written(_assemble(validation_folds(df, group, n_splits), features), "boosted")
 
     def fit(train: DataFrame):
         model = _boosted(y, max_iter, depth).fit(train)
         return lambda rows, into: _predict(model, rows, into)
 
-    oof = out_of_fold(ready, fit, "fold", "ordinal", "__oof")
+    mean_model = fit(ready)
+    oof = out_of_fold(ready, {"__oof": fit}, "fold", "ordinal")
     residual = F.least(F.greatest(F.abs(F.col(y) - F.col("__oof")), F.lit(RESIDUAL_RANGE[0])), F.lit(RESIDUAL_RANGE[1]))
     scale_model = _boosted("__r", max_iter, depth).fit(oof.withColumn("__r", residual))
-    scored = _predict(mean_model, ready, "pred_mean")
-    scored = _predict(scale_model, scored, "pred_std")
+    scored = _predict(scale_model, mean_model(ready, "pred_mean"), "pred_std")
     std = F.least(F.greatest(F.col("pred_std"), F.lit(RESIDUAL_RANGE[0])), F.lit(RESIDUAL_RANGE[1]))
     return scored.withColumn("pred_std", std).drop("__x", "fold", "ordinal")
 
@@ -551,32 +557,31 @@ def stacked_gaussian(
 
     from skyledger.operators.folds import validation_folds
 
-    folded = validation_folds(df, group, n_splits)
-    wide, poly = polynomial(folded, lead_features, scale=True)
-    ready = _assemble(wide, features)
+    wide, poly = polynomial(validation_folds(df, group, n_splits), lead_features, scale=True)
+    ready = written(_assemble(wide, features), "stacked")
 
-    def linear(names, into_features):
+    def linear(names):
         def fit(train: DataFrame):
             model = fit_linear(train, names, y, ridge=alpha)
             return lambda rows, into: rows.withColumn(into, model.column())
 
-        return fit, into_features
+        return fit
 
     def trees(train: DataFrame):
         model = _boosted(y, max_iter, 4).fit(train)
         return lambda rows, into: _predict(model, rows, into)
 
-    experts = {"blend": linear(features, features), "leadtime": linear(poly, lead_features), "tree": (trees, features)}
-    oof = ready
-    for name, (fit, _) in experts.items():
-        oof = out_of_fold(oof, fit, "fold", "ordinal", f"oof_{name}")
+    experts = {"blend": (linear(features), features), "leadtime": (linear(poly), lead_features), "tree": (trees, features)}
+    order = list(experts)
+    oof = written(out_of_fold(ready, {f"oof_{e}": experts[e][0] for e in order}, "fold", "ordinal"), "stacked-oof")
     clip = lambda c: F.least(F.greatest(c, F.lit(RESIDUAL_RANGE[0])), F.lit(RESIDUAL_RANGE[1]))
-    errors = [F.abs(F.col(y) - F.col(f"oof_{e}")) for e in experts]
+    errors = [F.abs(F.col(y) - F.col(f"oof_{e}")) for e in order]
     best = F.array_position(F.array(*errors), F.least(*errors)).cast("double") - 1
     valid = oof.where(F.col("fold").isNotNull()).withColumn("__best", best)
 
     scored = ready
-    for name, (fit, names) in experts.items():
+    for name in order:
+        fit, names = experts[name]
         scored = fit(ready)(scored, f"mean_{name}")
         scale = fit_linear(valid, list(names), clip(F.abs(F.col(y) - F.col(f"oof_{name}"))), ridge=alpha)
         scored = scored.withColumn(f"scale_{name}", clip(scale.column()))
@@ -585,7 +590,6 @@ def stacked_gaussian(
     gate = LogisticRegression(featuresCol="__z", labelCol="__best", maxIter=50, family="multinomial")
     gate_model = gate.fit(scaler.transform(valid))
     out = gate_model.transform(scaler.transform(scored)).withColumn("__g", vector_to_array("probability"))
-    order = list(experts)
     for i, name in enumerate(order):
         out = out.withColumn(f"weight_{name}", F.coalesce(F.get("__g", F.lit(i)), F.lit(0.0)))
     mean = reduce(lambda a, b: a + b, [F.col(f"weight_{e}") * F.col(f"mean_{e}") for e in order])

@@ -59,3 +59,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table or stream checkpoint in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str = "step"):
+    """Write a frame to the shared folder and read it back.
+
+    Cuts the lineage of iterative work; unlike executor-local storage the copy
+    survives lost executors.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
