@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.functions.numeric import MIN_STD, array_sum, let, normal_cdf_array
 
@@ -74,7 +75,7 @@ def normalize(masses: Column) -> Column:
     return let(masses, lambda m: let(array_sum(m), lambda t: let(scale(m, t), lambda s: settle(s, t))))
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _normal_masses(lower: pa.Array, upper: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
     """Normalized Gaussian mass per bin; one batch of rows at a time.
 
@@ -254,16 +255,18 @@ def boundary_distance(bins: Column, value: Column) -> Column:
 def range_join_bins(values: DataFrame, bins: DataFrame, keys: list[str], value: str, half: float = 0.5) -> DataFrame:
     """Table form: bins are rows (keys, ordinal, label, lower, upper).
 
-    The join is an equi-join on the market keys with the range as a filter; the
-    first matching ordinal wins.
+    Distinct values of a market meet its bins in an equi-join with the range as a
+    filter, the first matching ordinal wins, and the answer is joined back by market
+    and value. So a market with very many rows is looked up once per value.
     """
     b = bins.select(
-        *[F.col(k).alias(f"__b_{k}") for k in keys], "ordinal", F.col("label").alias("winning_label"),
+        *keys,
+        "ordinal",
+        F.col("label").alias("winning_label"),
         F.coalesce(F.col("lower") - half, F.lit(float("-inf"))).alias("__lo"),
         F.coalesce(F.col("upper") + half, F.lit(float("inf"))).alias("__hi"),
     )
-    tagged = values.withColumn("__row", F.monotonically_increasing_id())
-    on = [tagged[k] == b[f"__b_{k}"] for k in keys] + [F.col(value) >= F.col("__lo"), F.col(value) < F.col("__hi")]
-    hit = tagged.join(b, on, "left")
-    rest = [F.first(c).alias(c) for c in values.columns]
-    return hit.groupBy("__row").agg(*rest, F.min_by("winning_label", "ordinal").alias("winning_label")).drop("__row")
+    wanted = values.select(*keys, F.col(value).alias("__v")).distinct()
+    hit = wanted.join(b, keys).where((F.col("__v") >= F.col("__lo")) & (F.col("__v") < F.col("__hi")))
+    first = hit.groupBy(*keys, "__v").agg(F.min_by("winning_label", "ordinal").alias("winning_label"))
+    return values.withColumn("__v", F.col(value)).join(first, [*keys, "__v"], "left").drop("__v")

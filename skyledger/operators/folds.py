@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.session import written
+
 CANONICAL_ORDER = ("target_date", "decision_time_utc", "market_id", "decision_horizon")
 
 
@@ -20,26 +22,25 @@ def canonical_order(df: DataFrame) -> list[str]:
     return [c for c in CANONICAL_ORDER if c in df.columns]
 
 
-def global_ordinal(df: DataFrame, order: Sequence[str], slices: int = 1, into: str = "ordinal") -> DataFrame:
+def global_ordinal(df: DataFrame, order: Sequence[str], into: str = "ordinal") -> DataFrame:
     """0-based position of every row in a total order, without a one-task sort.
 
-    Rows are numbered inside slices (distinct values of the first ``slices``
-    order columns), and each slice starts at the row count of the slices before
-    it. Only the table of slices, one row per day or so, is ordered as a whole.
+    Rows are range-partitioned on the order columns, which balances parts of any
+    distribution, and written with their part number so that a recomputed task
+    cannot move them. A part starts at the row count of the parts before it; only
+    that table, one row per part, is ordered as a whole.
     """
-    lead = list(order[:slices])
-    sizes = df.groupBy(*lead).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *[F.col(c).alias(f"__s_{c}") for c in lead], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
-    )
-    inside = Window.partitionBy(*lead).orderBy(*order[slices:]) if len(order) > slices else Window.partitionBy(*lead).orderBy(F.lit(0))
-    numbered = df.withColumn("__i", F.row_number().over(inside) - 1)
-    on = [numbered[c].eqNullSafe(starts[f"__s_{c}"]) for c in lead]
-    out = numbered.join(starts, on, "left")
-    return out.withColumn(into, (F.col("__start") + F.col("__i")).cast("bigint")).drop(
-        "__start", "__i", *[f"__s_{c}" for c in lead]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ordinal")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("__part")
+        .agg(F.count("*").alias("__n"))
+        .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     )
+    inside = Window.partitionBy("__part").orderBy(*order)
+    numbered = placed.withColumn("__i", F.row_number().over(inside) - 1).join(starts, "__part")
+    return numbered.withColumn(into, (F.col("__start") + F.col("__i")).cast("bigint")).drop("__part", "__start", "__i")
 
 
 def group_ordinal(df: DataFrame, group: Sequence[str], into: str = "ordinal") -> DataFrame:
@@ -49,8 +50,9 @@ def group_ordinal(df: DataFrame, group: Sequence[str], into: str = "ordinal") ->
     """
     order = canonical_order(df)
     first = df.groupBy(*group).agg(F.min(F.struct(*order)).alias("__first"))
-    lead = first.withColumn("__lead", F.col(f"__first.{order[0]}"))
-    return global_ordinal(lead, ["__lead", "__first"], 1, into).drop("__lead", "__first")
+    flat = first.select(*group, *[F.col(f"__first.{c}").alias(f"__o_{c}") for c in order])
+    ranked = [f"__o_{c}" for c in order]
+    return global_ordinal(flat, ranked, into).drop(*ranked)
 
 
 def expanding_folds(df: DataFrame, group: Sequence[str], min_train: int, test_size: int) -> DataFrame:

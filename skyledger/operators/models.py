@@ -214,7 +214,8 @@ class ExpandingFits:
     def score(self, df: DataFrame, refit: str = "refit") -> DataFrame:
         """Predict each row with the fit of its own block."""
         t = self.table(df.sparkSession)
-        j = df.join(F.broadcast(t), refit)
+        # A small table by construction; past the bound Spark picks the join itself.
+        j = df.join(F.broadcast(t) if len(self.mean) <= 10_000 else t, refit)
 
         def dot(side: str) -> Column:
             terms = [F.col(f"__f{i}_{side}") * F.col(f) for i, f in enumerate(self.features)]
@@ -626,7 +627,8 @@ def rolling_backtest(
 
     folded = expanding_folds(df, group, min_train, test_size)
     step = test_size * retrain_stride
-    blocked = folded.withColumn("__block", refit_block(F.col("ordinal"), min_train, step))
+    # Both passes and the scoring read the folded rows, so they are written once.
+    blocked = written(folded.withColumn("__block", refit_block(F.col("ordinal"), min_train, step)), "folded")
     fits = expanding_gaussian(blocked, features, y, "__block", ridge)
     test = blocked.where(F.col("__block") > 0).withColumn("refit", F.col("__block") - 1)
     return fits.score(test).drop("__block")

@@ -61,58 +61,72 @@ def point_scores(df: DataFrame, mean: str, std: str, actual: str, keys: Sequence
     )
 
 
+def _evaluation(rows: DataFrame, keys: Sequence[str], means: dict, bins: int = 10) -> DataFrame:
+    """Means of several row scores and the calibration error of ``__p`` against
+    ``__hit``, from one pass: rows are first summed per key and probability bin."""
+    p = F.col("__p")
+    per = rows.groupBy(*keys, F.when((p >= 0) & (p < 1), F.floor(p * bins)).alias("__bin")).agg(
+        F.count("*").alias("__n"),
+        F.sum("__p").alias("__sp"),
+        F.sum("__hit").alias("__sy"),
+        *[F.sum(c).alias(f"__s_{n}") for n, c in means.items()],
+    )
+    gap = F.when(F.col("__bin").isNotNull(), F.abs(F.col("__sp") - F.col("__sy")))
+    total = F.sum("__n")
+    return per.groupBy(*keys).agg(
+        total.alias("n"),
+        *[(F.sum(f"__s_{n}") / total).alias(n) for n in means],
+        (F.sum("__sy") / total).alias("direction_accuracy"),
+        (F.coalesce(F.sum(gap), F.lit(0.0)) / total).alias("calibration_error"),
+    )
+
+
+def _with_top(rows: DataFrame, winner: str) -> DataFrame:
+    from skyledger.operators import bins as B
+
+    top = rows.withColumn("__top", B.top_outcome(F.col("__probs")))
+    return top.withColumn("__hit", (F.col("__top.label") == F.col(winner)).cast("double")).withColumn("__p", F.col("__top.prob"))
+
+
 def evaluate(df: DataFrame, mean: str, std: str, actual: str, unit: str, bins, winner: str, keys: Sequence[str] = ()) -> DataFrame:
     """Model evaluation roll-up on rows where everything is known: errors in market
     units and Celsius, Brier, direction accuracy and calibration error."""
     from skyledger.functions.numeric import to_celsius, with_gaussian_crps
     from skyledger.operators import bins as B
-    from skyledger.operators.quantiles import null_safe_join
 
     m, s, y, u = F.col(mean), F.col(std), F.col(actual), F.col(unit)
     valid = df.where(m.isNotNull() & s.isNotNull() & y.isNotNull() & F.col(winner).isNotNull())
     scored = with_gaussian_crps(valid, mean, std, actual, "__crps")
-    rows = scored.withColumn("__probs", B.labeled(bins, B.normal_masses(bins, m, s)))
-    rows = rows.withColumn("__top", B.top_outcome(F.col("__probs"))).withColumn(
-        "__hit", (F.col("__top.label") == F.col(winner)).cast("double")
-    ).withColumn("__p", F.col("__top.prob"))
-    crps = F.col("__crps")
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg(F.abs(y - m)).alias("mae_market_unit"),
-        F.avg(to_celsius(F.abs(y - m), u, scale=True)).alias("mae_c"),
-        F.avg(crps).alias("crps_market_unit"),
-        F.avg(to_celsius(crps, u, scale=True)).alias("crps_c"),
-        F.avg(B.brier(F.col("__probs"), F.col(winner))).alias("brier"),
-        F.avg("__hit").alias("direction_accuracy"),
+    rows = _with_top(scored.withColumn("__probs", B.labeled(bins, B.normal_masses(bins, m, s))), winner)
+    return _evaluation(
+        rows,
+        keys,
+        {
+            "mae_market_unit": F.abs(y - m),
+            "mae_c": to_celsius(F.abs(y - m), u, scale=True),
+            "crps_market_unit": F.col("__crps"),
+            "crps_c": to_celsius(F.col("__crps"), u, scale=True),
+            "brier": B.brier(F.col("__probs"), F.col(winner)),
+        },
     )
-    ece = calibration_error(rows, "__p", "__hit", keys).drop("n")
-    if keys:
-        return null_safe_join(out, ece, list(keys))
-    return out.withColumn("calibration_error", ece.scalar())
 
 
 def evaluate_samples(df: DataFrame, samples: str, actual: str, bins, winner: str, keys: Sequence[str] = ()) -> DataFrame:
     """The same roll-up for forecasts given as arrays of samples."""
     from skyledger.functions.numeric import array_mean, sample_crps
     from skyledger.operators import bins as B
-    from skyledger.operators.quantiles import null_safe_join
 
     y = F.col(actual)
-    rows = df.withColumn("__probs", B.labeled(bins, B.sample_masses(bins, F.col(samples))))
-    rows = rows.withColumn("__top", B.top_outcome(F.col("__probs"))).withColumn(
-        "__hit", (F.col("__top.label") == F.col(winner)).cast("double")
-    ).withColumn("__p", F.col("__top.prob"))
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg(F.abs(array_mean(F.col(samples)) - y)).alias("mae"),
-        F.avg(sample_crps(F.col(samples), y)).alias("crps"),
-        F.avg(B.brier(F.col("__probs"), F.col(winner))).alias("brier"),
-        F.avg("__hit").alias("direction_accuracy"),
+    rows = _with_top(df.withColumn("__probs", B.labeled(bins, B.sample_masses(bins, F.col(samples)))), winner)
+    return _evaluation(
+        rows,
+        keys,
+        {
+            "mae": F.abs(array_mean(F.col(samples)) - y),
+            "crps": sample_crps(F.col(samples), y),
+            "brier": B.brier(F.col("__probs"), F.col(winner)),
+        },
     )
-    ece = calibration_error(rows, "__p", "__hit", keys).drop("n")
-    if keys:
-        return null_safe_join(out, ece, list(keys))
-    return out.withColumn("calibration_error", ece.scalar())
 
 
 def seed_summary(df: DataFrame, model: str, metrics: Sequence[str], min_trades: float, trades: str) -> DataFrame:

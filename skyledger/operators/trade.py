@@ -131,21 +131,22 @@ def band_filter(df: DataFrame, price: str, direction: str, yes: tuple[float, flo
     return df.where(p.isNull() | inside)
 
 
-def rank_candidates(df: DataFrame, size: float = 1.0, taker_bps: float = 30.0) -> DataFrame:
-    """Cost columns of every outcome with a live book and asks.
+def with_costs(df: DataFrame, size: float = 1.0, taker_bps: float = 30.0) -> DataFrame:
+    """Cost columns of every outcome: spread, liquidity, raw gap, edge after fee,
+    slippage and edge after all costs (null when not fillable).
 
-    Input: fair_probability, source, bids, asks. Adds spread, liquidity, raw gap,
-    edge after fee, slippage and edge after all costs (null when not fillable).
+    Input: fair_probability, source, bids, asks. Without a live book and asks the
+    edges are null.
     """
-    live = df.where((F.col("source") == "clob") & (F.size("asks") > 0))
-    out = live.withColumn("best_bid", best_bid(F.col("bids"))).withColumn("best_ask", best_ask(F.col("asks")))
+    live = (F.col("source") == "clob") & (F.size("asks") > 0)
+    out = df.withColumn("live", live).withColumn("best_bid", best_bid(F.col("bids"))).withColumn("best_ask", best_ask(F.col("asks")))
     out = out.withColumns(
         {
             "spread": F.greatest(F.col("best_ask") - F.col("best_bid"), F.lit(0.0)),
             "visible_liquidity": visible_liquidity(F.col("bids"), F.col("asks")),
             "fee_estimate": fee(F.col("best_ask"), taker_bps),
             "slippage_estimate": book_slippage("buy", F.col("asks"), F.lit(size)),
-            "raw_gap": F.col("fair_probability") - F.col("best_ask"),
+            "raw_gap": F.when(F.col("live"), F.col("fair_probability") - F.col("best_ask")),
         }
     )
     return out.withColumn("edge_after_fee", F.col("raw_gap") - F.col("fee_estimate")).withColumn(
@@ -153,6 +154,11 @@ def rank_candidates(df: DataFrame, size: float = 1.0, taker_bps: float = 30.0) -
     )
 
 
+def rank_candidates(df: DataFrame, size: float = 1.0, taker_bps: float = 30.0) -> DataFrame:
+    """Cost columns of the outcomes that have a live book and asks."""
+    return with_costs(df, size, taker_bps).where(F.col("live"))
+
+
 def signal_reasons(
     books: DataFrame,
     keys: Sequence[str],
@@ -165,10 +171,10 @@ def signal_reasons(
 ) -> DataFrame:
     """Best outcome per market and the reason it is or is not tradable.
 
-    One aggregate per market: three argmaxes (first outcome wins a tie) and
-    three flags, all combined map-side.
+    One aggregate per market over all its books: argmaxes (first outcome wins a
+    tie) and three flags, combined map-side.
     """
-    candidates = rank_candidates(books, size, taker_bps)
+    candidates = with_costs(books, size, taker_bps)
     earlier = [(-F.col(c)).alias(f"__o{i}") for i, c in enumerate(ordinal)]
     picked = F.struct("outcome_label", "best_bid", "best_ask", "spread", "visible_liquidity", "after_cost_edge", "edge_after_fee", "raw_gap")
 
@@ -176,15 +182,14 @@ def signal_reasons(
         return F.max_by(picked, F.when(F.col(by).isNotNull(), F.struct(F.col(by), *earlier)))
 
     positive = F.col("edge_after_fee") > 0
-    per = candidates.groupBy(*keys).agg(
+    joined = candidates.groupBy(*keys).agg(
+        F.count("*").alias("book_count"),
         best("after_cost_edge").alias("__cost"),
         best("edge_after_fee").alias("__fee"),
         F.bool_or(positive & F.col("slippage_estimate").isNull()).alias("__deep"),
         F.bool_or(positive).alias("__fee_ok"),
         F.bool_or(F.col("raw_gap") > 0).alias("__raw_ok"),
     )
-    all_books = books.groupBy(*keys).agg(F.count("*").alias("book_count"))
-    joined = all_books.join(per, list(keys), "left")
     c = F.col("__cost")
     tradable = (
         F.when(~spread_ok(c["best_bid"], c["best_ask"], max_spread_bps), "after_cost_positive_but_spread_too_wide")

@@ -105,9 +105,9 @@ def consecutive_failures(df: DataFrame, keys: Sequence[str], time: str, status:
     return hit.groupBy(*keys).agg(F.min(time).alias("cancelled_at"), F.count("*").alias("repeats"))
 
 
-def shard(df: DataFrame, order: Sequence[str], offset: int, size: int, slices: int = 1) -> DataFrame:
+def shard(df: DataFrame, order: Sequence[str], offset: int, size: int) -> DataFrame:
     """Rows at ordered positions ``[offset, offset + size)``."""
-    return global_ordinal(df, order, slices).where((F.col("ordinal") >= offset) & (F.col("ordinal") < offset + size))
+    return global_ordinal(df, order).where((F.col("ordinal") >= offset) & (F.col("ordinal") < offset + size))
 
 
 def describe_shard(rows: DataFrame, city: str, date: str) -> DataFrame:

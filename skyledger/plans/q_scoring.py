@@ -105,17 +105,15 @@ def j05(spark, sf):
 
 @query(
     "j05_range_join",
-    """WITH b AS (SELECT s_nationkey AS nk, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS ordinal, s_name AS label, CASE WHEN s_acctbal > 1000 THEN floor(s_acctbal / 1000) * 1000 END AS lower, CASE WHEN s_acctbal < 9000 THEN floor(s_acctbal / 1000) * 1000 + 999 END AS upper FROM supplier)
+    """WITH b AS (SELECT s_nationkey AS nk, s_suppkey AS ordinal, s_name AS label, CASE WHEN s_acctbal > 1000 THEN floor(s_acctbal / 1000) * 1000 END AS lower, CASE WHEN s_acctbal < 9000 THEN floor(s_acctbal / 1000) * 1000 + 999 END AS upper FROM supplier)
     SELECT c_custkey, (SELECT arg_min(label, ordinal) FROM b WHERE nk = c_nationkey AND c_acctbal >= coalesce(lower - 0.5, -1e9) AND c_acctbal < coalesce(upper + 0.5, 1e9)) AS winning_label FROM customer""",
 )
 def j05r(spark, sf):
     """Table form: equi-join on the market key with the range as a filter."""
-    from pyspark.sql.window import Window
-
     base = F.floor(F.col("s_acctbal") / 1000) * 1000
     b = table(spark, sf, "supplier").select(
         F.col("s_nationkey").alias("c_nationkey"),
-        F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("ordinal"),
+        F.col("s_suppkey").alias("ordinal"),
         F.col("s_name").alias("label"),
         F.when(F.col("s_acctbal") > 1000, base).alias("lower"),
         F.when(F.col("s_acctbal") < 9000, base + 999).alias("upper"),
