@@ -56,14 +56,18 @@ def ordered_join(
         F.lit(0).cast("bigint").alias("__seq"),
         F.struct(*[F.col(c) for c in kept]).alias("__left"),
     )
-    rows = right_rows.unionByName(left_rows, allowMissingColumns=True).withColumn("__slice", slice_of(F.col("__at")))
+    right_rows = right_rows.withColumn("__slice", slice_of(F.col("__at")))
+    left_rows = left_rows.withColumn("__slice", slice_of(F.col("__at")))
 
     # Last right row of every (key, slice), carried to the next slices of the key.
-    order = F.when(F.col("__late") == 0, F.struct("__at", "__seq"))
-    closing = rows.groupBy(*keys, "__slice").agg(F.max_by("__right", order).alias("__close"))
+    closing = right_rows.groupBy(*keys, "__slice").agg(F.max_by("__right", F.struct("__at", "__seq")).alias("__close"))
+    visited = left_rows.select(*keys, "__slice").distinct()
+    slices = closing.unionByName(visited, allowMissingColumns=True).groupBy(*keys, "__slice").agg(
+        F.first("__close", ignorenulls=True).alias("__close")
+    )
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        closing.withColumn("__right", F.last("__close", ignorenulls=True).over(before))
+        slices.withColumn("__right", F.last("__close", ignorenulls=True).over(before))
         .where(F.col("__right").isNotNull())
         .select(*keys, F.col("__right.__at").alias("__at"), F.lit(0).alias("__late"),
                 F.lit(0).cast("bigint").alias("__seq"), "__right", "__slice")
@@ -74,7 +78,8 @@ def ordered_join(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     matched = (
-        rows.unionByName(carried, allowMissingColumns=True)
+        right_rows.unionByName(left_rows, allowMissingColumns=True)
+        .unionByName(carried, allowMissingColumns=True)
         .withColumn("__hit", F.last("__right", ignorenulls=True).over(inside))
         .where(F.col("__late") == 1)
     )

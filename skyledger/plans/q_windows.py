@@ -43,11 +43,15 @@ def w17(spark, sf):
     return out.select("market_id", day("target_date").alias("day"), "ordinal")
 
 
-@query("o01_canonical_order", f"WITH {FRAME} SELECT market_id, strftime(target_date, '%Y-%m-%d') AS day, ordinal FROM o WHERE ordinal < 500")
+@query(
+    "o01_canonical_order",
+    f"WITH {FRAME} SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY target_date, decision_time_utc, market_id, decision_horizon, l_orderkey, l_linenumber, l_extendedprice) - 1 AS ordinal FROM fr",
+)
 def o01(spark, sf):
-    """Head of the canonical order, found by position instead of a global sort."""
-    out = D.group_ordinal(split_frame(spark, sf), ["market_id", "target_date"])
-    return out.where(F.col("ordinal") < 500).select("market_id", day("target_date").alias("day"), "ordinal")
+    """Place of every row in the canonical order, found without a one-task sort."""
+    f = split_frame(spark, sf)
+    order = [*D.canonical_order(f), "l_orderkey", "l_linenumber", "l_extendedprice"]
+    return D.global_ordinal(f, order).select("l_orderkey", "l_linenumber", "l_extendedprice", "ordinal")
 
 
 @query(
