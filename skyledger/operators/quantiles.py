@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICES_PER_OCTAVE = 256
+SLICES_PER_OCTAVE = 4096
 
 
 def value_slice(value: Column, per_octave: int = SLICES_PER_OCTAVE) -> Column:
@@ -91,6 +91,24 @@ def grouped_quantiles(
     return out.select(*[F.col(a).alias(k) for k, a in zip(keys, gk)], *quantiles)
 
 
+def many_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """Quantiles of several columns per group in one job: {column: {name: q}}."""
+    if len(wanted) == 1:
+        ((column, named),) = wanted.items()
+        return grouped_quantiles(df, keys, column, named)
+    pairs = F.array(*[F.struct(F.lit(c).alias("__metric"), F.col(c).cast("double").alias("__value")) for c in wanted])
+    levels = {f"q{i}": q for i, q in enumerate(sorted({q for named in wanted.values() for q in named.values()}))}
+    long = df.select(*keys, F.inline(pairs))
+    found = grouped_quantiles(long, [*keys, "__metric"], "__value", levels)
+    column_of = {q: n for n, q in levels.items()}
+    picks = [
+        F.max(F.when(F.col("__metric") == c, F.col(column_of[q]))).alias(name)
+        for c, named in wanted.items()
+        for name, q in named.items()
+    ]
+    return found.groupBy(*keys).agg(*picks)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on keys where null equals null; keeps the left key columns."""
     if not keys:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyledger.operators.quantiles import grouped_quantiles, null_safe_join
+from skyledger.operators.quantiles import grouped_quantiles, many_quantiles, null_safe_join
 
 # Reasons that make a row a near miss, and those blamed on the spread.
 NEAR_MISS_REASONS = (
@@ -188,8 +188,9 @@ def log_summary(
     out = out.withColumn("__gate", gate).select(
         "*", F.col("__gate.decision").alias("gate_decision"), F.col("__gate.decision_reason").alias("gate_reason")
     ).drop("__gate")
-    for column, name in (medians or {}).items():
-        out = null_safe_join(out, grouped_quantiles(rows, ["level", "grp"], column, {name: 0.5}), ["level", "grp"])
+    if medians:
+        found = many_quantiles(rows, ["level", "grp"], {c: {name: 0.5} for c, name in medians.items()})
+        out = null_safe_join(out, found, ["level", "grp"])
     return out
 
 
