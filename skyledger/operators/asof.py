@@ -54,7 +54,7 @@ def ordered_join(
         left_order.alias("__at"),
         F.lit(1).alias("__late"),
         F.lit(0).cast("bigint").alias("__seq"),
-        F.struct(*[F.col(c) for c in kept]).alias("__left"),
+        F.struct(F.lit(1).alias("__row"), *[F.col(c) for c in kept]).alias("__left"),
     )
     right_rows = right_rows.withColumn("__slice", slice_of(F.col("__at")))
     left_rows = left_rows.withColumn("__slice", slice_of(F.col("__at")))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import numeric as N
 from skyledger.operators import bins as B
-from skyledger.operators import features as X
 from skyledger.operators import models as M
 from skyledger.operators import scoring as S
 from skyledger.operators import trade as T

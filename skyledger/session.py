@@ -34,7 +34,12 @@ def build_session(app_name: str = "skyledger", master: str | None = None, shuffl
     """Create a session; leave ``master`` unset on a cluster."""
     builder = SparkSession.builder.appName(app_name)
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        builder = (
+            builder.master(master)
+            .config("spark.driver.memory", "8g")
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+        )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return configure(builder.getOrCreate())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +72,3 @@ def write_leaderboard(df: DataFrame, path: str) -> None:
     """CSV with a header and columns in name order."""
     df.select(*sorted(df.columns)).write.mode("overwrite").option("header", True).csv(path)
 
-
-def manifest_json(entries: dict) -> str:
-    return json.dumps(entries, sort_keys=True)

@@ -168,3 +168,31 @@ def test_range_join_takes_the_first_bin(spark):
     vals = spark.createDataFrame([("m", 1, 5.2), ("m", 2, 9.5), ("m", 3, 4.0), ("n", 4, 4.0), ("m", 5, 5.2), ("m", 6, None)], "m string, id int, v double")
     got = {r["id"]: r["winning_label"] for r in B.range_join_bins(vals, bins, ["m"], "v").collect()}
     assert got == {1: "lo", 2: "hi", 3: "lo", 4: None, 5: "lo", 6: None}
+
+
+def test_polynomial_fits_match_numpy_plain_and_scaled(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 2)) * [3, 0.5] + [10, 1]
+    y = 1 + x[:, 0] - 2 * x[:, 1] + 0.3 * x[:, 0] * x[:, 1] + rng.normal(size=200)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "i int, a double, b double, y double")
+    design = np.column_stack([np.ones(200), x, x[:, 0] ** 2, x[:, 0] * x[:, 1], x[:, 1] ** 2])
+    want = design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    for scale in (False, True):
+        wide, fit = M.fit_polynomial(df, ["a", "b"], "y", scale)
+        got = [r["pred_mean"] for r in fit.score(wide).orderBy("i").collect()]
+        assert got == pytest.approx(list(want), rel=1e-7)
+
+
+def test_stacked_experts_give_weights_and_a_mixture(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"m{i % 7}", dt.date(2025, 1, 1) + dt.timedelta(days=i // 4), float(v), float(v * 2 + rng.normal())) for i, v in enumerate(rng.normal(size=240))]
+    df = spark.createDataFrame(rows, "market_id string, target_date date, x double, y double").withColumn("z", F.col("x") * F.col("x"))
+    out = M.stacked_gaussian(df, ["x", "z"], ["x"], "y", ["target_date"], max_iter=2, n_splits=2).collect()
+    assert len(out) == 240
+    for r in out:
+        w = [r[f"weight_{e}"] for e in ("blend", "leadtime", "tree")]
+        m = [r[f"mean_{e}"] for e in ("blend", "leadtime", "tree")]
+        assert sum(w) == pytest.approx(1.0)
+        assert r["pred_mean"] == pytest.approx(float(np.dot(w, m)))
+        assert r["pred_std"] >= 0.25
+    assert np.mean([abs(r["y"] - r["pred_mean"]) for r in out]) < 1.2
