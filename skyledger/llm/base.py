@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.session import scratch_path
@@ -69,3 +69,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hash_sample(rows: DataFrame, key: str, share: float) -> DataFrame:
+    """The rows whose key's hash falls into the given share: the same rows in every run."""
+    steps = 1 << 30
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(steps)) < int(min(1.0, share) * steps))
+
+
+def fold(modulus: int) -> Column:
+    """``crc32(doc_id as text) mod modulus``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
