@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from skyledger.llm.base import map_batches, query, stored, table, texts
 from skyledger.llm.shingles import GOLDEN, WordHashes, digest, mix, shingles
 
-#: 40 bands of 5 registers miss a pair of similarity 0.8 with a chance of about 1e-7.
-BANDS, ROWS = 40, 5
+#: A pair of similarity 0.8 shares fewer than 3 of 50 bands of 5 registers with a chance of about 8e-7.
+BANDS, ROWS = 50, 5
+#: Bands that a pair has to share; nodes that share fewer with all others leave the buckets.
+SHARED = 3
 #: Elements that are hashed together.
 CHUNK = 1 << 16
-#: Leaders of a bucket in each round after the first.
-LEADERS = 4
+#: A bucket has one leader in the first round and so many times more in each later one.
+MORE_LEADERS = 4
 #: Up to so many document ids are sent to all tasks; more are joined by a shuffle.
 SMALL_IDS = 100_000
 
@@ -175,21 +177,34 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both")).where(F.col("common") * 100 >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
 
+def still_mixed(tagged: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component; ``main`` is the label of the largest."""
+    parts = tagged.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("most")).where("k > 1")
+    return tagged.select("key", "node", "label").join(keys.select("key", F.col("most.label").alias("main")), "key")
+
+
+def still_shared(tagged: DataFrame) -> DataFrame:
+    """Rows of the nodes that are in enough buckets to share ``SHARED`` of them with any other node."""
+    often = tagged.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("node")
+    return tagged.join(often, "node", "left_semi")
+
+
 def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(``node``, ``label``) of the nodes of ``members`` (``key``, ``node``); labels are equal in a component."""
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
     leaders = 1
     while True:
         tagged = stored(members.join(labels, "node").select("key", "node", "label"), "buckets")
-        parts = tagged.groupBy("key", "label").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("most")).where("k > 1").select("key", F.col("most.label").alias("main"))
-        tagged = stored(tagged.join(mixed, "key"), "mixed")
+        tagged = stored(still_mixed(still_shared(still_mixed(tagged))), "mixed")
         if tagged.isEmpty():
             return labels
         nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        chosen = tagged.where("label <> main").withColumn("nth", nth).where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-        chosen = stored(chosen, "leaders")
-        met = tagged.join(chosen, "key").where("label <> leader_label")
+        chosen = tagged.where("label <> main").withColumn("nth", nth).where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"), "main")
+        # a leader in too few buckets with the largest component has no link to it
+        close = tagged.where("label <> main").groupBy(F.col("node").alias("leader"), "main").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("leader", "main", F.lit(True).alias("close"))
+        chosen = stored(chosen.join(close, ["leader", "main"], "left").drop("main"), "leaders")
+        met = tagged.join(chosen, "key").where("label <> leader_label AND (close OR label <> main)")
         pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         links = stored(linked(pairs, sets, percent), "links")
         members = tagged.select("key", "node").join(chosen.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
@@ -198,7 +213,7 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             edges = links.join(own, "a").join(other, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
             roots = star_forest(edges).toDF("label", "root")
             labels = stored(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        leaders = LEADERS
+        leaders *= MORE_LEADERS
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
