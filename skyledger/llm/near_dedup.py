@@ -242,6 +242,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def keep_first(spark, docs: DataFrame, sf_dir: str, size: int = 5, percent: int = 80) -> DataFrame:
+    """Pipeline stage: of each component the document of the smallest id stays, whole rows.
+
+    Documents without words are linked with nothing and stay. Of repeated rows of the kept id one stays;
+    where all ids of a component are null, one of its rows.
+    """
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    found = near_duplicates(own, size, percent).where("n_shingles > 0")
+    goes = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    stays = own.join(goes, own["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.when(wordless, F.monotonically_increasing_id())).orderBy("lang", "source", "n_chars"))
+    return stays.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
 @query("op5_superminhash_dedup")
 def op5(spark, sf_dir):
     """Near-duplicate components of all documents on four-word shingles."""
