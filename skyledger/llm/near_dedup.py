@@ -79,7 +79,7 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``node`` (digest of the set; null for none) and ``bands`` of each document."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``node`` (digest of the set; null for none) and ``bands``."""
 
     def run(batches):
         words = WordHashes()
@@ -96,9 +96,10 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 if own is not None and len(own):
                     chunk.append(i)
                     held += len(own)
-            yield {"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "node": [digest(s) if len(s) else None for s in sets], "bands": keys}
+            yield {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "node": [digest(s) if len(s) else None for s in sets], "bands": keys}
 
-    return map_batches(texts(docs), run, "doc_id long, n_shingles long, node binary, bands array<bigint>")
+    own = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(own, run, "doc_id long, text_hash long, n_shingles long, node binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -217,12 +218,13 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and
+    ``text_hash``.
 
     ``component_id`` is the smallest doc_id of all documents reachable over links. Documents without
-    words (null and empty texts) are linked with nothing, equal sets are linked. A null id is smaller
-    than none: a component's id is null only where all its ids are. Rows that repeat an id with another
-    text are nodes of their own. Other columns of ``docs`` are left behind.
+    words (null and empty texts) are linked with nothing, equal sets are linked. Null ids name
+    no component: a component's id is null only where all its ids are, and one set of it is kept. Rows that
+    repeat an id with another text are nodes of their own. Other columns of ``docs`` are left behind.
     """
     docs = docs.select("doc_id", "text")
     every = stored(signed(docs, size, bands, rows), "signatures")
@@ -236,10 +238,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     sets = stored(shingle_sets(docs, wanted, size), "sets")
     labels = node_components(members, sets, percent)
     groups = ids.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    named = groups.join(groups.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("node", "component_id")
-    out = every.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = groups.join(groups.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("node", "component_id", "label")
+    out = every.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    nameless = F.col("node").isNotNull() & F.col("component_id").isNull()
+    kept = F.when(nameless, F.col("node") == F.col("label")).otherwise(component.eqNullSafe(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str, size: int = 5, percent: int = 80) -> DataFrame:
@@ -249,12 +253,12 @@ def keep_first(spark, docs: DataFrame, sf_dir: str, size: int = 5, percent: int
     where all ids of a component are null, one of its rows.
     """
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    found = near_duplicates(own, size, percent).where("n_shingles > 0")
-    goes = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    stays = own.join(goes, own["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    hashed = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    goes = near_duplicates(own, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("hash")).distinct()
+    stays = hashed.join(goes, hashed["doc_id"].eqNullSafe(F.col("gone")) & (hashed["text_hash"] == F.col("hash")), "left_anti")
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.when(wordless, F.monotonically_increasing_id())).orderBy("lang", "source", "n_chars"))
-    return stays.withColumn("nth", nth).where("nth = 1").drop("nth")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash", F.when(wordless, F.monotonically_increasing_id())).orderBy("lang", "source", "n_chars"))
+    return stays.withColumn("nth", nth).where("nth = 1").drop("nth", "text_hash")
 
 
 @query("op5_superminhash_dedup")
