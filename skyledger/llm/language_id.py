@@ -39,6 +39,8 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
     inner = points[1:-1] != 32
     grams = np.concatenate((points[points != 32], (points[:-1] << 21) | points[1:], ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inner]))
+    if not len(grams):
+        return grams, grams
     grams.sort()
     starts = np.concatenate(([0], np.nonzero(grams[1:] != grams[:-1])[0] + 1))
     return grams[starts], np.diff(np.concatenate((starts, [len(grams)])))
@@ -47,8 +49,6 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 def ranked(text: str, size: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams of a text, most frequent first, ties by code; none without a letter."""
     grams, counts = gram_counts(text)
-    if len(grams) <= 1:
-        return grams[:0]
     return grams[np.argsort(-counts, kind="stable")[:size]]
 
 

@@ -33,8 +33,9 @@ SAMPLE_DOCS = 4000
 SAMPLE_STRINGS = 20000
 #: Seeded random strings, so that the random model knows alphabets that the sample lacks.
 SEEDED = 3000
-#: Least log likelihood ratio per character, and the least length of a scored token.
-LEAST_RATIO, LEAST_LENGTH = 0.7, 20
+#: Least log likelihood ratio per character, length, and changes between letters and digits of a token.
+LEAST_RATIO, LEAST_LENGTH, LEAST_CHANGES = 0.3, 20, 3
+CHANGE = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -111,11 +112,11 @@ def scorer(ratio: np.ndarray):
 
 
 def model_spans(text: str, spans: list[tuple[int, int, str]], score) -> list[tuple[int, int, str]]:
-    """Long tokens apart from all base spans, with a letter and a digit, that look random."""
+    """Long tokens apart from all base spans, of mixed letters and digits, that look random."""
     out = []
     for run in LONG_RUN.finditer(text):
         token = run[0]
-        if len(token) < LEAST_LENGTH or token.isalpha() or not re.search(r"[0-9]", token) or not re.search(r"[A-Za-z]", token):
+        if len(token) < LEAST_LENGTH or token.isalpha() or len(CHANGE.findall(token)) < LEAST_CHANGES:
             continue
         if any(start < run.end() and run.start() < end for start, end, _ in spans):
             continue
