@@ -10,7 +10,9 @@ declares to be the article stays even where it recurs: copies and shared passage
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -19,12 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.base import map_batches, query, table
+from skyledger.llm.base import map_batches, query, stored, table
 
 #: A run is long from so many tokens on, and boilerplate from so many distinct pages on.
 RUN_TOKENS, RUN_PAGES = 8, 3
 #: Characters of HTML that make up a block of pages of one host.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
+#: Up to so many hosts' block numbers are sent to all tasks; more are joined by a shuffle.
+SMALL_HOSTS = 100_000
 
 # Elements of the HTML standard by their role here.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -78,6 +82,10 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         if not mark[2]:
             continue
         tag = mark[2].lower()
+        if tag in RAW and not mark[1]:  # unseen, so it parts no block
+            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, mark.end())
+            raw_end = end.end() if end else len(html)
+            continue
         if tag in INLINE:
             if tag == "br" and not dropped:
                 parts.append(" ")
@@ -92,10 +100,6 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                     main, dropped = open_[-1][1:] if open_ else (False, False)
                     break
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, mark.end())
-            raw_end = end.end() if end else len(html)
-            continue
         if tag in VOID or mark[3].endswith("/"):
             continue
         if open_ and open_[-1][0] == "p" and tag not in INLINE:  # a block ends a paragraph
@@ -146,9 +150,8 @@ def repeated_tokens(pages: list[list[str]], run: int = RUN_TOKENS, least: int =
     return [covered[e - len(p) - 1 : e - 1] for e, p in zip(ends, pages, strict=True)]
 
 
-def main_texts(htmls: list[str]) -> Iterator[tuple[str, int, int]]:
+def main_texts(found: list[list[tuple[str, bool]]]) -> Iterator[tuple[str, int, int]]:
     """The main text, its repeated tokens and the blocks removed as boilerplate, for pages of one host."""
-    found = [blocks(html) for html in htmls]
     tokens = [[TOKEN.findall(text) for text, _ in page] for page in found]
     covered = repeated_tokens([[t for block in page for t in block] for page in tokens])
     for page, page_tokens, mask in zip(found, tokens, covered, strict=True):
@@ -170,22 +173,31 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
     Null and empty html gives an empty text. A host of many pages is dealt into blocks by the hash of the
     page, so that no task holds a whole host; a null or odd url is the host of the empty name. Repeated
-    rows have a row each. Other columns of ``pages`` are left behind.
+    rows have a row each. Other columns of ``pages`` are left behind. Pages are cut before they are dealt,
+    so what is shuffled is their packed text blocks.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    sizes = own.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / block_chars).alias("parts"))
+    sizes = stored(own.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / block_chars).alias("parts")), "hosts")
+    if sizes.count() <= SMALL_HOSTS:
+        sizes = F.broadcast(sizes)
     part = F.pmod(F.xxhash64("page_id", "url"), F.greatest("parts", F.lit(1)))
-    dealt = own.join(sizes, "host").select("page_id", "url", "html", "host", part.alias("part"))
-    spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
+    named = own.join(sizes, "host").select("page_id", "url", "html", "host", part.alias("part"))
+
+    def cut(batches):
+        for batch in batches:
+            batch["packed"] = [zlib.compress(json.dumps(blocks(html)).encode(), 1) for html in batch.pop("html")]
+            yield batch
+
+    packed = map_batches(named, cut, "page_id long, url string, host string, part long, packed binary")
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packed.repartition(n, "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
 
     def run(batches):
         held: list[tuple] = []
         at = None
         for batch in batches:
-            for row in zip(*(batch[c] for c in ("page_id", "url", "html", "host", "part")), strict=True):
+            for row in zip(*(batch[c] for c in ("page_id", "url", "packed", "host", "part")), strict=True):
                 if row[3:] != at and held:
                     yield done(held)
                     held = []
@@ -195,7 +207,7 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             yield done(held)
 
     def done(rows):
-        found = list(main_texts([r[2] for r in rows]))
+        found = list(main_texts([json.loads(zlib.decompress(r[2])) for r in rows]))
         return {"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "text": [f[0] for f in found], "n_chars": [len(f[0]) for f in found], "n_repeated": [f[1] for f in found], "n_removed": [f[2] for f in found]}
 
     return map_batches(dealt, run, "page_id long, url string, text string, n_chars long, n_repeated long, n_removed long")

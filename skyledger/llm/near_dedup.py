@@ -27,6 +27,8 @@ SHARED = 3
 CHUNK = 1 << 16
 #: A bucket has one leader in the first round and so many times more in each later one.
 MORE_LEADERS = 4
+#: Components of so many nodes are compared with a node by their union first.
+LARGE = 16
 #: Up to so many document ids are sent to all tasks; more are joined by a shuffle.
 SMALL_IDS = 100_000
 
@@ -191,6 +193,24 @@ def still_shared(tagged: DataFrame) -> DataFrame:
     return tagged.join(often, "node", "left_semi")
 
 
+def within_union(close: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (``node``, ``main``) that may hold a link, by what the node shares with the component's union.
+
+    A link to a member y needs percent / (100 + percent) of |x| + |y| in common, and no more than the
+    common part with the union of all members can be; y has at least the smallest member's size. Small
+    components are not worth their union and pass.
+    """
+    sizes = labels.join(close.select(F.col("main").alias("label")).distinct(), "label").join(sets, "node")
+    large = sizes.groupBy("label").agg(F.count("*").alias("k"), F.min(F.size("shingles")).alias("least")).where(F.col("k") >= LARGE).select(F.col("label").alias("main"), "least")
+    union = sizes.select(F.col("label").alias("main"), F.explode("shingles").alias("s")).join(large.select("main"), "main", "left_semi").distinct()
+    own = close.join(large, "main").join(sets, "node")
+    common = own.select("node", "main", F.explode("shingles").alias("s")).join(union, ["main", "s"], "left_semi").groupBy("node", "main").agg(F.count("*").alias("common"))
+    near = own.select("node", "main", "least", F.size("shingles").alias("n")).join(common, ["node", "main"])
+    near = near.where(F.col("common") * (100 + percent) >= percent * (F.col("n") + F.col("least"))).select("node", "main")
+    small = close.join(large.select("main"), "main", "left_anti").select("node", "main")
+    return near.union(small)
+
+
 def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(``node``, ``label``) of the nodes of ``members`` (``key``, ``node``); labels are equal in a component."""
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
@@ -200,15 +220,24 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         tagged = stored(still_mixed(still_shared(still_mixed(tagged))), "mixed")
         if tagged.isEmpty():
             return labels
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        chosen = tagged.where("label <> main").withColumn("nth", nth).where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"), "main")
-        # a leader in too few buckets with the largest component has no link to it
-        close = tagged.where("label <> main").groupBy(F.col("node").alias("leader"), "main").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("leader", "main", F.lit(True).alias("close"))
-        chosen = stored(chosen.join(close, ["leader", "main"], "left").drop("main"), "leaders")
-        met = tagged.join(chosen, "key").where("label <> leader_label AND (close OR label <> main)")
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        if leaders == 1:  # the smallest node of a bucket, mostly one and the same in all buckets of a group
+            first = tagged.groupBy("key").agg(F.min("node").alias("leader"))
+            pairs = tagged.join(first, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+            met = first.select("key", F.col("leader").alias("node"))
+        else:
+            minor = tagged.where("label <> main")
+            close = within_union(stored(minor.select("node", "main").distinct(), "close"), labels, sets, percent)
+            minor = minor.join(close.withColumn("close", F.lit(True)), ["node", "main"], "left")
+            nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            # who leads anywhere leads in all its buckets, so that the buckets a pair shares can be counted
+            met = stored(minor.select("key", "node").withColumn("nth", nth).where(F.col("nth") <= leaders).select("node").distinct(), "picked")
+            chosen = minor.join(met, "node", "left_semi").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"), "close")
+            marked = tagged.join(met.withColumn("leads", F.lit(True)), "node", "left")
+            sharing = marked.join(chosen, "key").where("label <> leader_label AND (close OR label <> main) AND (leads IS NULL OR node > leader)")
+            counted = sharing.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count("*").alias("n"))
+            pairs = counted.where(F.col("n") >= SHARED).select("a", "b")
         links = stored(linked(pairs, sets, percent), "links")
-        members = tagged.select("key", "node").join(chosen.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+        members = tagged.select("key", "node").join(met, met.columns, "left_anti")
         if not links.isEmpty():
             own, other = labels.toDF("a", "la"), labels.toDF("b", "lb")
             edges = links.join(own, "a").join(other, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
@@ -232,7 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     # equal sets have equal bands, so one row of each node is enough
     nodes = every.where("node IS NOT NULL").join(ids, "node").where(every["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "bands")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(buckets.join(shared, "key").distinct(), "members")
     wanted = stored(ids.join(members.select("node").distinct(), "node").select("doc_id", "node"), "wanted")
     sets = stored(shingle_sets(docs, wanted, size), "sets")
