@@ -29,6 +29,8 @@ CHUNK = 1 << 16
 MORE_LEADERS = 4
 #: Components of so many nodes are compared with a node by their union first.
 LARGE = 16
+#: Up to so many shingles of leaders (8 bytes each) are sent to all tasks.
+SMALL_SHINGLES = 4_000_000
 #: Up to so many document ids are sent to all tasks; more are joined by a shuffle.
 SMALL_IDS = 100_000
 
@@ -170,14 +172,20 @@ def star_forest(edges: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have at least ``percent`` / 100 of their union in common."""
-    left = sets.toDF("a", "sa")
-    right = sets.toDF("b", "sb")
-    sizes = F.size("sa") * 100 >= F.size("sb") * percent
-    sizes = sizes & (F.size("sb") * 100 >= F.size("sa") * percent)
-    met = pairs.join(right, "b").join(left, "a").where(sizes)
+    """The pairs whose full sets have at least ``percent`` / 100 of their union in common.
+
+    ``a`` are the leaders: few, so their sets go to all tasks while they are small, and are joined by a
+    shuffle beyond that. Sizes are compared before any set moves.
+    """
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    pairs = stored(sized.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)), "pairs")
+    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").toDF("a", "sa")
+    if left.agg(F.coalesce(F.sum(F.size("sa")), F.lit(0))).first()[0] <= SMALL_SHINGLES:
+        left = F.broadcast(left)
+    met = pairs.join(sets.toDF("b", "sb"), "b").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return met.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both")).where(F.col("common") * 100 >= percent * (F.col("both") - F.col("common"))).select("a", "b")
+    return met.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("both")).where(F.col("common") * 100 >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def still_mixed(tagged: DataFrame) -> DataFrame:
@@ -227,14 +235,13 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         else:
             minor = tagged.where("label <> main")
             close = within_union(stored(minor.select("node", "main").distinct(), "close"), labels, sets, percent)
-            minor = minor.join(close.withColumn("close", F.lit(True)), ["node", "main"], "left")
             nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
             # who leads anywhere leads in all its buckets, so that the buckets a pair shares can be counted
             met = stored(minor.select("key", "node").withColumn("nth", nth).where(F.col("nth") <= leaders).select("node").distinct(), "picked")
-            chosen = minor.join(met, "node", "left_semi").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"), "close")
-            marked = tagged.join(met.withColumn("leads", F.lit(True)), "node", "left")
-            sharing = marked.join(chosen, "key").where("label <> leader_label AND (close OR label <> main) AND (leads IS NULL OR node > leader)")
-            counted = sharing.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count("*").alias("n"))
+            marked = tagged.join(close.withColumn("close", F.lit(True)), ["node", "main"], "left").join(met.withColumn("leads", F.lit(True)), "node", "left")
+            chosen = marked.where("leads").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"), F.col("close").alias("leader_close"))
+            sharing = marked.join(chosen, "key").where("label <> leader_label AND (leads IS NULL OR node > leader) AND (label <> main OR leader_close) AND (leader_label <> main OR close)")
+            counted = sharing.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
             pairs = counted.where(F.col("n") >= SHARED).select("a", "b")
         links = stored(linked(pairs, sets, percent), "links")
         members = tagged.select("key", "node").join(met, met.columns, "left_anti")
