@@ -8,7 +8,7 @@ Tree and logistic models use MLlib.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,14 +33,18 @@ RESIDUAL_RANGE = (0.25, 12.0)
 
 @dataclass
 class LinearFit:
-    """Coefficients over named feature expressions; scores inside the JVM."""
+    """Coefficients over named feature expressions; scores inside the JVM.
+
+    A missing feature counts as its fitted median, in the fit and when scoring.
+    """
 
     features: list[str]
     coefficients: list[float]
     intercept: float
+    medians: dict[str, float] = field(default_factory=dict)
 
     def column(self) -> Column:
-        terms = [F.lit(float(c)) * F.col(f) for f, c in zip(self.features, self.coefficients)]
+        terms = [F.lit(float(c)) * filled(f, self.medians) for f, c in zip(self.features, self.coefficients)]
         return reduce(lambda a, b: a + b, terms, F.lit(float(self.intercept)))
 
 
@@ -62,6 +66,51 @@ class GaussianFit:
         return df.withColumn(mean, self.mean.column()).withColumn(std, self.std())
 
 
+def filled(feature: str, medians: Mapping[str, float]) -> Column:
+    """A feature as a number, its median where it is missing (null or NaN)."""
+    value = F.col(feature).cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.lit(medians[feature])).otherwise(value) if feature in medians else value
+
+
+def missing_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Medians of the features that have missing values; most fits need none."""
+    from skyledger.operators.features import feature_medians
+
+    if not features:
+        return {}
+    value = {f: F.col(f).cast("double") for f in features}
+    counts = df.agg(*[F.count(F.when(value[f].isNull() | F.isnan(value[f]), 1)).alias(f"n{i}") for i, f in enumerate(features)]).first()
+    gaps = [f for i, f in enumerate(features) if counts[i]]
+    if not gaps:
+        return {}
+    present_only = df.select(*[F.when(~F.isnan(value[f]), value[f]).alias(f) for f in gaps])
+    return {r["feature"]: float(r["median"]) for r in feature_medians(present_only, gaps).collect()}  # one row a feature
+
+
+#: Features of a block: a pair of blocks is one aggregate, so no width makes a plan too large.
+BLOCK = 48
+
+
+def centred_sums(df: DataFrame, x: Sequence[Column], y: Column, weight: Column) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums of weighted products of the centred (x..., y), their means and the weight sum."""
+    columns = [*x, y]
+    rows = df.select(weight.alias("w"), *[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    k = len(columns)
+    first = rows.agg(F.sum("w"), *[F.sum(F.col("w") * F.col(f"c{i}")) for i in range(k)]).first()
+    total = float(first[0] or 0.0)
+    means = np.array([float(first[i + 1] or 0.0) / total if total else 0.0 for i in range(k)])
+    centred = [F.col(f"c{i}") - F.lit(float(means[i])) for i in range(k)]
+    out = np.zeros((k, k))
+    blocks = [range(i, min(i + BLOCK, k)) for i in range(0, k, BLOCK)]
+    for a, left in enumerate(blocks):
+        for right in blocks[a:]:
+            at = [(i, j) for i in left for j in right if i <= j]
+            sums = rows.agg(*[F.sum(F.col("w") * centred[i] * centred[j]) for i, j in at]).first()
+            for (i, j), value in zip(at, sums, strict=True):
+                out[i, j] = out[j, i] = float(value or 0.0)
+    return out, means, total
+
+
 def _products(features: Sequence[str], y: Column, weight: Column) -> list[Column]:
     """Weighted sums of products of (1, features...) with themselves and with y."""
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
@@ -85,28 +134,22 @@ def _solve(sums: Sequence[float], p: int, ridge: float) -> np.ndarray:
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], y: str | Column, weight: str | None = None, ridge: float = 0.0) -> LinearFit:
-    """Ordinary or ridge least squares (penalty on raw coefficients).
+    """Ordinary or ridge least squares (penalty on raw coefficients, none on the intercept).
 
-    Up to 64 features come from one aggregate; wider designs use MLlib.
+    One algorithm at every width: sums of centred products, a pair of feature blocks an aggregate.
+    Missing features count as their median, which the fit keeps for scoring; rows without a target or
+    weight are left out.
     """
     target = (F.col(y) if isinstance(y, str) else y).cast("double")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    if len(features) > 64:
-        return _fit_mllib(df.withColumn("__y", target), list(features), weight, ridge)
-    usable = df.where(target.isNotNull())
-    beta = _solve(usable.agg(*_products(features, target, w)).first(), len(features), ridge)
-    return LinearFit(list(features), [float(b) for b in beta[1:]], float(beta[0]))
-
-
-def _fit_mllib(df: DataFrame, features: list[str], weight: str | None, ridge: float) -> LinearFit:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(df.where(F.col("__y").isNotNull()))
-    n = rows.count()
-    lr = LinearRegression(featuresCol="__x", labelCol="__y", regParam=ridge / max(n, 1), standardization=False, solver="normal")
-    model = (lr.setWeightCol(weight) if weight else lr).fit(rows)
-    return LinearFit(features, [float(c) for c in model.coefficients], float(model.intercept))
+    usable = df.where(target.isNotNull() & ~F.isnan(target) & w.isNotNull())
+    medians = missing_medians(usable, features)
+    sums, means, _ = centred_sums(usable, [filled(f, medians) for f in features], target, w)
+    gram, against = sums[:-1, :-1], sums[:-1, -1]
+    scale = np.sqrt(np.maximum(np.diag(gram) + ridge, 1e-300))
+    system = (gram + ridge * np.eye(len(features))) / np.outer(scale, scale)
+    beta = np.linalg.lstsq(system, against / scale, rcond=None)[0] / scale if len(features) else np.zeros(0)
+    return LinearFit(list(features), [float(b) for b in beta], float(means[-1] - means[:-1] @ beta), medians)
 
 
 def fit_gaussian(

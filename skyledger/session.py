@@ -45,16 +45,25 @@ def build_session(app_name: str = "skyledger", master: str | None = None, shuffl
     return configure(builder.getOrCreate())
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (local tests) a temporary folder is set.
+    Only a local session may go without one: it gets a temporary folder. Elsewhere such a folder would
+    be another one on each machine, so a cluster that names none is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        master = spark.sparkContext.master
+        if not is_local(master):
+            raise ValueError(f"spark.checkpoint.dir names no folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="skyledger-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

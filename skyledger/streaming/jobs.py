@@ -34,12 +34,16 @@ def run_available(query_writer, checkpoint: str) -> StreamingQuery:
     return q
 
 
+def checkpoint_of(path: str) -> str:
+    """The checkpoint that belongs to an output: beside it, so that a later run goes on where the last ended."""
+    return f"{path.rstrip('/')}.checkpoint"
+
+
 def append_partitioned(stream: DataFrame, path: str, time: str) -> StreamingQuery:
-    """Append records to a table partitioned by day; exactly once per record."""
-    spark = stream.sparkSession
+    """Append records to a table partitioned by day; exactly once per record, over all runs with ``path``."""
     rows = stream.withColumn("dt", F.date_format(time, "yyyy-MM-dd"))
     writer = rows.writeStream.format("parquet").outputMode("append").partitionBy("dt").option("path", path)
-    return run_available(writer, scratch_path(spark, "ckpt-append"))
+    return run_available(writer, checkpoint_of(path))
 
 
 def running_summary(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -157,12 +161,13 @@ def l2_windows(stream: DataFrame, time: str, interval: str, late: str, bucket: C
 
 def per_batch(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str) -> StreamingQuery:
     """Run a batch operator on every micro-batch and append its result by epoch, a
-    replayed epoch replacing its own output."""
+    replayed epoch replacing its own output. The checkpoint belongs to ``path``: a later run goes on with
+    the epochs after the last."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         build(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return run_available(stream.writeStream.foreachBatch(write), scratch_path(stream.sparkSession, "ckpt-batch"))
+    return run_available(stream.writeStream.foreachBatch(write), checkpoint_of(path))
 
 
 def live_panel(stream: DataFrame, ticks: DataFrame, keys: Sequence[str], path: str, **options) -> StreamingQuery:
