@@ -258,7 +258,7 @@ class ExpandingFits:
         """Predict each row with the fit of its own block."""
         t = self.table(df.sparkSession)
         # A small table by construction; past the bound Spark picks the join itself.
-        j = df.join(F.broadcast(t) if len(self.mean) <= 10_000 else t, refit)
+        j = df.join(t, refit)
 
         def dot(side: str) -> Column:
             terms = [F.col(f"__f{i}_{side}") * F.col(f) for i, f in enumerate(self.features)]

@@ -119,7 +119,7 @@ def x05(spark, sf):
     bins = B.bin_array(BIN_ROWS)
     p = roles.preds(spark, sf).withColumn("rid", F.xxhash64("market_id", "line", "city", "mean", "std", "y", "target_date"))
     p = p.withColumn("probs", B.labeled(bins, B.normal_masses(bins, F.col("mean"), F.col("std")))).withColumn("winner", B.winning_label(bins, F.col("y")))
-    long = p.select("rid", "city", "winner", F.inline("probs")).withColumn("hit", F.col("label") == F.col("winner"))
+    long = p.select("rid", "city", "winner", F.inline_outer("probs")).withColumn("hit", F.col("label") == F.col("winner"))
     blocks = M.fit_isotonic(long, "label", "prob", "hit")
     out = M.renormalize(M.apply_isotonic(long, blocks, "label", "prob"), ["rid"], "calibrated")
     return out.groupBy("label").agg(

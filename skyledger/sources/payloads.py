@@ -212,17 +212,21 @@ def grouped_event(payload: Column) -> Column:
 
 
 def book_payload(payload: Column, depth: int = 5) -> Column:
-    """Order book of a payload: sorted levels, cut to a depth, millisecond time."""
+    """Order book of a payload: sorted levels, cut to a depth, millisecond time.
+
+    Levels whose price or size is no number are left out.
+    """
     from skyledger.operators.trade import normalize_levels
 
     level = "array<struct<price:string,size:string>>"
     p = F.from_json(payload, f"struct<bids:{level},asks:{level},timestamp:string>")
 
     def numeric(levels: Column) -> Column:
-        return F.transform(
+        read = F.transform(
             F.coalesce(levels, F.array().cast(level)),
             lambda lv: F.struct(lv["price"].try_cast("double").alias("price"), lv["size"].try_cast("double").alias("size")),
         )
+        return F.filter(read, lambda lv: lv["price"].isNotNull() & lv["size"].isNotNull())
 
     return F.struct(
         normalize_levels(numeric(p["bids"]), "bid", depth).alias("bids"),
