@@ -80,3 +80,12 @@ def hash_sample(rows: DataFrame, key: str, share: float) -> DataFrame:
 def fold(modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
+
+
+def once(column: Column) -> Column:
+    """The column, held apart by a test that is always true but not foldable.
+
+    Filters on what is built from it stay above its projection. Pushed below, they would repeat the
+    array expressions under it for every use, and inside lambdas for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.base import query, table
+from skyledger.llm.base import once, query, table
 
 # Sentences of public licences and of the usual notices, normalised, by identifier.
 SENTENCES = {
@@ -98,7 +98,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     maybe = F.col("text").rlike("(?i)" + "|".join(ANCHORS))
     unwrapped = F.regexp_replace("text", r"[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*", " ")
-    out = docs.select("doc_id", text.alias("text")).withColumns({"own": F.when(maybe, identifiers(F.col("text"), CUTS[0])).otherwise(empty), "wide": F.when(maybe, identifiers(unwrapped, CUTS[1])).otherwise(empty)})
+    out = docs.select("doc_id", text.alias("text")).withColumns({"own": once(F.when(maybe, identifiers(F.col("text"), CUTS[0])).otherwise(empty)), "wide": once(F.when(maybe, identifiers(unwrapped, CUTS[1])).otherwise(empty))})
     meets = {r: follows(F.col("own"), r.sequence) | follows(F.col("wide"), r.sequence) for r in RULES}
     named = []
     for rule, met in meets.items():

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.base import query, table
+from skyledger.llm.base import once, query, table
 
 # Frequent function words of the languages at hand.
 STOP_WORDS = {
@@ -86,7 +86,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": covered.cast("long"),
+            "n_repeat_words": once(covered.cast("long")),
             "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(stops))).cast("long"),
         }
     ).drop("_text", "_pieces", "_words", "_lines", "_windows", "_pairs", "_at")
