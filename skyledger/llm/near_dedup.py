@@ -25,12 +25,13 @@ BANDS, ROWS = 50, 5
 SHARED = 3
 #: Elements that are hashed together.
 CHUNK = 1 << 16
-#: A bucket has one leader in the first round and so many times more in each later one.
-MORE_LEADERS = 4
+#: Rounds in which each node meets one leader only; then a bucket has so many leaders, and so many times
+#: more in each later round.
+TIES, MORE_LEADERS = 4, 4
 #: Components of so many nodes are compared with a node by their union first.
 LARGE = 16
 #: Up to so many shingles of leaders (8 bytes each) are sent to all tasks.
-SMALL_SHINGLES = 4_000_000
+SMALL_SHINGLES = 1_000_000
 #: Up to so many document ids are sent to all tasks; more are joined by a shuffle.
 SMALL_IDS = 100_000
 
@@ -222,16 +223,18 @@ def within_union(close: DataFrame, labels: DataFrame, sets: DataFrame, percent:
 def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(``node``, ``label``) of the nodes of ``members`` (``key``, ``node``); labels are equal in a component."""
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
-    leaders = 1
+    leaders, ties = MORE_LEADERS, TIES
     while True:
         tagged = stored(members.join(labels, "node").select("key", "node", "label"), "buckets")
         tagged = stored(still_mixed(still_shared(still_mixed(tagged))), "mixed")
         if tagged.isEmpty():
             return labels
-        if leaders == 1:  # the smallest node of a bucket, mostly one and the same in all buckets of a group
-            first = tagged.groupBy("key").agg(F.min("node").alias("leader"))
-            pairs = tagged.join(first, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-            met = first.select("key", F.col("leader").alias("node"))
+        met = None
+        if ties:  # cheap rounds: each node meets one leader, another in each round; most links merge here
+            leader = F.min(F.struct(F.xxhash64("node", F.lit(ties)).alias("h"), "node", "label"))
+            first = tagged.groupBy("key").agg(leader.alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.label").alias("la"))
+            shared = tagged.join(first, "key").where("label <> la").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
+            pairs = shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("most")).where(F.col("most.n") >= SHARED).select(F.col("most.a").alias("a"), "b")
         else:
             minor = tagged.where("label <> main")
             close = within_union(stored(minor.select("node", "main").distinct(), "close"), labels, sets, percent)
@@ -244,13 +247,16 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             counted = sharing.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
             pairs = counted.where(F.col("n") >= SHARED).select("a", "b")
         links = stored(linked(pairs, sets, percent), "links")
-        members = tagged.select("key", "node").join(met, met.columns, "left_anti")
+        members = tagged.select("key", "node")
+        if met is not None:
+            members = members.join(met, "node", "left_anti")
+            leaders *= MORE_LEADERS
         if not links.isEmpty():
             own, other = labels.toDF("a", "la"), labels.toDF("b", "lb")
             edges = links.join(own, "a").join(other, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
             roots = star_forest(edges).toDF("label", "root")
             labels = stored(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        leaders *= MORE_LEADERS
+        ties = max(0, ties - 1)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
