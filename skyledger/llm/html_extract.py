@@ -186,7 +186,7 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            batch["packed"] = [zlib.compress(json.dumps(blocks(html)).encode(), 1) for html in batch.pop("html")]
+            batch["packed"] = [zlib.compress(json.dumps(blocks(html), ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for html in batch.pop("html")]
             yield batch
 
     packed = map_batches(named, cut, "page_id long, url string, host string, part long, packed binary")
@@ -207,7 +207,7 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             yield done(held)
 
     def done(rows):
-        found = list(main_texts([json.loads(zlib.decompress(r[2])) for r in rows]))
+        found = list(main_texts([json.loads(zlib.decompress(r[2]).decode("utf-8", "surrogatepass")) for r in rows]))
         return {"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "text": [f[0] for f in found], "n_chars": [len(f[0]) for f in found], "n_repeated": [f[1] for f in found], "n_removed": [f[2] for f in found]}
 
     return map_batches(dealt, run, "page_id long, url string, text string, n_chars long, n_repeated long, n_removed long")
