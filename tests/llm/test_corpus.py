@@ -298,6 +298,15 @@ def test_base_scores_match_brute_force(spark, sf, monkeypatch):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_scores_do_not_depend_on_the_words_sent_to_tasks(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    whole = rows_of(lm_scoring.score(docs, docs.where(fold(7) != 2), steps=5), "doc_id", "n_known", "score")
+    monkeypatch.setattr(lm_scoring, "FREQUENT_WORDS", 300)  # most words take the join
+    joined = rows_of(lm_scoring.score(docs, docs.where(fold(7) != 2), steps=5), "doc_id", "n_known", "score")
+    for (doc_id, known, score), (other_id, other_known, other) in zip(whole, joined, strict=True):
+        assert (doc_id, known) == (other_id, other_known) and score == pytest.approx(other, rel=1e-6)
+
+
 def test_scores_of_odd_rows(spark, odd_docs, no_docs):
     out = lm_scoring.score(odd_docs, odd_docs, steps=5)
     assert out.count() == odd_docs.count()
