@@ -5,7 +5,9 @@ A page is cut into text blocks, each with a zone: what the mark-up itself declar
 and the like, which is dropped), and the rest. The rest is decided by repetition: the token streams of
 pages of one host are concatenated, their suffixes sorted, runs of tokens that recur on distinct pages
 are boilerplate, and blocks that such runs cover whole go; a block with a unique run stays. Text that the mark-up
-declares to be the article stays even where it recurs: copies and shared passages are content.
+declares to be the article stays even where it recurs: copies and shared passages are content. Pages of equal
+content count once. A host too large for one task is cut into blocks; its runs are counted by their hashes over
+all of them, so that what recurs is the same as if one task held the host.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.base import map_batches, query, stored, table
@@ -27,6 +30,10 @@ from skyledger.llm.base import map_batches, query, stored, table
 RUN_TOKENS, RUN_PAGES = 8, 3
 #: Characters of HTML that make up a block of pages of one host.
 BLOCK_CHARS = 1_000_000
+#: Remembered token hashes of a task, and rows that it hands on at a time.
+REMEMBERED, HANDED = 300_000, 100_000
+#: Pages of a cut host that are decided at a time.
+HELD_PAGES = 256
 #: Up to so many hosts' block numbers are sent to all tasks; more are joined by a shuffle.
 SMALL_HOSTS = 100_000
 
@@ -150,10 +157,59 @@ def repeated_tokens(pages: list[list[str]], run: int = RUN_TOKENS, least: int =
     return [covered[e - len(p) - 1 : e - 1] for e, p in zip(ends, pages, strict=True)]
 
 
-def main_texts(found: list[list[tuple[str, bool]]]) -> Iterator[tuple[str, int, int]]:
-    """The main text, its repeated tokens and the blocks removed as boilerplate, for pages of one host."""
+def content_of(page: list[tuple[str, bool]]) -> int:
+    """What pages of equal token streams share."""
+    return int.from_bytes(blake2b(" ".join(text for text, _ in page).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class TokenHashes(dict):
+    """64-bit hashes of tokens, remembered by token."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = out = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        return out
+
+
+def run_keys(tokens: list[str], host: int, hashes: TokenHashes, run: int = RUN_TOKENS) -> np.ndarray:
+    """The 64-bit key of the run of tokens from each place, with the host in it."""
+    n = len(tokens) - run + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    own = np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    key = np.full(n, host, dtype=np.uint64)
+    for i in range(run):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + own[i : i + n]
+    key ^= key >> np.uint64(31)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+
+def covered_tokens(keys: np.ndarray, n: int, common: np.ndarray, run: int = RUN_TOKENS) -> np.ndarray:
+    """Which of a page's ``n`` tokens lie in a run whose key is among ``common``."""
+    starts = np.zeros(n + 1, dtype=np.int64)
+    at = np.nonzero(np.isin(keys, common))[0]
+    starts[at] += 1
+    starts[at + run] -= 1
+    return np.cumsum(starts[:n]) > 0
+
+
+def main_texts(found: list[list[tuple[str, bool]]], host: str = "", common: np.ndarray | None = None) -> Iterator[tuple[str, int, int]]:
+    """The main text, its repeated tokens and the blocks removed as boilerplate, for pages of one host.
+
+    The pages are the whole host, or ``common`` has the keys of the runs that recur on it.
+    """
     tokens = [[TOKEN.findall(text) for text, _ in page] for page in found]
-    covered = repeated_tokens([[t for block in page for t in block] for page in tokens])
+    streams = [[t for block in page for t in block] for page in tokens]
+    if common is None:
+        places: dict[tuple[str, ...], int] = {}
+        at_ = [places.setdefault(tuple(stream), len(places)) for stream in streams]  # copies count once
+        distinct = repeated_tokens([list(p) for p in places])
+        covered = [distinct[i] for i in at_]
+    else:
+        hashes = TokenHashes()
+        covered = [covered_tokens(run_keys(stream, hashes[host], hashes), len(stream), common) for stream in streams]
     for page, page_tokens, mask in zip(found, tokens, covered, strict=True):
         kept, repeated, removed, at = [], 0, 0, 0
         for (text, declared), block in zip(page, page_tokens, strict=True):
@@ -171,46 +227,100 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``, ``n_repeated`` (kept tokens that recur
     on the host) and ``n_removed`` (blocks that went as boilerplate).
 
-    Null and empty html gives an empty text. A host of many pages is dealt into blocks by the hash of the
-    page, so that no task holds a whole host; a null or odd url is the host of the empty name. Repeated
+    Null and empty html gives an empty text. A null or odd url is the host of the empty name. Repeated
     rows have a row each. Other columns of ``pages`` are left behind. Pages are cut before they are dealt,
-    so what is shuffled is their packed text blocks.
+    so what is shuffled is their packed text blocks. A host of more than ``block_chars`` is dealt into blocks
+    by the hash of the content; each block counts its runs, the counts are summed over the host, and the keys
+    of the runs that recur go back to the blocks that hold them.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     sizes = stored(own.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / block_chars).alias("parts")), "hosts")
-    if sizes.count() <= SMALL_HOSTS:
+    state = sizes.agg(F.count("*").alias("n"), F.max("parts").alias("most")).first()
+    if state["n"] <= SMALL_HOSTS:
         sizes = F.broadcast(sizes)
-    part = F.pmod(F.xxhash64("page_id", "url"), F.greatest("parts", F.lit(1)))
-    named = own.join(sizes, "host").select("page_id", "url", "html", "host", part.alias("part"))
 
     def cut(batches):
         for batch in batches:
-            batch["packed"] = [zlib.compress(json.dumps(blocks(html), ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for html in batch.pop("html")]
+            found = [blocks(html) for html in batch.pop("html")]
+            batch["content"] = [content_of(page) for page in found]
+            batch["packed"] = [zlib.compress(json.dumps(page, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for page in found]
             yield batch
 
-    packed = map_batches(named, cut, "page_id long, url string, host string, part long, packed binary")
+    packed = map_batches(own, cut, "page_id long, url string, host string, content long, packed binary")
+    part = F.pmod("content", F.greatest("parts", F.lit(1)))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packed.repartition(n, "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
+    wide = (state["most"] or 0) > 1
+    if wide:
+        packed = stored(packed, "packed")
+    named = packed.join(sizes, "host").withColumns({"part": part, "wide": F.col("parts") > 1}).drop("parts")
+    named = named.withColumns({"block": F.xxhash64("host", "part"), "keys": F.lit(None).cast("array<bigint>")})
+    if wide:
+        named = named.unionByName(common_runs(named.where("wide"), n), allowMissingColumns=True)
+    # a block's keys come first
+    dealt = named.repartition(n, "block").sortWithinPartitions("block", F.col("keys").isNull(), "host", "part", "content", "page_id", "url")
 
     def run(batches):
         held: list[tuple] = []
-        at = None
+        at = common_at = None
+        common = none = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for row in zip(*(batch[c] for c in ("page_id", "url", "packed", "host", "part")), strict=True):
-                if row[3:] != at and held:
-                    yield done(held)
+            for row in zip(*(batch[c] for c in ("page_id", "url", "packed", "content", "block", "host", "part", "wide", "keys")), strict=True):
+                if row[4:8] != at and held:
+                    yield done(held, at, common if common_at == at[0] else none)
                     held = []
-                at = row[3:]
-                held.append(row[:3])
+                elif len(held) >= HELD_PAGES and at[3]:  # a block's keys are known, so its pages need not meet
+                    yield done(held, at, common if common_at == at[0] else none)
+                    held = []
+                at = row[4:8]
+                if row[8] is not None:
+                    common, common_at, at = np.array(row[8], dtype=np.int64), row[4], None
+                else:
+                    held.append(row[:4])
         if held:
-            yield done(held)
+            yield done(held, at, common if common_at == at[0] else none)
 
-    def done(rows):
-        found = list(main_texts([json.loads(zlib.decompress(r[2]).decode("utf-8", "surrogatepass")) for r in rows]))
+    def done(rows, at, common):
+        found = list(main_texts([json.loads(zlib.decompress(r[2]).decode("utf-8", "surrogatepass")) for r in rows], at[1], common if at[3] else None))
         return {"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "text": [f[0] for f in found], "n_chars": [len(f[0]) for f in found], "n_repeated": [f[1] for f in found], "n_removed": [f[2] for f in found]}
 
-    return map_batches(dealt, run, "page_id long, url string, text string, n_chars long, n_repeated long, n_removed long")
+    rows = dealt.select("page_id", "url", "packed", "content", "block", "host", "part", "wide", "keys")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long, n_repeated long, n_removed long")
+
+
+def common_runs(named: DataFrame, n: int) -> DataFrame:
+    """``block`` and ``keys``: for each block the keys of its runs that recur on the whole host.
+
+    All copies of a content are in one block, so the blocks' numbers of distinct contents add up. A block has
+    one row for each of its runs.
+    """
+
+    def count(batches):
+        hashes, held = TokenHashes(), []
+        at = last = None
+
+        def counted():
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(keys), HANDED):
+                yield {"key": keys[i : i + HANDED], "block": np.full(len(keys[i : i + HANDED]), at[0]), "c": c[i : i + HANDED]}
+
+        for batch in batches:
+            for block, host, part, content, packed in zip(*(batch[c] for c in ("block", "host", "part", "content", "packed")), strict=True):
+                if (block, host, part) != at:
+                    if held:
+                        yield from counted()
+                    held, at, last = [], (block, host, part), None
+                if content != last:
+                    tokens = [t for text, _ in json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass")) for t in TOKEN.findall(text)]
+                    held.append(np.unique(run_keys(tokens, hashes[host], hashes)))
+                    last = content
+        if held:
+            yield from counted()
+
+    dealt = named.select("block", "host", "part", "content", "packed").repartition(n, "block").sortWithinPartitions("block", "host", "part", "content")
+    counts = map_batches(dealt, count, "key long, block long, c long")
+    common = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).where(F.col("n") >= RUN_PAGES)
+    return common.groupBy("block").agg(F.collect_list("key").alias("keys"))
 
 
 @query("op4_html_extract")

@@ -208,3 +208,18 @@ def test_html_boilerplate_of_a_host_and_odd_pages(spark):
     assert [texts[i] for i in range(4)] == [f"Own text number {i}." for i in range(4)]
     assert texts[None] == "" and texts[9] == "" and len(texts[10]) == 100_001
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_repetition_is_over_the_whole_host(spark):
+    rest = "<div>All rights are reserved by the owners of this site</div>"
+    rows = [(i, "http://h.example/x", f"<body><p>{' '.join(f'w{i}x{j}' for j in range(40))}</p>{rest if i % 10 == 0 else ''}<article>Own text number {i % 7} of the pages here</article></body>") for i in range(60)]
+    rows += [(100 + i, f"http://small.example/{i}", f"<p>{' '.join(f'v{j}' for j in range(30))}</p>") for i in range(4)]  # copies
+    rows += [(200 + i, f"http://h.example/{i}", f"<p>{' '.join(f'u{j}' for j in range(30))}</p>") for i in range(4)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    columns = ("page_id", "url", "text", "n_chars", "n_repeated", "n_removed")
+    whole = sorted(tuple(r[c] for c in columns) for r in html_extract.extract(df).collect())
+    assert len(whole) == len(rows)
+    cut = sorted(tuple(r[c] for c in columns) for r in html_extract.extract(df, block_chars=500).collect())
+    assert cut == whole
+    assert not any("All rights" in r[2] for r in cut)
+    assert all(r[3] > 0 and r[5] == 0 for r in cut if r[0] >= 100)
