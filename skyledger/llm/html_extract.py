@@ -48,8 +48,12 @@ NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 HEADS = frozenset(("header", "masthead"))
+HIDDEN = frozenset(("hidden", "is-hidden", "visually-hidden"))
+# Elements that "/>" ends; for other raw elements it does where no end tag is theirs.
+FOREIGN = frozenset(("svg", "math"))
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.DOTALL)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 TOKEN = re.compile(r"\S+")
 
 
@@ -57,7 +61,16 @@ TOKEN = re.compile(r"\S+")
 def noisy(attributes: str, in_main: bool) -> bool:
     """Whether class, id or role name something other than the article."""
     words = {w for found in NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(found).lower())}
-    return bool(words & NOISE) or (not in_main and bool(words & HEADS)) or bool(re.search(r"\b(?:hidden|aria-hidden\s*=\s*[\"']?true)\b", attributes, re.IGNORECASE) and not re.search(r"aria-hidden\s*=\s*[\"']?false", attributes, re.IGNORECASE))
+    return bool(words & NOISE) or (not in_main and bool(words & HEADS)) or ("hidden" in attributes.lower() and hidden(attributes))
+
+
+def hidden(attributes: str) -> bool:
+    """Whether the attribute ``hidden``, ``aria-hidden`` or a whole class name hides the element."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "class" and not HIDDEN.isdisjoint(value.split())):
+            return True
+    return False
 
 
 def blocks(html: str) -> list[tuple[str, bool]]:
@@ -90,6 +103,10 @@ def blocks(html: str) -> list[tuple[str, bool]]:
             continue
         tag = mark[2].lower()
         if tag in RAW and not mark[1]:  # unseen, so it parts no block
+            if mark[3].endswith("/"):
+                ahead = None if tag in FOREIGN else re.compile(rf"<(/?){tag}\b", re.IGNORECASE).search(html, mark.end())
+                if not ahead or not ahead[1]:
+                    continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, mark.end())
             raw_end = end.end() if end else len(html)
             continue

@@ -223,3 +223,15 @@ def test_html_repetition_is_over_the_whole_host(spark):
     assert cut == whole
     assert not any("All rights" in r[2] for r in cut)
     assert all(r[3] > 0 and r[5] == 0 for r in cut if r[0] >= 100)
+
+
+def test_html_keeps_what_only_mentions_hidden_or_closes_itself():
+    kept = ['<div style="overflow:hidden">', '<div class="overflow-hidden">', "<div title='hidden gems'>", '<article class="is-overflow-hidden">', '<div aria-hidden="false">', "<div data-hidden=1>", '<div title="a hidden b" id=x>']
+    gone = ["<div hidden>", '<div hidden="">', '<div id="x" HIDDEN>', '<div aria-hidden="true">', "<div aria-hidden=true>", '<div class="a hidden">']
+    for tag in kept:
+        assert [t for t, _ in html_extract.blocks(f"{tag}Text")] == ["Text"], tag
+    for tag in gone:
+        assert html_extract.blocks(f"{tag}Text") == [], tag
+    texts = lambda html: [t for t, _ in html_extract.blocks(html)]
+    assert texts('<p>a <svg width="1"/> b <math/> c</p><svg><text>x</text></svg><p>d</p>') == ["a b c", "d"]
+    assert texts('<p>a<script src="x"/> b</p>') == ["a b"] and texts('<p>a<iframe src=/x/>in</iframe> b</p>') == ["a b"]
