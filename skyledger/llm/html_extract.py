@@ -267,9 +267,7 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     packed = map_batches(own, cut, "page_id long, url string, host string, content long, packed binary")
     part = F.pmod("content", F.greatest("parts", F.lit(1)))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = (state["most"] or 0) > 1
-    if wide:
-        packed = stored(packed, "packed")
+    wide = (state["most"] or 0) > 1  # then pages are cut twice: a stored copy would be more disk than that is time
     named = packed.join(sizes, "host").withColumns({"part": part, "wide": F.col("parts") > 1}).drop("parts")
     named = named.withColumns({"block": F.xxhash64("host", "part"), "keys": F.lit(None).cast("array<bigint>")})
     if wide:
