@@ -11,6 +11,8 @@ is a short table of runs; pieces find their place by their rank among pieces of
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from collections import Counter
@@ -41,6 +43,9 @@ class PieceIds(dict):
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.added = added_tokens(path)
+        # the longest of those that begin at a place; with the tokens themselves kept by the split
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.encoding = tiktoken.Encoding("piece", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, piece: str) -> bytes:
@@ -60,6 +65,23 @@ class PieceIds(dict):
         return self[first] + b"".join([self[" " + word] for word in rest])
 
 
+    def with_added(self, text: str) -> bytes:
+        """Ids of a whole text as the tokenizer gives them as it is loaded: added tokens in it are one id each."""
+        if self.marks is None or not self.marks.search(text):
+            return self.of(text)
+        parts = self.marks.split(text)  # texts and added tokens by turns
+        return b"".join(np.array([self.added[part]], dtype="<u4").tobytes() if i % 2 else self.of(part) if part else b"" for i, part in enumerate(parts))
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of the vocabulary at ``path``, from the tokenizer's JSON beside it."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceIds:
     return PieceIds(path)
@@ -79,7 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        ids_of, seen = encoder(path).of, Counter()
+        ids_of, seen = encoder(path).with_added, Counter()
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows = []

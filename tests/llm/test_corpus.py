@@ -31,6 +31,21 @@ def test_ids_equal_those_of_the_tokenizer(spark, sf):
         assert np.frombuffer(own.of(text), dtype="<u4").tolist() == want.ids, repr(text)
 
 
+def test_packed_ids_equal_those_of_the_tokenizer_as_loaded(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    parts = ["the", " ", "  ", "\n", "Ü", "don't", "<|endoftext|>", "<|endoftext|>", "<|endof", "|>", "<|ENDOFTEXT|>", "."]
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>"] + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in packing.pack(docs, with_ids=True).collect()}
+    for i, want in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        ids = np.array([*want.ids, packing.END_ID], dtype="<u4")
+        assert bytes(got[i]["ids"]) == ids.tobytes() and got[i]["length"] == len(ids), texts[i]
+        assert got[i]["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
 def check_packed(rows, docs, capacity):
     by_doc, by_sequence = {}, {}
     for r in rows:
