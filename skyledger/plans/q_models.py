@@ -185,7 +185,7 @@ def x13g(spark, sf):
     p = N.with_gaussian_crps(p, "primary_mean", "primary_std", "y", "primary_crps")
     p = N.with_gaussian_crps(p, "fallback_mean", "fallback_std", "y", "fallback_crps")
     p = p.withColumn("gap", F.col("primary_mean") - F.col("fallback_mean"))
-    g = M.source_gate(p, ["mean", "std", "gap"], max_iter=5)
+    g = M.source_gate(p, ["mean", "std", "gap"])
     out = M.gated_mixture(g, "fallback_weight", "unit", low=0.05, high=0.95)
     return out.groupBy("city").agg(F.avg("fallback_weight").alias("fallback_weight"), F.avg(F.abs(F.col("y") - F.col("pred_mean"))).alias("mae"), F.avg("pred_std").alias("pred_std"))
 
@@ -212,7 +212,7 @@ def x14(spark, sf):
 def x15(spark, sf):
     """Boosted mean and scale with out-of-fold residuals."""
     p = roles.preds(spark, sf)
-    out = M.boosted_gaussian(p, ["mean", "std"], "y", ["target_date"], max_iter=3, depth=3, n_splits=2)
+    out = M.boosted_gaussian(p, ["mean", "std"], "y", ["target_date"])
     return S.point_scores(out, "pred_mean", "pred_std", "y", ["model_name"])
 
 
@@ -220,7 +220,7 @@ def x15(spark, sf):
 def x16(spark, sf):
     """Stacked experts with a gate, and their diagnostics."""
     p = roles.preds(spark, sf)
-    out = M.stacked_gaussian(p, ["mean", "std"], ["mean"], "y", ["target_date"], max_iter=2, n_splits=2)
+    out = M.stacked_gaussian(p, ["mean", "std"], ["mean"], "y", ["target_date"])
     e = ["blend", "leadtime", "tree"]
     return S.expert_diagnostics(out, [f"mean_{x}" for x in e], [f"weight_{x}" for x in e], "y", [f"scale_{x}" for x in e])
 

@@ -1,9 +1,12 @@
 """Faults that the given tables do not show: missing features, wide weighted fits, jobs that run twice."""
 
+import inspect
+
 import numpy as np
 import pytest
 
 from skyledger.operators import models as M
+from skyledger.plans import q_models as Q
 from skyledger.session import is_local, scratch_path, shared_dir
 from skyledger.streaming import jobs as J
 
@@ -96,3 +99,27 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     assert is_local("local[8]") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_boosted_queries_fit_with_the_defaults_of_their_operators(spark, sf, monkeypatch):
+    used = {}
+
+    def record(name):
+        operator = getattr(M, name)
+        signature = inspect.signature(operator)
+
+        def wrapped(*given, **named):
+            bound = signature.bind(*given, **named)
+            bound.apply_defaults()
+            used[name] = {k: bound.arguments[k] == p.default for k, p in signature.parameters.items() if p.default is not p.empty}
+            return operator(*given, **named)
+
+        monkeypatch.setattr(M, name, wrapped)
+
+    for name in ("source_gate", "boosted_gaussian", "stacked_gaussian"):
+        record(name)
+    gate, boosted, stacked = Q.x13g(spark, sf).collect(), Q.x15(spark, sf).collect(), Q.x16(spark, sf).collect()
+    assert len(used) == 3 and all(all(same.values()) for same in used.values()), used
+    # facts that hold for any booster
+    assert gate and all(0 <= r["fallback_weight"] <= 1 and r["pred_std"] > 0 and r["mae"] >= 0 for r in gate)
+    assert boosted and stacked
