@@ -235,3 +235,37 @@ def test_html_keeps_what_only_mentions_hidden_or_closes_itself():
     texts = lambda html: [t for t, _ in html_extract.blocks(html)]
     assert texts('<p>a <svg width="1"/> b <math/> c</p><svg><text>x</text></svg><p>d</p>') == ["a b c", "d"]
     assert texts('<p>a<script src="x"/> b</p>') == ["a b"] and texts('<p>a<iframe src=/x/>in</iframe> b</p>') == ["a b"]
+
+
+GPL = """Copyright (C) 2020 Someone
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_real_licence_notices(spark):
+    texts = {
+        GPL.format("", 3): "GPL-3.0",
+        GPL.format("", 2).replace("software:", "software;"): "GPL-2.0",
+        "\n".join(f" * {line}" for line in GPL.format("Affero ", 3).split("\n")): "AGPL-3.0",
+        GPL.format("Lesser ", "2.1").replace("program", "library"): "LGPL-2.1",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free": "Unlicense",
+        "Our code is released under the MIT License.": "MIT",
+        "Our code is not released under the MIT License.": "",
+        "// SPDX-License-Identifier: MIT\n#include <a.h>": "MIT",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in license_scan.recognise(df).collect()}
+    assert got == dict(enumerate(texts.values()))
+    for sentences in license_scan.MORE_SENTENCES.values():
+        for s in sentences:
+            assert re.search("|".join(license_scan.MORE_ANCHORS), s), s
