@@ -8,7 +8,8 @@ Tree and logistic models use MLlib.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 
 from skyledger.functions.numeric import from_celsius, present, array_mean, array_std, to_celsius
 from skyledger.operators.asof import ordered_join
+from skyledger.operators.expanding import arrow_rows, expanding_gaussian, solve
 from skyledger.operators.quantiles import value_slice
 from skyledger.session import written
 
@@ -72,83 +74,93 @@ def filled(feature: str, medians: Mapping[str, float]) -> Column:
     return F.when(value.isNull() | F.isnan(value), F.lit(medians[feature])).otherwise(value) if feature in medians else value
 
 
-def missing_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Medians of the features that have missing values; most fits need none."""
+def fitted_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Median of every feature (0 where there is no value), one row a feature on the driver."""
     from skyledger.operators.features import feature_medians
 
     if not features:
         return {}
     value = {f: F.col(f).cast("double") for f in features}
-    counts = df.agg(*[F.count(F.when(value[f].isNull() | F.isnan(value[f]), 1)).alias(f"n{i}") for i, f in enumerate(features)]).first()
-    gaps = [f for i, f in enumerate(features) if counts[i]]
-    if not gaps:
-        return {}
-    present_only = df.select(*[F.when(~F.isnan(value[f]), value[f]).alias(f) for f in gaps])
-    return {r["feature"]: float(r["median"]) for r in feature_medians(present_only, gaps).collect()}  # one row a feature
+    present_only = df.select(*[F.when(~F.isnan(value[f]), value[f]).alias(f) for f in features])
+    return {r["feature"]: float(r["median"]) for r in feature_medians(present_only, features).collect()}
+
+
+#: Tasks that merge the sums of all others; the driver merges theirs.
+MERGERS = 16
 
 
-#: Features of a block: a pair of blocks is one aggregate, so no width makes a plan too large.
-BLOCK = 48
+def merged_sums(parts: Iterable[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """Weight, means and centred products of several sets of rows as those of their union."""
+    out = None
+    for weight, means, inner in parts:
+        if out is None:
+            out = weight, means, inner
+            continue
+        total, gap = out[0] + weight, means - out[1]
+        share = weight / total if total else 0.0
+        out = total, out[1] + gap * share, out[2] + inner + np.outer(gap, gap) * out[0] * share
+    return out
 
 
 def centred_sums(df: DataFrame, x: Sequence[Column], y: Column, weight: Column) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sums of weighted products of the centred (x..., y), their means and the weight sum."""
+    """Sums of weighted products of the centred (x..., y), their means and the weight sum, in one pass.
+
+    Each task keeps its own means and centred products; they are merged by a few tasks, then by the driver, which
+    gets as many numbers as a fit has products.
+    """
     columns = [*x, y]
-    rows = df.select(weight.alias("w"), *[c.alias(f"c{i}") for i, c in enumerate(columns)])
     k = len(columns)
-    first = rows.agg(F.sum("w"), *[F.sum(F.col("w") * F.col(f"c{i}")) for i in range(k)]).first()
-    total = float(first[0] or 0.0)
-    means = np.array([float(first[i + 1] or 0.0) / total if total else 0.0 for i in range(k)])
-    centred = [F.col(f"c{i}") - F.lit(float(means[i])) for i in range(k)]
-    out = np.zeros((k, k))
-    blocks = [range(i, min(i + BLOCK, k)) for i in range(0, k, BLOCK)]
-    for a, left in enumerate(blocks):
-        for right in blocks[a:]:
-            at = [(i, j) for i in left for j in right if i <= j]
-            sums = rows.agg(*[F.sum(F.col("w") * centred[i] * centred[j]) for i, j in at]).first()
-            for (i, j), value in zip(at, sums, strict=True):
-                out[i, j] = out[j, i] = float(value or 0.0)
-    return out, means, total
-
-
-def _products(features: Sequence[str], y: Column, weight: Column) -> list[Column]:
-    """Weighted sums of products of (1, features...) with themselves and with y."""
-    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    pairs = [F.sum(weight * x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]
-    return pairs + [F.sum(weight * v * y) for v in x]
-
-
-def _solve(sums: Sequence[float], p: int, ridge: float) -> np.ndarray:
-    """Coefficients (intercept first) from the sums; the intercept is not penalized."""
-    values = np.asarray([0.0 if s is None else s for s in sums], dtype=float)
-    gram = np.zeros((p + 1, p + 1))
-    upper = np.triu_indices(p + 1)
-    gram[upper] = values[: len(upper[0])]
-    gram = gram + np.triu(gram, 1).T
-    penalty = np.eye(p + 1) * ridge
-    penalty[0, 0] = 0.0
-    target = values[len(upper[0]) :]
-    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-    system = (gram + penalty) / np.outer(scale, scale)
-    return np.linalg.lstsq(system, target / scale, rcond=None)[0] / scale
-
-
-def fit_linear(df: DataFrame, features: Sequence[str], y: str | Column, weight: str | None = None, ridge: float = 0.0) -> LinearFit:
+    rows = df.select(weight.cast("double").alias("w"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    schema = "part int, sums array<double>"
+
+    def flat(found) -> list[float]:
+        return [found[0], *found[1], *found[2].ravel()]
+
+    def parsed(sums) -> tuple[float, np.ndarray, np.ndarray]:
+        values = np.asarray(sums)
+        return values[0], values[1 : k + 1], values[k + 1 :].reshape(k, k)
+
+    def of_rows(batches):
+        from pyspark import TaskContext
+
+        def each():
+            for batch in batches:
+                w = batch["w"].to_numpy(zero_copy_only=False)
+                total = w.sum()
+                if total:
+                    z = np.column_stack([batch[f"c{i}"].to_numpy(zero_copy_only=False) for i in range(k)])
+                    means = w @ z / total
+                    z = z - means
+                    yield float(total), means, (z * w[:, None]).T @ z
+
+        found = merged_sums(each())
+        if found:
+            yield from arrow_rows(schema, part=[TaskContext.get().partitionId() % MERGERS], sums=[flat(found)]).to_batches()
+
+    def of_parts(table):
+        found = merged_sums(map(parsed, table["sums"].to_pylist()))
+        return arrow_rows(schema, part=[table["part"][0].as_py()], sums=[flat(found)])
+
+    parts = rows.mapInArrow(of_rows, schema).groupBy("part").applyInArrow(of_parts, schema).collect()
+    found = merged_sums(parsed(r["sums"]) for r in sorted(parts))
+    return (found[2], found[1], found[0]) if found else (np.zeros((k, k)), np.zeros(k), 0.0)
+
+
+def fit_linear(
+    df: DataFrame, features: Sequence[str], y: str | Column, weight: str | None = None, ridge: float = 0.0, medians: Mapping[str, float] | None = None
+) -> LinearFit:
     """Ordinary or ridge least squares (penalty on raw coefficients, none on the intercept).
 
-    One algorithm at every width: sums of centred products, a pair of feature blocks an aggregate.
-    Missing features count as their median, which the fit keeps for scoring; rows without a target or
-    weight are left out.
+    One pass over the rows at every width. Missing features (null or NaN) count as their median, which the fit keeps
+    for scoring whether or not these rows have gaps; rows without a target or weight are left out. ``medians`` are those
+    of the same rows where they are known.
     """
     target = (F.col(y) if isinstance(y, str) else y).cast("double")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     usable = df.where(target.isNotNull() & ~F.isnan(target) & w.isNotNull())
-    medians = missing_medians(usable, features)
+    medians = fitted_medians(usable, features) if medians is None else dict(medians)
     sums, means, _ = centred_sums(usable, [filled(f, medians) for f in features], target, w)
-    gram, against = sums[:-1, :-1], sums[:-1, -1]
-    scale = np.sqrt(np.maximum(np.diag(gram) + ridge, 1e-300))
-    system = (gram + ridge * np.eye(len(features))) / np.outer(scale, scale)
-    beta = np.linalg.lstsq(system, against / scale, rcond=None)[0] / scale if len(features) else np.zeros(0)
+    beta = solve(sums[:-1, :-1], sums[:-1, -1], ridge)
     return LinearFit(list(features), [float(b) for b in beta], float(means[-1] - means[:-1] @ beta), medians)
 
 
@@ -162,11 +174,19 @@ def fit_gaussian(
     log_variance: bool = False,
 ) -> GaussianFit:
     """Heteroscedastic Gaussian regression: a mean fit, then a fit of the absolute
-    residual (or of the log squared residual)."""
+    residual (or of the log squared residual).
+
+    Without features the log-variance form keeps the root mean square residual.
+    """
+    # medians and both fits read the rows: one narrow copy instead of three runs of what makes them
+    df = written(df.select(*dict.fromkeys([*features, y, *([weight] if weight else [])])), "fit-rows")
     mean = fit_linear(df, features, y, weight, ridge)
-    residual = F.col(y) - mean.column()
+    residual = F.col(y).cast("double") - mean.column()
+    if log_variance and not features:
+        square = fit_linear(df, features, residual * residual, weight)
+        return GaussianFit(mean, LinearFit([], [], math.log(max(square.intercept, 1e-300))), True)
     target = F.log(F.greatest(residual * residual, F.lit(1e-4))) if log_variance else F.abs(residual)
-    spread = fit_linear(df, features, target, weight, ridge if std_ridge is None else std_ridge)
+    spread = fit_linear(df, features, target, weight, ridge if std_ridge is None else std_ridge, mean.medians)
     return GaussianFit(mean, spread, log_variance)
 
 
@@ -233,89 +253,6 @@ def with_pretrained(df: DataFrame, fit: GaussianFit, unit: str, primary: str, mo
     return out if mode == "full" else out.drop("weather_pretrain_mean", "weather_pretrain_std")
 
 
-# --- expanding fits ----------------------------------------------------------------------
-
-
-@dataclass
-class ExpandingFits:
-    """Mean and spread coefficients (intercept first) per refit block."""
-
-    features: list[str]
-    mean: np.ndarray = field(repr=False)
-    spread: np.ndarray = field(repr=False)
-
-    def table(self, spark) -> DataFrame:
-        """One row per refit; its size is refits x features, both set by the caller."""
-        names = ["__i", *[f"__f{i}" for i in range(len(self.features))]]
-        rows = [
-            (int(r), *[float(v) for v in m], *[float(v) for v in s])
-            for r, (m, s) in enumerate(zip(self.mean, self.spread))
-        ]
-        cols = ", ".join([f"{n}_m double" for n in names] + [f"{n}_s double" for n in names])
-        return spark.createDataFrame(rows, f"refit int, {cols}")
-
-    def score(self, df: DataFrame, refit: str = "refit") -> DataFrame:
-        """Predict each row with the fit of its own block."""
-        t = self.table(df.sparkSession)
-        # A small table by construction; past the bound Spark picks the join itself.
-        j = df.join(t, refit)
-
-        def dot(side: str) -> Column:
-            terms = [F.col(f"__f{i}_{side}") * F.col(f) for i, f in enumerate(self.features)]
-            return reduce(lambda a, b: a + b, terms, F.col(f"__i_{side}"))
-
-        out = j.withColumn("pred_mean", dot("m")).withColumn("pred_std", F.greatest(dot("s"), F.lit(MIN_STD)))
-        return out.drop(*[c for c in t.columns if c != "refit"])
-
-
-def refit_block(ordinal: Column, min_train: int, step: int) -> Column:
-    """0 for the first training part, then 1, 2, ... per ``step`` groups tested."""
-    return F.when(ordinal < min_train, 0).otherwise(F.floor((ordinal - min_train) / step) + 1).cast("int")
-
-
-def expanding_gaussian(df: DataFrame, features: Sequence[str], y: str, block: str, ridge: float = 0.0) -> ExpandingFits:
-    """Fit r uses the rows of blocks 0..r, for every r, in two passes over the data.
-
-    Pass one sums products per block; running totals of those small tables give
-    every mean fit. Pass two sums features times each fit's absolute residual per
-    partition, which with the same products gives every spread fit.
-    """
-    p = len(features)
-    target = F.col(y).cast("double")
-    rows = df.where(target.isNotNull())
-    sums = rows.groupBy(block).agg(*_products(features, target, F.lit(1.0))).collect()
-    by_block = {r[0]: np.asarray([0.0 if v is None else v for v in r[1:]], dtype=float) for r in sums}
-    last = max(by_block)
-    empty = np.zeros(len(next(iter(by_block.values()))))
-    totals = np.cumsum([by_block.get(b, empty) for b in range(last)], axis=0)
-    fits = np.asarray([_solve(t, p, ridge) for t in totals])
-
-    names = list(features)
-    width = p + 1
-
-    def residual_sums(batches):
-        acc = np.zeros((len(fits), width))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.column_stack([np.ones(len(pdf)), *[pdf[f].to_numpy(dtype=float) for f in names]])
-            off = np.abs(pdf[y].to_numpy(dtype=float)[:, None] - x @ fits.T)
-            off[pdf[block].to_numpy()[:, None] > np.arange(len(fits))[None, :]] = 0.0
-            acc += off.T @ x
-        out = pd.DataFrame(acc, columns=[f"s{i}" for i in range(width)])
-        out.insert(0, "refit", np.arange(len(fits)))
-        yield out
-
-    schema = "refit long, " + ", ".join(f"s{i} double" for i in range(width))
-    parts = rows.select(block, y, *names).mapInPandas(residual_sums, schema)
-    found = parts.groupBy("refit").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).collect()
-    n_pairs = width * (width + 1) // 2
-    spread = np.zeros_like(fits)
-    for r in found:
-        spread[r["refit"]] = _solve([*totals[r["refit"]][:n_pairs], *[r[f"s{i}"] for i in range(width)]], p, ridge)
-    return ExpandingFits(names, fits, spread)
-
-
 # --- calibration --------------------------------------------------------------------------
 
 
@@ -662,6 +599,11 @@ def stacked_gaussian(
 # --- back-test ----------------------------------------------------------------------------------
 
 
+def refit_block(ordinal: Column, min_train: int, step: int) -> Column:
+    """0 for the first training part, then 1, 2, ... per ``step`` groups tested."""
+    return F.when(ordinal < min_train, 0).otherwise(F.floor((ordinal - min_train) / step) + 1).cast("int")
+
+
 def rolling_backtest(
     df: DataFrame,
     features: Sequence[str],
@@ -676,14 +618,16 @@ def rolling_backtest(
 
     Folds test ``test_size`` groups; a fit is made every ``retrain_stride`` folds on
     all earlier groups. Adds ordinal, fold, refit, pred_mean and pred_std; rows of
-    the first training part are left out.
+    the first training part are left out. Missing features count as the median of what the fit has
+    learned from; a table without test rows gives an empty result.
     """
     from skyledger.operators.folds import expanding_folds
 
     folded = expanding_folds(df, group, min_train, test_size)
     step = test_size * retrain_stride
-    # Both passes and the scoring read the folded rows, so they are written once.
-    blocked = written(folded.withColumn("__block", refit_block(F.col("ordinal"), min_train, step)), "folded")
+    # Read by every pass, so written once; in order, so that a task meets few blocks and a large first block is many tasks.
+    blocked = folded.withColumn("__block", refit_block(F.col("ordinal"), min_train, step))
+    blocked = written(blocked.repartitionByRange("__block", "ordinal"), "folded")
     fits = expanding_gaussian(blocked, features, y, "__block", ridge)
     test = blocked.where(F.col("__block") > 0).withColumn("refit", F.col("__block") - 1)
     return fits.score(test).drop("__block")

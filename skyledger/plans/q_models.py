@@ -11,8 +11,10 @@ from skyledger.operators import scoring as S
 from skyledger.operators import trade as T
 from skyledger.plans import roles
 from skyledger.plans.q_features import BIN_ROWS
+from skyledger.plans.q_scoring import MASS_SQL, WIN_SQL
 from skyledger.plans.registry import query
 from skyledger.plans.roles import with_roles
+from skyledger.session import written
 from skyledger.sources.tables import table
 
 
@@ -24,6 +26,32 @@ FIT_SQL = """m AS (SELECT regr_slope(y, mean) AS b, regr_intercept(y, mean) AS a
   s AS (SELECT regr_slope(res, mean) AS b, regr_intercept(res, mean) AS a FROM r), o AS (SELECT r.*, greatest(s.a + s.b * mean, 0.5) AS ps FROM r, s)"""
 
 
+def numbered(df):
+    """Rows with a key of their own; equal rows differ in it, and writing fixes it."""
+    return written(df.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+
+
+def least_squares_sql(rows: str, names: list[str], target: str, into: str, ridge: float = 0.0) -> str:
+    """Common table expressions ending in table ``into``: ``rows`` with the least-squares prediction of ``target`` as column ``into``.
+
+    Centred columns are made orthogonal one after another, and the target is projected on each. A ridge adds
+    one row a column that holds the root of the penalty there.
+    """
+    q, t, k = [f"{into}_q{i}" for i in range(len(names))], f"{into}_t", len(names)
+    centred = ", ".join([*[f"({n})::DOUBLE - avg(({n})::DOUBLE) OVER () AS {c}" for n, c in zip(names, q)], f"({target})::DOUBLE - avg(({target})::DOUBLE) OVER () AS {t}"])
+    out = f"{into}_c AS (SELECT *, {centred}, avg(({target})::DOUBLE) OVER () AS {into}, TRUE AS {into}_own FROM {rows})"
+    last = f"{into}_c"
+    if ridge:
+        extra = " ".join("UNION ALL BY NAME SELECT " + ", ".join(f"{ridge ** 0.5 if i == j else 0.0}::DOUBLE AS {c}" for j, c in enumerate(q)) + f", 0.0::DOUBLE AS {t}, 0.0::DOUBLE AS {into}, FALSE AS {into}_own" for i in range(k))
+        out, last = f"{out}, {into}_r AS (SELECT * FROM {last} {extra})", f"{into}_r"
+    for i, c in enumerate(q):
+        along = lambda v: f"{c} * (sum({v} * {c}) OVER () / sum({c} * {c}) OVER ())"  # noqa: B023, E731
+        moved = ", ".join([f"{v} - {along(v)} AS {v}" for v in [*q[i + 1 :], t]] + [f"{into} + {along(t)} AS {into}"])
+        out += f", {into}_s{i} AS (SELECT * REPLACE ({moved}) FROM {last})"
+        last = f"{into}_s{i}"
+    return f"{out}, {into}_o AS (SELECT * EXCLUDE ({', '.join([*q, t, f'{into}_own'])}) FROM {last} WHERE {into}_own)"
+
+
 @query("x06_gaussian_regression", with_roles("preds", f"WITH {FIT_SQL} SELECT city, count(*) AS n, round(avg(pm), 6) AS pred_mean, round(avg(ps), 6) AS pred_std, round(avg(abs(y - pm)), 6) AS mae FROM o GROUP BY 1"))
 def x06(spark, sf):
     """Mean and spread regression fitted by one aggregate each."""
@@ -50,6 +78,43 @@ def x06r(spark, sf):
     return one.select(F.round(F.lit(fit.coefficients[0]), 8).alias("slope"), F.round(F.lit(fit.intercept), 8).alias("intercept"))
 
 
+GAP_SQL = "WITH g AS (SELECT *, CASE WHEN line % 3 = 0 THEN NULL ELSE mean END AS x FROM preds), md AS (SELECT median(x) AS md FROM g WHERE unit = 'C'), v AS (SELECT g.*, coalesce(x, md) AS z FROM g, md)"
+
+
+@query(
+    "x06_missing_features",
+    with_roles(
+        "preds",
+        f"""{GAP_SQL}, m AS (SELECT regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM v WHERE unit = 'C'), s AS (SELECT regr_slope(abs(y - a - b * z), z) AS sb, regr_intercept(abs(y - a - b * z), z) AS sa FROM v, m WHERE unit = 'C')
+    SELECT city, unit, count(*) AS n, round(avg(a + b * z), 6) AS pred_mean, round(avg(greatest(sa + sb * z, 0.5)), 6) AS pred_std FROM v, m, s GROUP BY ALL""",
+    ),
+)
+def x06m(spark, sf):
+    """A third of the features missing in the fit and when scoring."""
+    p = roles.preds(spark, sf).withColumn("x", F.when(F.col("line") % 3 != 0, F.col("mean")))
+    return means_by_unit(M.fit_gaussian(p.where("unit = 'C'"), ["x"], "y").score(p))
+
+
+@query(
+    "x06_missing_at_scoring",
+    with_roles(
+        "preds",
+        """WITH c AS (SELECT * FROM preds WHERE unit = 'C'), m AS (SELECT regr_slope(y, mean) AS b, regr_intercept(y, mean) AS a, median(mean) AS md FROM c), s AS (SELECT regr_slope(abs(y - a - b * mean), mean) AS sb, regr_intercept(abs(y - a - b * mean), mean) AS sa FROM c, m),
+    v AS (SELECT p.*, CASE WHEN line % 3 = 0 THEN md ELSE mean END AS z FROM preds p, m WHERE unit = 'F')
+    SELECT city, unit, count(*) AS n, round(avg(a + b * z), 6) AS pred_mean, round(avg(greatest(sa + sb * z, 0.5)), 6) AS pred_std FROM v, m, s GROUP BY ALL""",
+    ),
+)
+def x06s(spark, sf):
+    """Fitted on complete rows; a third of the scored ones miss the feature."""
+    p = roles.preds(spark, sf)
+    fit = M.fit_gaussian(p.where("unit = 'C'"), ["mean"], "y")
+    return means_by_unit(fit.score(p.where("unit = 'F'").withColumn("mean", F.when(F.col("line") % 3 != 0, F.col("mean")))))
+
+
+def means_by_unit(df):
+    return df.groupBy("city", "unit").agg(F.count("*").alias("n"), F.round(F.avg("pred_mean"), 6).alias("pred_mean"), F.round(F.avg("pred_std"), 6).alias("pred_std"))
+
+
 @query(
     "x07_log_variance",
     with_roles(
@@ -64,7 +129,17 @@ def x07(spark, sf):
     return out.groupBy("city").agg(F.round(F.avg("pred_mean"), 6).alias("pred_mean"), F.round(F.avg("pred_std"), 6).alias("pred_std"))
 
 
-@query("x08_polynomial")
+TERMS = ["mean", "std", "mean * mean", "mean * std", "std * std"]
+
+
+@query(
+    "x08_polynomial",
+    with_roles(
+        "preds",
+        f"""WITH {least_squares_sql('preds', TERMS, 'y', 'pm')}, {least_squares_sql('pm_o', TERMS, 'abs(y - pm)', 'pa')}, {least_squares_sql('pa_o', ['mean', 'std'], 'abs(y - pm)', 'pb')}
+    SELECT city, round(avg(pm), 6) AS plain_mean, round(avg(greatest(pa, 0.5)), 6) AS plain_std, round(avg(pm), 6) AS scaled_mean, round(avg(greatest(pb, 0.5)), 6) AS scaled_std FROM pb_o GROUP BY 1""",
+    ),
+)
 def x08(spark, sf):
     """Second-degree regression, plain and with standardized inputs."""
     p = roles.preds(spark, sf)
@@ -104,20 +179,28 @@ def x10(spark, sf):
     return rounded(M.blend(w, ["a", "n"], ["r"], "y", learned=False).select("l_orderkey", "pred_mean", "pred_std"), "pred_mean", "pred_std")
 
 
-@query("x10_neighbor_ridge")
+@query(
+    "x10_neighbor_ridge",
+    with_roles(
+        "preds",
+        f"""WITH {least_squares_sql('preds', ['mean', 'mean + std', 'std'], 'y', 'pr', 1.0)}, {least_squares_sql('pr_o', ['mean', 'mean + std'], 'y', 'pl')}
+    SELECT city, round(avg(pr), 6) AS ridge_mean, round(avg(greatest(std, 0.5)), 6) AS ridge_std, round(avg(pl), 6) AS blend_mean FROM pl_o GROUP BY 1""",
+    ),
+)
 def x10n(spark, sf):
     """Learned blend and neighbour ridge, scored by city."""
     p = roles.preds(spark, sf).withColumn("nb", F.col("mean") + F.col("std")).withColumn("sp", F.col("std"))
     out = M.neighbor_ridge(p, ["mean"], "y", "nb", "sp")
     learned = M.blend(out.drop("pred_mean", "pred_std"), ["mean"], ["nb"], "y").groupBy("city").agg(F.avg("pred_mean").alias("blend_mean"))
-    return out.groupBy("city").agg(F.avg("pred_mean").alias("ridge_mean"), F.avg("pred_std").alias("ridge_std")).join(learned, "city")
+    joined = out.groupBy("city").agg(F.avg("pred_mean").alias("ridge_mean"), F.avg("pred_std").alias("ridge_std")).join(learned, "city")
+    return rounded(joined, "ridge_mean", "ridge_std", "blend_mean")
 
 
 @query("x05_isotonic_calibration")
 def x05(spark, sf):
     """Isotonic calibration per outcome label, then scaled per decision."""
     bins = B.bin_array(BIN_ROWS)
-    p = roles.preds(spark, sf).withColumn("rid", F.xxhash64("market_id", "line", "city", "mean", "std", "y", "target_date"))
+    p = numbered(roles.preds(spark, sf))
     p = p.withColumn("probs", B.labeled(bins, B.normal_masses(bins, F.col("mean"), F.col("std")))).withColumn("winner", B.winning_label(bins, F.col("y")))
     long = p.select("rid", "city", "winner", F.inline_outer("probs")).withColumn("hit", F.col("label") == F.col("winner"))
     blocks = M.fit_isotonic(long, "label", "prob", "hit")
@@ -238,19 +321,46 @@ def backtest(spark, sf):
 
 @query("x17_rolling_backtest", with_roles("preds", f"WITH {BACK_SQL} SELECT CAST(refit AS INT) AS refit, count(*) AS n, round(avg(pm), 6) AS pred_mean, round(avg(ps), 6) AS pred_std, round(avg(abs(y - pm)), 6) AS mae FROM t GROUP BY 1"))
 def x17(spark, sf):
-    """All expanding fits from two passes, every test day scored by its own fit."""
-    return backtest(spark, sf).groupBy("refit").agg(
+    """All expanding fits at once, every test day scored by its own fit."""
+    return by_refit(backtest(spark, sf))
+
+
+def by_refit(df):
+    return df.groupBy("refit").agg(
         F.count("*").alias("n"), F.round(F.avg("pred_mean"), 6).alias("pred_mean"), F.round(F.avg("pred_std"), 6).alias("pred_std"),
         F.round(F.avg(F.abs(F.col("y") - F.col("pred_mean"))), 6).alias("mae"),
     )
 
 
-@query("x17_backtest_trades")
+GAP_BACK_SQL = BACK_SQL.split("f AS (")[0].replace("preds.*", "preds.*, CASE WHEN line % 3 = 0 THEN NULL ELSE mean END AS x") + """md AS (SELECT refit, median(x) AS md FROM p JOIN k ON block <= refit GROUP BY 1),
+  f AS (SELECT refit, any_value(md) AS md, regr_slope(y, coalesce(x, md)) AS b, regr_intercept(y, coalesce(x, md)) AS a FROM p JOIN md ON block <= refit GROUP BY 1),
+  g AS (SELECT f.refit, any_value(md) AS md, any_value(a) AS a, any_value(b) AS b, regr_slope(abs(y - a - b * coalesce(x, md)), coalesce(x, md)) AS sb, regr_intercept(abs(y - a - b * coalesce(x, md)), coalesce(x, md)) AS sa FROM p JOIN f ON block <= f.refit GROUP BY 1),
+  t AS (SELECT p.*, g.refit, a + b * coalesce(x, md) AS pm, greatest(sa + sb * coalesce(x, md), 0.5) AS ps FROM p JOIN g ON g.refit = block - 1)"""
+
+
+@query("x17_missing_features", with_roles("preds", f"WITH {GAP_BACK_SQL} SELECT CAST(refit AS INT) AS refit, count(*) AS n, round(avg(pm), 6) AS pred_mean, round(avg(ps), 6) AS pred_std, round(avg(abs(y - pm)), 6) AS mae FROM t GROUP BY 1"))
+def x17m(spark, sf):
+    """A third of the features missing: every refit fills with the median of what it has seen."""
+    p = roles.preds(spark, sf).withColumn("x", F.when(F.col("line") % 3 != 0, F.col("mean")))
+    return by_refit(M.rolling_backtest(p, ["x"], "y", ["target_date"], 500, 1, 250))
+
+
+TRADES_SQL = f"""d0 AS MATERIALIZED (SELECT row_number() OVER () AS did, decision_horizon, y, pm, ps, mean, std FROM t),
+  pr AS (SELECT did AS rid, did, decision_horizon, y, 'fair' AS kind, pm AS mean, ps AS std FROM d0 UNION ALL SELECT -did, did, decision_horizon, y, 'crowd', mean, std * 2 FROM d0), {MASS_SQL},
+  o AS (SELECT f.did, f.decision_horizon, f.y, f.ordinal, f.label, f.prob AS fair, round(c.prob, 4) AS price FROM prob f JOIN prob c ON c.did = f.did AND c.ordinal = f.ordinal AND f.kind = 'fair' AND c.kind = 'crowd'),
+  e AS (SELECT *, CASE WHEN price > 0.001 AND price BETWEEN 0.01 AND 0.99 THEN fair - price - price * 30 / 10000 END AS edge FROM o),
+  b AS (SELECT any_value(decision_horizon) AS decision_horizon, any_value(y) AS y, arg_max({{'l': label, 'p': price, 'e': edge}}, (edge, -ordinal)) FILTER (edge >= 0.01) AS best FROM e GROUP BY did),
+  s AS (SELECT decision_horizon, best.e AS edge, best.p AS price, (CASE WHEN best.l = {WIN_SQL} THEN 1 ELSE 0 END - best.p) * (10.0 / greatest(best.p, 1e-6)) - 0.03 AS pnl FROM b WHERE best IS NOT NULL)"""
+
+
+@query(
+    "x17_backtest_trades",
+    with_roles("preds", f"WITH {BACK_SQL}, {TRADES_SQL} SELECT decision_horizon, count(*) AS num_trades, round(sum(pnl), 4) AS pnl, round(avg(CAST(pnl > 0 AS INT)), 6) AS hit_rate, round(avg(edge), 6) AS avg_edge, round(avg(price), 6) AS avg_price FROM s GROUP BY 1"),
+)
 def x17t(spark, sf):
     """Back-test to trades: fit, bin mass, price, best edge, settlement, summary."""
     bins = B.bin_array(BIN_ROWS)
-    t = backtest(spark, sf).withColumn("winner", B.winning_label(bins, F.col("y")))
-    t = t.withColumn("rid", F.xxhash64("market_id", "line", "city", "mean", "std", "y", "target_date"))
+    t = numbered(backtest(spark, sf)).withColumn("winner", B.winning_label(bins, F.col("y")))
     masses = B.normal_masses(bins, F.col("pred_mean"), F.col("pred_std"))
     crowd = B.normal_masses(bins, F.col("mean"), F.col("std") * 2)
     t = t.withColumn("fair", B.labeled(bins, masses)).withColumn("market", B.labeled(bins, crowd))
@@ -265,4 +375,5 @@ def x17t(spark, sf):
     traded = best.where(F.col("outcome") == "traded").withColumn("realized_pnl", T.settle(F.col("executable_price"), size, won, F.lit("buy"), T.fee(F.lit(10.0))))
     from skyledger.operators.reports import trade_summary
 
-    return trade_summary(traded.withColumnRenamed("executable_price", "price"), ["decision_horizon"])
+    out = trade_summary(traded.withColumnRenamed("executable_price", "price"), ["decision_horizon"])
+    return rounded(rounded(out, "pnl", digits=4), "hit_rate", "avg_edge", "avg_price")

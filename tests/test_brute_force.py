@@ -101,11 +101,12 @@ def test_expanding_fits_equal_single_fits(spark):
     rng = np.random.default_rng(9)
     rows = [(i, float(v), float(2 * v + rng.normal()), int(folds_block(i))) for i, v in enumerate(rng.normal(size=400))]
     df = spark.createDataFrame(rows, "i int, x double, y double, block int")
-    fits = M.expanding_gaussian(df, ["x"], "y", "block")
-    for r in range(len(fits.mean)):
-        single = M.fit_gaussian(df.where(F.col("block") <= r), ["x"], "y")
-        assert list(fits.mean[r]) == pytest.approx([single.mean.intercept, *single.mean.coefficients], rel=1e-8)
-        assert list(fits.spread[r]) == pytest.approx([single.spread.intercept, *single.spread.coefficients], rel=1e-7)
+    fits = M.expanding_gaussian(df, ["x"], "y", "block").table.orderBy("refit").collect()
+    assert len(fits) == 3
+    for r in fits:
+        single = M.fit_gaussian(df.where(F.col("block") <= r["refit"]), ["x"], "y")
+        assert r["mean"] == pytest.approx([single.mean.intercept, *single.mean.coefficients], rel=1e-8)
+        assert r["spread"] == pytest.approx([single.spread.intercept, *single.spread.coefficients], rel=1e-7)
 
 
 def folds_block(i):
