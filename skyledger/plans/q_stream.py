@@ -21,22 +21,32 @@ def landed(spark, sf, rows):
     return J.read_files(spark, path, rows.schema, files_per_batch=2)
 
 
+def in_two_runs(spark, rows, second, run):
+    """``run(stream)`` twice: rows without ``second`` land first, the rest before the second run."""
+    path = scratch_path(spark, "landed")
+    for part in (rows.where(~second), rows.where(second)):
+        part.write.mode("append").parquet(path)
+        out = run(J.read_files(spark, path, rows.schema))
+    return out
+
+
 def event_stream(spark, sf, files_per_batch=None):
     """The events table as a stream."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return utc_timestamps(J.read_files(spark, sf, schema, "events.parquet", files_per_batch))
 
 
-def result(spark, frame, mode="append"):
+def result(spark, frame):
     """Run a streaming frame to the end into a table and read it."""
     path = scratch_path(spark, "out")
-    if mode == "append":
-        J.run_available(frame.writeStream.format("parquet").outputMode("append").option("path", path), scratch_path(spark, "ckpt"))
-    else:
-        J.run_available(frame.writeStream.outputMode("complete").foreachBatch(J.table_sink(path)), scratch_path(spark, "ckpt"))
+    J.run_available(frame.writeStream.format("parquet").outputMode("append").option("path", path), scratch_path(spark, "ckpt"))
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Rows of the second run in queries that run a job twice.
+SECOND = "event_id % 10 = 0"
+
+
 @query("t01_append_log", "SELECT strftime(ts, '%Y-%m-%d') AS dt, event_type, count(*) AS n FROM events GROUP BY ALL")
 def t01(spark, sf):
     """Stream appended to a table partitioned by day."""
@@ -54,21 +64,16 @@ def t01(spark, sf):
     ),
 )
 def t02(spark, sf):
-    """Log summary kept up to date over several micro-batches."""
-    stream = landed(spark, sf, roles.opportunities(spark, sf))
-    path = scratch_path(spark, "summary")
-    J.running_summary(
-        stream,
-        ["city"],
-        [
-            F.count("*").alias("markets_evaluated"),
-            R.count_if(F.col("reason") == "tradable").alias("tradable_count"),
-            R.count_if(F.col("after_cost_edge") > 0).alias("positive"),
-            F.max("raw_gap").alias("best_raw_gap"),
-        ],
-        J.table_sink(path),
-    )
-    return spark.read.parquet(path)
+    """Log summary kept up to date over several micro-batches and two runs."""
+    rows, path = roles.opportunities(spark, sf), scratch_path(spark, "summary")
+    partial = [
+        F.count("*").alias("markets_evaluated"),
+        R.count_if(F.col("reason") == "tradable").alias("tradable_count"),
+        R.count_if(F.col("after_cost_edge") > 0).alias("positive"),
+        F.max("raw_gap").alias("best_raw_gap"),
+    ]
+    merged = [F.sum(n).alias(n) for n in ("markets_evaluated", "tradable_count", "positive")] + [F.max("best_raw_gap").alias("best_raw_gap")]
+    return in_two_runs(spark, rows, F.expr(SECOND), lambda stream: J.running_summary(stream, ["city"], partial, merged, path)).read()
 
 
 @query("t02_batch_report", log_sql(", round(median(spread), 8) AS median_spread"))
@@ -82,18 +87,23 @@ def t02b(spark, sf):
     return out.withColumn("median_spread", F.round("median_spread", 8))
 
 
+LATE_SQL = f"""WITH f AS (SELECT max(ts) AS seen FROM opportunities WHERE NOT ({SECOND})), o AS (SELECT *, {SECOND} AND WINDOW_END <= (SELECT seen FROM f) - INTERVAL 9 DAY AS late FROM opportunities)"""
+
+
 @query(
     "t03_cycle_summary",
     with_roles(
         "opportunities",
-        "SELECT epoch_us(observed_at) AS cycle_us, count(*) AS markets_evaluated, count(*) FILTER (reason = 'tradable') AS tradable_count, max(raw_gap) AS best_raw_gap FROM opportunities GROUP BY 1",
+        LATE_SQL.replace("WINDOW_END", "observed_at + INTERVAL 1 HOUR")
+        + """ SELECT epoch_us(observed_at) AS cycle_us, count(*) FILTER (NOT late) AS markets_evaluated, count(*) FILTER (reason = 'tradable' AND NOT late) AS tradable_count,
+    max(raw_gap) FILTER (NOT late) AS best_raw_gap, count(*) FILTER (late) AS late_rows FROM o GROUP BY 1""",
     ),
 )
 def t03(spark, sf):
-    """Hourly cycles in tumbling windows."""
-    stream = landed(spark, sf, roles.opportunities(spark, sf))
-    out = result(spark, J.cycle_summary(stream, "ts", "1 hour", "60 days"), "complete")
-    return out.select(F.unix_micros("cycle").alias("cycle_us"), "markets_evaluated", "tradable_count", "best_raw_gap")
+    """Hourly cycles in tumbling windows; a tenth of the rows comes in a second run, those nine days late only count."""
+    path = scratch_path(spark, "cycles")
+    table_ = in_two_runs(spark, roles.opportunities(spark, sf), F.expr(SECOND), lambda s: J.cycle_summary(s, "ts", "1 hour", "9 days", path))
+    return table_.read().select(F.unix_micros("start").alias("cycle_us"), "markets_evaluated", "tradable_count", "best_raw_gap", "late_rows")
 
 
 @query("t04_distinct_events", "SELECT user_id, event_type, CAST(props AS VARCHAR) AS props FROM events GROUP BY ALL")
@@ -155,27 +165,32 @@ def t07s(spark, sf):
     with_roles("ticks", "SELECT market_id, token_id, arg_max(price, tick_ts) AS price, epoch_us(max(tick_ts)) AS tick_us FROM ticks WHERE price IS NOT NULL GROUP BY ALL"),
 )
 def t08(spark, sf):
-    """Latest price per token over several micro-batches."""
-    stream = landed(spark, sf, roles.ticks(spark, sf))
-    out = result(spark, J.latest_price(stream, ["market_id", "token_id"], "tick_ts", "price"), "complete")
-    return out.select("market_id", "token_id", "price", F.unix_micros("tick_ts").alias("tick_us"))
+    """Latest price per token over two runs."""
+    path = scratch_path(spark, "latest")
+    out = in_two_runs(spark, roles.ticks(spark, sf), F.expr("seq % 10 = 0"), lambda s: J.latest_price(s, ["market_id", "token_id"], "tick_ts", "price", path))
+    return out.read().select("market_id", "token_id", "latest.price", F.unix_micros("latest.tick_ts").alias("tick_us"))
 
 
 @query(
     "t09_l2_windows",
     with_roles(
         "opportunities",
-        """SELECT epoch_us(date_trunc('day', ts)) AS start_us, CASE WHEN k <= 24 THEN '0-24h' WHEN k <= 48 THEN '24-48h' ELSE '48h+' END AS bucket, count(*) AS count, round(avg(raw_gap), 8) AS mean_bid_depth,
-    round(avg(CAST(spread < 0.1 AS INT)) * 100, 6) AS tradeable_pct FROM opportunities GROUP BY ALL""",
+        LATE_SQL.replace("WINDOW_END", "date_trunc('day', ts) + INTERVAL 1 DAY")
+        + """, m AS (SELECT date_trunc('day', ts) AS start, CASE WHEN k <= 24 THEN '0-24h' WHEN k <= 48 THEN '24-48h' ELSE '48h+' END AS bucket, late, raw_gap, spread FROM o),
+    a AS (SELECT start, bucket, count(*) FILTER (NOT late) AS count, round(avg(raw_gap) FILTER (NOT late), 11) AS mean_bid_depth, round(avg(CAST(spread < 0.1 AS INT)) FILTER (NOT late) * 100, 6) AS tradeable_pct,
+      list_sort(list(spread) FILTER (NOT late)) AS spreads, count(*) FILTER (late) AS late_rows FROM m GROUP BY ALL), v AS (SELECT *, spreads[len(spreads) // 2 + 1] AS v FROM a)
+    SELECT epoch_us(start) AS start_us, bucket, count, mean_bid_depth, tradeable_pct, round(CASE WHEN v = 0 THEN 0 ELSE sign(v) * power(2, (floor((log2(abs(v)) + 1100) * 128) + 0.5) / 128 - 1100) END, 6) AS median_spread, late_rows FROM v""",
     ),
 )
 def t09(spark, sf):
-    """Depth per day and settlement bucket."""
-    stream = landed(spark, sf, roles.opportunities(spark, sf).withColumnRenamed("raw_gap", "bid_depth"))
+    """Depth and median spread per day and settlement bucket; rows of a second run that are nine days late only count."""
+    rows = roles.opportunities(spark, sf).withColumnRenamed("raw_gap", "bid_depth")
     bucket = F.when(F.col("k") <= 24, "0-24h").when(F.col("k") <= 48, "24-48h").otherwise("48h+")
-    out = result(spark, J.l2_windows(stream, "ts", "1 day", "60 days", bucket), "complete")
+    path = scratch_path(spark, "l2")
+    out = J.l2_summary(in_two_runs(spark, rows, F.expr(SECOND), lambda s: J.l2_windows(s, "ts", "1 day", "9 days", bucket, path)).read())
     return out.select(
-        F.unix_micros("start").alias("start_us"), "bucket", "count", F.round("mean_bid_depth", 8).alias("mean_bid_depth"), F.round("tradeable_pct", 6).alias("tradeable_pct")
+        F.unix_micros("start").alias("start_us"), "bucket", "count", F.round("mean_bid_depth", 11).alias("mean_bid_depth"),
+        F.round("tradeable_pct", 6).alias("tradeable_pct"), F.round("median_spread", 6).alias("median_spread"), "late_rows",
     )
 
 

@@ -3,18 +3,21 @@ stops, alerts and live as-of prices.
 
 Every job takes a streaming frame and returns a streaming frame or a started
 query. State is bounded by watermarks or by the number of keys; checkpoints go
-to the shared folder.
+to the shared folder. Results by key are kept as epochs and folds (``keyed``): a batch writes only what it changes, and
+a later run with the same path goes on where the last ended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
-from skyledger.session import scratch_path
+from skyledger.operators.quantiles import value_slice
+from skyledger.streaming.keyed import KeyedTable, run_keyed
 
 
 def read_files(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -46,35 +49,63 @@ def append_partitioned(stream: DataFrame, path: str, time: str) -> StreamingQuer
     return run_available(writer, checkpoint_of(path))
 
 
-def running_summary(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Keep counts and extremes per key up to date and hand every changed set to a sink."""
-    agg = stream.groupBy(*keys).agg(*aggregates)
-    writer = agg.writeStream.outputMode("complete").foreachBatch(sink)
-    return run_available(writer, scratch_path(stream.sparkSession, "ckpt-summary"))
+def running_summary(stream: DataFrame, keys: Sequence[str], partial: Sequence[Column], merged: Sequence[Column], path: str) -> KeyedTable:
+    """Counts and extremes per key, kept up to date over all runs with ``path``.
 
+    A batch writes partial aggregates of its own keys only; ``merged`` puts partials of the same
+    names together when the table is read.
+    """
+    table = KeyedTable(stream.sparkSession, path, keys, merged)
+    run_keyed(stream, table, lambda batch, _: batch.groupBy(*keys).agg(*partial))
+    return table
+
+
+def windowed_sums(
+    stream: DataFrame,
+    time: str,
+    interval: str,
+    late: str,
+    keys: Mapping[str, Column],
+    partial: Mapping[str, Column],
+    merged: Sequence[Column],
+    path: str,
+) -> KeyedTable:
+    """Partial aggregates per tumbling window (``start``) and keys; rows of closed windows only count in ``late_rows``.
+
+    A window is closed once its end lies ``late`` or more behind the latest time of the batches before, as
+    a watermark has it. Rows without a time belong to no window. The clock is kept beside the windows by epoch,
+    so a replayed batch sees the same one; a later run with ``path`` goes on with both.
+    """
+    clock = KeyedTable(stream.sparkSession, f"{path}/clock", ["clock"], [F.max("seen").alias("seen")])
+    table = KeyedTable(stream.sparkSession, path, ["start", *keys], [*merged, F.sum("late_rows").alias("late_rows")])
+    at = F.col(time).cast("timestamp")
+
+    def step(batch: DataFrame, epoch: int) -> DataFrame:
+        before = clock.read(epoch)
+        seen = before.first()["seen"] if before is not None else None
+        clock.write(batch.agg(F.unix_micros(F.max(at)).alias("seen")).select(F.lit("all").alias("clock"), "seen"), epoch)
+        rows = batch.where(at.isNotNull()).withColumn("__w", F.window(at, interval))
+        closed = F.col("__w.end") <= F.timestamp_micros(F.lit(seen)) - F.expr(f"INTERVAL {late}") if seen is not None else F.lit(False)
+        sums = rows.groupBy(F.col("__w.start").alias("start"), *[k.alias(n) for n, k in keys.items()], closed.alias("__late")).agg(
+            *[c.alias(n) for n, c in partial.items()], F.count("*").alias("__n")
+        )
+        timely = [F.when(~F.col("__late"), F.col(n)).alias(n) for n in partial]
+        return sums.select("start", *keys, *timely, F.when(F.col("__late"), F.col("__n")).otherwise(0).alias("late_rows"))
 
-def table_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Overwrite one table with each batch, so that a replayed batch does no harm."""
+    run_keyed(stream, table, step)
+    return table
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    return write
-
-
-def cycle_summary(stream: DataFrame, time: str, interval: str, late: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Per-cycle counts in tumbling windows; rows later than ``late`` are dropped."""
-    reason = F.col("reason")
-    return (
-        stream.withWatermark(time, late)
-        .groupBy(F.window(time, interval), *keys)
-        .agg(
-            F.count("*").alias("markets_evaluated"),
-            F.count(F.when(reason == "tradable", 1)).alias("tradable_count"),
-            F.max("raw_gap").alias("best_raw_gap"),
-        )
-        .select(F.col("window.start").alias("cycle"), *keys, "markets_evaluated", "tradable_count", "best_raw_gap")
-    )
+def cycle_summary(stream: DataFrame, time: str, interval: str, late: str, path: str, keys: Sequence[str] = ()) -> KeyedTable:
+    """Per-cycle counts in tumbling windows; rows later than ``late`` are dropped and counted."""
+    partial = {
+        "markets_evaluated": F.count("*"),
+        "tradable_count": F.count(F.when(F.col("reason") == "tradable", 1)),
+        "best_raw_gap": F.max("raw_gap"),
+    }
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0)).alias(n)
+    merged = [total("markets_evaluated"), total("tradable_count"), F.max("best_raw_gap").alias("best_raw_gap")]
+    return windowed_sums(stream, time, interval, late, {k: F.col(k) for k in keys}, partial, merged, path)
 
 
 def first_per_key(stream: DataFrame, keys: Sequence[str], time: str, late: str) -> DataFrame:
@@ -82,49 +113,43 @@ def first_per_key(stream: DataFrame, keys: Sequence[str], time: str, late: str)
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stop_alerts(stream: DataFrame, position: str, time: str, price: str, sequence: str, path: str) -> StreamingQuery:
+def stop_alerts(stream: DataFrame, position: str, time: str, price: str, sequence: str, path: str) -> KeyedTable:
     """First stop per position, with entry, peak and exit kept between batches.
 
-    The first tick of a position is its entry. State is a small table per epoch
-    (one row per position), so each batch runs the sliced stop scan: no task has to
-    hold the ticks of one busy position, and a replayed epoch rewrites its own files.
-    Alerts go to ``path/alerts``; running again goes on from ``path/checkpoint``.
+    The first tick of a position is its entry. An epoch writes the state of the positions that its ticks change;
+    untouched and exited ones are not written again. Each batch runs the sliced stop scan, so no task holds the ticks
+    of one busy position. Alerts go to ``path/alerts``; running again goes on from the checkpoint, and an epoch
+    without the states before it is refused. Ticks count in the order of their batches.
     """
     from skyledger.operators.asof import stop_scan
-    from skyledger.operators.merge import path_exists
 
     spark = stream.sparkSession
-    empty = "entry double, peak double, exited boolean"
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        before = f"{path}/state/epoch={epoch - 1}"
-        known = (
-            spark.read.parquet(before)
-            if epoch > 0 and path_exists(spark, before)
-            else spark.createDataFrame([], f"{position} string, {empty}")
-        )
-        seen = batch.groupBy(position).agg(
-            F.min_by(price, F.struct(time, sequence)).alias("__first"), F.max(price).alias("__high")
-        )
-        current = seen.join(known, position, "full_outer").select(
+    state = KeyedTable(spark, path, [position], [F.max_by("state", "epoch").alias("state"), F.max("epoch").alias("epoch")])
+
+    def step(batch: DataFrame, epoch: int) -> DataFrame:
+        seen = batch.groupBy(position).agg(F.min_by(price, F.struct(time, sequence)).alias("__first"), F.max(price).alias("__high"))
+        known = state.read(epoch)
+        if known is None:
+            known = spark.createDataFrame([], f"{position} string, state struct<entry:double,peak:double,exited:boolean>, epoch long")
+        current = seen.join(known, position, "left").where(~F.coalesce("state.exited", F.lit(False))).select(
             position,
-            F.coalesce("entry", "__first").alias("entry"),
-            F.coalesce("peak", "entry", "__first").alias("opening_peak"),
+            F.coalesce("state.entry", "__first").alias("entry"),
+            F.coalesce("state.peak", "state.entry", "__first").alias("opening_peak"),
             "__high",
-            F.coalesce("exited", F.lit(False)).alias("exited"),
         )
-        live = batch.join(current.where(~F.col("exited")).select(position, "entry", "opening_peak"), position)
+        live = batch.join(current.select(position, "entry", "opening_peak"), position)
         alerts = stop_scan(live, [position], time, price, "entry", 0.20, [sequence], opening_peak="opening_peak")
         alerts.write.mode("overwrite").parquet(f"{path}/alerts/epoch={epoch}")
-        fired = spark.read.parquet(f"{path}/alerts/epoch={epoch}").select(position, F.lit(True).alias("__now"))
-        current.join(fired, position, "left").select(
-            position,
-            "entry",
-            F.greatest("opening_peak", "__high").alias("peak"),
-            (F.col("exited") | F.coalesce("__now", F.lit(False))).alias("exited"),
-        ).write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+        fired = spark.read.schema(alerts.schema).parquet(f"{path}/alerts/epoch={epoch}").select(position, F.lit(True).alias("__now"))
+        new = F.struct(
+            F.col("entry").cast("double").alias("entry"),
+            F.greatest("opening_peak", "__high").cast("double").alias("peak"),
+            F.coalesce("__now", F.lit(False)).alias("exited"),
+        )
+        return current.join(fired, position, "left").select(position, new.alias("state"), F.lit(epoch).cast("long").alias("epoch"))
 
-    return run_available(stream.writeStream.foreachBatch(step), f"{path}/checkpoint")
+    run_keyed(stream, state, step)
+    return state
 
 
 def watch_matches(stream: DataFrame, rules: DataFrame, keys: Sequence[str], ask: str = "best_ask", threshold: str = "threshold") -> DataFrame:
@@ -138,25 +163,58 @@ def freshness_flags(stream: DataFrame, generated: str, received: str, max_minute
     return stream.withColumn("age_minutes", age).withColumn("fresh", F.col("age_minutes") <= max_minutes)
 
 
-def latest_price(stream: DataFrame, keys: Sequence[str], time: str, price: str) -> DataFrame:
-    """Latest price per key; one state row per key."""
-    return stream.where(F.col(price).isNotNull()).groupBy(*keys).agg(
-        F.max_by(price, time).alias(price), F.max(time).alias(time)
-    )
+def latest_price(stream: DataFrame, keys: Sequence[str], time: str, price: str, path: str, sequence: Sequence[str] = ()) -> KeyedTable:
+    """Latest price per key over all runs with ``path``; a batch writes its own keys only.
+
+    Rows without a price don't count. Of equal times the highest ``sequence`` wins, then the highest price.
+    """
+    newest = F.max(F.struct(time, *sequence, price)).alias("latest")
+    table = KeyedTable(stream.sparkSession, path, keys, [F.max("latest").alias("latest")])
+    run_keyed(stream, table, lambda batch, _: batch.where(F.col(price).isNotNull()).groupBy(*keys).agg(newest))
+    return table
 
 
-def l2_windows(stream: DataFrame, time: str, interval: str, late: str, bucket: Column) -> DataFrame:
-    """Mean depth and narrow-spread share per window and settlement bucket."""
-    return (
-        stream.withWatermark(time, late)
-        .groupBy(F.window(time, interval), bucket.alias("bucket"))
-        .agg(
-            F.count("*").alias("count"),
-            F.avg("bid_depth").alias("mean_bid_depth"),
-            (F.avg(F.when(F.col("spread") < 0.10, 1.0).otherwise(0.0)) * 100).alias("tradeable_pct"),
-        )
-        .select(F.col("window.start").alias("start"), "bucket", "count", "mean_bid_depth", "tradeable_pct")
+#: Slices of the quantile sketch per doubling of a value: a quantile is off by at most 0.28 % of itself.
+SKETCH_PER_OCTAVE = 128
+
+
+def slice_value(part: Column, per_octave: int = SKETCH_PER_OCTAVE) -> Column:
+    """The middle (on a log scale) of a slice of ``value_slice``."""
+    size = F.pow(F.lit(2.0), (F.abs(part) - 0.5) / per_octave - 1100.0)
+    return F.when(part == 0, F.lit(0.0)).when(part > 0, size).otherwise(-size)
+
+
+def l2_windows(stream: DataFrame, time: str, interval: str, late: str, bucket: Column, path: str) -> KeyedTable:
+    """Depths, narrow spreads and a sketch of the spreads per window and settlement bucket; late rows are dropped and counted.
+
+    The sketch counts spreads by slices of fixed relative width, so partial sketches add up exactly.
+    """
+    partial = {
+        "count": F.count("*"),
+        "bid": F.sum("bid_depth"),
+        "bids": F.count("bid_depth"),
+        "narrow": F.count(F.when(F.col("spread") < 0.10, 1)),
+    }
+    keys = {"bucket": bucket, "part": value_slice(F.col("spread").cast("double"), SKETCH_PER_OCTAVE)}
+    return windowed_sums(stream, time, interval, late, keys, partial, [F.sum(n).alias(n) for n in partial], path)
+
+
+def l2_summary(parts: DataFrame) -> DataFrame:
+    """Rows of ``l2_windows`` per window and bucket, with the upper median of the spreads."""
+    own = ["start", "bucket"]
+    upto = Window.partitionBy(*own).orderBy("part")
+    counted = F.when(F.col("part").isNotNull(), F.col("count"))
+    ranked = parts.withColumn("__upto", F.sum(counted).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = ranked.withColumn("__total", F.sum(counted).over(Window.partitionBy(*own)))
+    middle = F.when(F.col("part").isNotNull() & (F.col("__upto") > F.floor(F.col("__total") / 2)), F.col("part"))
+    out = ranked.groupBy(*own).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("count"),
+        (F.sum("bid") / F.sum("bids")).alias("mean_bid_depth"),
+        (F.sum("narrow") * 100 / F.sum("count")).alias("tradeable_pct"),
+        F.min(middle).alias("__part"),
+        F.sum("late_rows").alias("late_rows"),
     )
+    return out.withColumn("median_spread", slice_value(F.col("__part"))).drop("__part")
 
 
 def per_batch(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str) -> StreamingQuery:
