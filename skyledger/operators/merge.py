@@ -100,31 +100,27 @@ def merge_by_precedence(sources: Sequence[tuple[int, DataFrame]], keys: Sequence
     return keep_last(merged, keys, ["source_priority"])
 
 
-def guarded_overwrite(spark: SparkSession, df: DataFrame, path: str, protected: bool = False, unlock: bool = False, min_share: float = 0.5) -> str | None:
+def guarded_overwrite(spark: SparkSession, df: DataFrame, path: str, protected: bool = False, unlock: bool = False, min_share: float = 0.5) -> str:
     """Replace a table unless it is protected, empty or shrinks below ``min_share``.
 
-    The new version is written beside the old one and counted there, so the
-    input is computed once and the old version survives as the backup. Returns
-    the path of the new version.
+    The new version is written beside the old one and counted there, so the input is computed once. A refused or
+    failed one leaves the table as it was; the version before stays as the backup. Returns the folder of
+    the new version; readers use ``read_current``.
     """
-    from skyledger.session import scratch_path
+    from skyledger.sources.versions import current, replace_version
 
-    staged = scratch_path(spark, "staged")
-    exists = path_exists(spark, path)
-    if exists and protected and not unlock:
+    if protected and not unlock and current(spark, path):
         raise ValueError(f"{path} is protected; pass unlock=True to replace it")
-    df.write.parquet(staged)
-    rows = spark.read.parquet(staged).count()
-    if rows == 0:
-        raise ValueError(f"{path}: nothing to write")
-    if exists:
-        before = spark.read.parquet(path).count()
-        if before > 0 and rows < before * min_share:
+
+    def allowed(old: str | None, new: str) -> None:
+        rows = spark.read.parquet(new).count()
+        if rows == 0:
+            raise ValueError(f"{path}: nothing to write")
+        before = spark.read.parquet(old).count() if old else 0
+        if rows < before * min_share:
             raise ValueError(f"{path}: {before} rows would shrink to {rows}")
-        backup = f"{path}.bak"
-        spark.read.parquet(path).write.mode("overwrite").parquet(backup)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
-    return path
+
+    return replace_version(df, path, allowed=allowed)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

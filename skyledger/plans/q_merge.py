@@ -10,6 +10,7 @@ from skyledger.plans.registry import query
 from skyledger.plans.roles import with_roles
 from skyledger.session import scratch_path
 from skyledger.sources.tables import export_query, replace_table, table
+from skyledger.sources.versions import read_current
 
 
 @query(
@@ -194,14 +195,14 @@ def k03(spark, sf):
         raise AssertionError("a shrinking table was written")
     except ValueError:
         pass
-    return spark.read.parquet(path).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return read_current(spark, path).groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("k12_replace_table", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def k12(spark, sf):
     path = scratch_path(spark, "orders")
     replace_table(table(spark, sf, "orders"), path)
-    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return read_current(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query("i03_export_query", "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")

@@ -9,6 +9,7 @@ from skyledger.session import scratch_path
 from skyledger.sources import files as S
 from skyledger.sources import payloads as P
 from skyledger.sources.tables import read_table, replace_table, table
+from skyledger.sources.versions import read_current
 
 
 def day(c):
@@ -29,7 +30,7 @@ def i02(spark, sf):
     e = table(spark, sf, "events")
     replace_table(e.where(F.col("event_type") == "click"), path)
     replace_table(e, path)
-    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return read_current(spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
 @query("i04_log_scan", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")

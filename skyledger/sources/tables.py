@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyledger.sources.versions import replace_version
+
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet scan; zone-less timestamps are read as UTC instants."""
@@ -29,15 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] |
     return read_table(spark, f"{sf_dir}/{name}.parquet", columns)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write a table as a whole; the committer makes the swap visible at once."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """Write a table as a whole and return the folder that holds it; readers use ``read_current``.
+
+    A reader during the swap, or after a failed one, sees the whole old table.
+    """
+    return replace_version(df, path, partition_by)
 
 
 def export_query(spark: SparkSession, sql: str, path: str) -> DataFrame:
     """Write the result of a SQL query and return the written table."""
-    replace_table(spark.sql(sql), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(replace_table(spark.sql(sql), path))
