@@ -14,15 +14,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyledger.functions.numeric import from_celsius, present, array_mean, array_std, to_celsius
-from skyledger.operators.asof import ordered_join
 from skyledger.operators.expanding import arrow_rows, expanding_gaussian, solve
-from skyledger.operators.quantiles import value_slice
+from skyledger.operators.isotonic import apply_isotonic, fit_isotonic  # noqa: F401
 from skyledger.session import written
 
 MIN_STD = 0.5
@@ -256,74 +254,6 @@ def with_pretrained(df: DataFrame, fit: GaussianFit, unit: str, primary: str, mo
 # --- calibration --------------------------------------------------------------------------
 
 
-BLOCK_SCHEMA = "label string, x_low double, x_high double, weight double, mean double"
-BLOCK_COLUMNS = ["label", "x_low", "x_high", "weight", "mean"]
-
-
-def _pool_sorted(batches):
-    """Pool-adjacent-violators over rows that arrive ordered by label and x.
-
-    Only the blocks of the current label are held, not its points.
-    """
-    label, blocks = None, []
-
-    def done():
-        return pd.DataFrame([(label, *b) for b in blocks], columns=BLOCK_COLUMNS)
-
-    for pdf in batches:
-        for key, lo, hi, weight, mean in pdf[BLOCK_COLUMNS].itertuples(index=False):
-            if key != label:
-                if blocks:
-                    yield done()
-                label, blocks = key, []
-            blocks.append([lo, hi, weight, mean])
-            while len(blocks) > 1 and blocks[-2][3] >= blocks[-1][3]:
-                b, a = blocks.pop(), blocks.pop()
-                total = a[2] + b[2]
-                blocks.append([a[0], b[1], total, (a[2] * a[3] + b[2] * b[3]) / total])
-    if blocks:
-        yield done()
-
-
-def fit_isotonic(df: DataFrame, label: str, prob: str, hit: str, min_rows: int = 10) -> DataFrame:
-    """Isotonic blocks per label (label, x_low, x_high, weight, mean).
-
-    Equal probabilities are averaged first. The points are range-partitioned by label
-    and probability, and violators are pooled along each part, then along the few
-    blocks that are left. Pooling parts first gives the same result, so a label of
-    any size is spread over tasks.
-    """
-    points = df.where(F.col(prob).isNotNull()).groupBy(F.col(label).alias("label"), F.col(prob).alias("x_low")).agg(
-        F.count("*").cast("double").alias("weight"), F.avg(F.col(hit).cast("double")).alias("mean")
-    )
-    enough = points.groupBy("label").agg(F.sum("weight").alias("__n")).where(F.col("__n") >= min_rows).select("label")
-    points = points.join(enough, "label", "left_semi").withColumn("x_high", F.col("x_low")).select(*BLOCK_COLUMNS)
-    parts = points.repartitionByRange("label", "x_low").sortWithinPartitions("label", "x_low")
-    local = parts.mapInPandas(_pool_sorted, BLOCK_SCHEMA)
-    return local.repartition("label").sortWithinPartitions("label", "x_low").mapInPandas(_pool_sorted, BLOCK_SCHEMA)
-
-
-def apply_isotonic(df: DataFrame, blocks: DataFrame, label: str, prob: str, into: str = "calibrated") -> DataFrame:
-    """Calibrate probabilities: a block's value inside it, a straight line between
-    blocks, the end values outside; a label without a model keeps its value."""
-    after = Window.partitionBy("label").orderBy("x_low")
-    b = blocks.withColumn("x_next", F.lead("x_low").over(after)).withColumn("mean_next", F.lead("mean").over(after))
-    b = b.withColumnRenamed("label", label)
-    lowest = b.groupBy(label).agg(F.min("mean").alias("__first"))
-    # Each distinct probability is looked up once, however many rows share it.
-    points = df.select(label, F.col(prob).cast("double").alias("__p")).distinct()
-    hit = ordered_join(
-        points, b, [label], F.col("__p"), F.col("x_low"), lambda at: value_slice(at, 64),
-        ["x_high", "mean", "x_next", "mean_next"], position_as="__at",
-    ).join(lowest, label, "left")
-    p = F.col("__p")
-    line = F.col("mean") + (F.col("mean_next") - F.col("mean")) * (p - F.col("x_high")) / (F.col("x_next") - F.col("x_high"))
-    inside = F.when((p <= F.col("x_high")) | F.col("x_next").isNull(), F.col("mean")).otherwise(line)
-    value = F.when(F.col("__at").isNotNull(), inside).otherwise(F.coalesce("__first", "__p"))
-    known = hit.select(label, "__p", value.alias(into))
-    return df.withColumn("__p", F.col(prob).cast("double")).join(known, [label, "__p"], "left").drop("__p")
-
-
 def renormalize(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Scale a decision's probabilities to sum to one where they sum to more than 0.
     A decision holds its outcomes only, so the window is small."""

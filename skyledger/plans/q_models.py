@@ -11,7 +11,7 @@ from skyledger.operators import scoring as S
 from skyledger.operators import trade as T
 from skyledger.plans import roles
 from skyledger.plans.q_features import BIN_ROWS
-from skyledger.plans.q_scoring import MASS_SQL, WIN_SQL
+from skyledger.plans.q_scoring import MASS_SQL, PR_SQL, WIN_SQL
 from skyledger.plans.registry import query
 from skyledger.plans.roles import with_roles
 from skyledger.session import written
@@ -196,14 +196,27 @@ def x10n(spark, sf):
     return rounded(joined, "ridge_mean", "ridge_std", "blend_mean")
 
 
-@query("x05_isotonic_calibration")
+ISO_SQL = f"""{PR_SQL.replace('pr AS (', 'pr AS MATERIALIZED (')}, {MASS_SQL},
+  l AS (SELECT rid, city, label, round(prob, 9) AS p, CAST(label = {WIN_SQL} AS INT) AS hit FROM prob),
+  u AS (SELECT label, p, count(*) AS w, sum(hit) AS h, row_number() OVER (PARTITION BY label ORDER BY p) AS i FROM l GROUP BY label, p),
+  c AS (SELECT *, sum(w) OVER o AS cw, sum(h) OVER o AS ch FROM u WINDOW o AS (PARTITION BY label ORDER BY i)),
+  m AS (SELECT a.label, a.i AS j, b.i, min((b.ch - a.ch + a.h) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.label, a.i ORDER BY b.i DESC) AS least FROM c a JOIN c b ON a.label = b.label AND b.i >= a.i),
+  iso AS (SELECT label, p, max(least) AS value FROM m JOIN u USING (label, i) GROUP BY ALL),
+  n AS (SELECT l.*, value / nullif(sum(value) OVER (PARTITION BY rid), 0) AS scaled, value FROM l JOIN iso USING (label, p))"""
+
+
+@query(
+    "x05_isotonic_calibration",
+    with_roles("preds", f"WITH {ISO_SQL} SELECT label, count(*) AS n, round(avg(coalesce(scaled, value)), 6) AS calibrated, round(avg(hit), 6) AS hit_rate FROM n GROUP BY 1"),
+)
 def x05(spark, sf):
-    """Isotonic calibration per outcome label, then scaled per decision."""
+    """Isotonic calibration per outcome label (in SQL by its max-min form), then scaled per decision."""
     bins = B.bin_array(BIN_ROWS)
     p = numbered(roles.preds(spark, sf))
     p = p.withColumn("probs", B.labeled(bins, B.normal_masses(bins, F.col("mean"), F.col("std")))).withColumn("winner", B.winning_label(bins, F.col("y")))
     long = p.select("rid", "city", "winner", F.inline_outer("probs")).withColumn("hit", F.col("label") == F.col("winner"))
-    blocks = M.fit_isotonic(long, "label", "prob", "hit")
+    long = written(long.withColumn("prob", F.round("prob", 9)), "probabilities")
+    blocks = M.fit_isotonic(long, "label", "prob", "hit", ["rid"])
     out = M.renormalize(M.apply_isotonic(long, blocks, "label", "prob"), ["rid"], "calibrated")
     return out.groupBy("label").agg(
         F.count("*").alias("n"), F.round(F.avg("calibrated"), 6).alias("calibrated"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate")
