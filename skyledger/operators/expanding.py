@@ -171,11 +171,10 @@ def running_medians(rows: DataFrame, features: Sequence[str], block: str, refits
 # --- running sums -----------------------------------------------------------------------------
 
 
-def block_products(rows: DataFrame, features: Sequence[str], y: str, block: str, centre: np.ndarray) -> DataFrame:
-    """``block, pos, value``: sums of products of (1, values, gap marks, target) per block.
+def block_products(rows: DataFrame, features: Sequence[str], y: str, block: str, centre: np.ndarray, weight: str | None = None) -> DataFrame:
+    """``block, pos, value``: weighted sums of products of (1, values, gap marks, target) per block.
 
-    ``pos`` counts the upper triangle by rows. Rows without a target count as nothing, so that
-    every block has its row.
+    ``pos`` counts the upper triangle by rows. Rows without a target or weight count as nothing.
     """
     p = len(features)
     k = 2 * p + 2
@@ -192,25 +191,32 @@ def block_products(rows: DataFrame, features: Sequence[str], y: str, block: str,
             held.clear()
 
         for batch in batches:
-            z, blocks = design(batch, features, y, block, centre)
+            z, blocks, w = design(batch, features, y, block, centre, weight)
             for b in np.unique(blocks):
                 own = z[blocks == b]
-                held[int(b)] = held.get(int(b), 0.0) + own.T @ own
+                held[int(b)] = held.get(int(b), 0.0) + (own * w[blocks == b, None]).T @ own
             if len(held) * k * k > HELD:
                 yield from out()
         yield from out()
 
-    return rows.select(block, y, *features).mapInArrow(run, schema)
+    return rows.select(*needed(block, y, features, weight)).mapInArrow(run, schema)
 
 
-def design(batch: pa.RecordBatch, features: Sequence[str], y: str, block: str, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (1, values, gap marks, target) around the centre, all 0 without a target, and their blocks."""
+def needed(block: str, y: str, features: Sequence[str], weight: str | None) -> list[str]:
+    return list(dict.fromkeys([block, y, *features, *([weight] if weight else [])]))
+
+
+def design(
+    batch: pa.RecordBatch, features: Sequence[str], y: str, block: str, centre: np.ndarray, weight: str | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (1, values, gap marks, target) around the centre, all 0 without a target, their blocks and weights."""
     target = as_floats(batch[y])
     x = np.column_stack([np.ones((len(target), 0)), *[as_floats(batch[f]) for f in features]])
     gap = np.isnan(x)
     z = np.column_stack([np.ones(len(target)), np.where(gap, 0.0, x - centre[:-1]), gap, target - centre[-1]])
     z[np.isnan(target)] = 0.0
-    return z, batch[block].to_numpy(zero_copy_only=False)
+    w = np.nan_to_num(as_floats(batch[weight])) if weight else np.ones(len(target))
+    return z, batch[block].to_numpy(zero_copy_only=False), w
 
 
 def as_floats(column: pa.Array) -> np.ndarray:
@@ -226,10 +232,13 @@ def as_array(df: DataFrame, key: str, value: str, into: str) -> DataFrame:
 FIT = "refit int, medians array<double>, mean array<double>, centre array<double>, gram array<double>, weight double"
 
 
-def mean_fits(sums: DataFrame, medians: DataFrame, features: Sequence[str], centre: np.ndarray, refits: int, ridge: float) -> DataFrame:
+def mean_fits(
+    sums: DataFrame, medians: DataFrame, features: Sequence[str], centre: np.ndarray, refits: int, ridge: float, maps: DataFrame | None = None
+) -> DataFrame:
     """Solve the mean of each refit from its running sums and medians; keeps its centred sums for the spread.
 
-    A refit that has seen no target gets no row.
+    ``maps`` (``refit, map``: a square matrix by rows) gives each refit linear combinations of the features, whose
+    coefficients the ridge acts on. A refit that has seen no target gets no row.
     """
     p = len(features)
     upto = Window.partitionBy("pos").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -243,7 +252,9 @@ def mean_fits(sums: DataFrame, medians: DataFrame, features: Sequence[str], cent
     joined = stats.join(medians.groupBy("refit").agg(by_place.alias("by_place")), "refit", "left")
     places = F.array(*[F.lit(i) for i in range(p)]).cast("array<int>")
     filled = F.transform(places, lambda i: F.coalesce(F.element_at("by_place", i), F.lit(0.0)))
-    joined = joined.select("refit", "sums", F.when(F.lit(p == 0), F.array().cast("array<double>")).otherwise(filled).alias("medians"))
+    if maps is not None:
+        joined = joined.join(maps, "refit", "left")
+    joined = joined.select("refit", "sums", (F.lit(None).cast("array<double>") if maps is None else F.col("map")).alias("map"), F.when(F.lit(p == 0), F.array().cast("array<double>")).otherwise(filled).alias("medians"))
     upper = np.triu_indices(2 * p + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +273,8 @@ def mean_fits(sums: DataFrame, medians: DataFrame, features: Sequence[str], cent
                 n = full[0, 0]
                 means = full[0] / max(n, 1.0)
                 inner = full - n * np.outer(means, means)
-                beta = solve(inner[1:-1, 1:-1], inner[1:-1, -1], ridge)
+                turn = np.eye(p) if row["map"] is None else np.asarray(row["map"]).reshape(p, p)
+                beta = turn.T @ solve(turn @ inner[1:-1, 1:-1] @ turn.T, turn @ inner[1:-1, -1], ridge)
                 out["refit"].append(row["refit"])
                 out["medians"].append(row["medians"])
                 # around the centre: value = start + beta * (x - centre)
@@ -275,13 +287,24 @@ def mean_fits(sums: DataFrame, medians: DataFrame, features: Sequence[str], cent
     return joined.mapInArrow(run, FIT).where("weight > 0")
 
 
-def residual_sums(rows: DataFrame, fits: DataFrame, features: Sequence[str], y: str, block: str, centre: np.ndarray, n_rows: int, refits: int) -> DataFrame:
-    """``refit, pos, value``: sums of absolute residuals times (1, features), over all rows a refit has learned from."""
+def residual_sums(
+    rows: DataFrame,
+    fits: DataFrame,
+    features: Sequence[str],
+    y: str,
+    block: str,
+    centre: np.ndarray,
+    n_rows: int,
+    refits: int,
+    weight: str | None = None,
+    clip: tuple[float, float] | None = None,
+) -> DataFrame:
+    """``refit, pos, value``: weighted sums of absolute residuals times (1, features), over all rows a refit has learned from."""
     p = len(features)
     salts = max(1, -(-n_rows // ROWS))
     last = (refits - 1) // REFITS
     usable = rows.where(~missing(F.col(y).cast("double")) & (F.col(block) < refits))
-    left = usable.select(block, y, *features).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    left = usable.select(*needed(block, y, features, weight)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     left = left.withColumn("__chunk", F.explode(F.sequence((F.col(block) / REFITS).cast("int"), F.lit(last))))
     right = fits.select("refit", "medians", "mean", F.floor(F.col("refit") / REFITS).cast("int").alias("__chunk"))
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("__salt", F.col("__salt").cast("long"))
@@ -290,7 +313,7 @@ def residual_sums(rows: DataFrame, fits: DataFrame, features: Sequence[str], y:
     def run(own: pa.Table, some: pa.Table) -> pa.Table:
         if not own.num_rows or not some.num_rows:
             return arrow_rows(schema, refit=[], pos=[], value=[])
-        z, blocks = design(own.combine_chunks().to_batches()[0], features, y, block, centre)
+        z, blocks, w = design(own.combine_chunks().to_batches()[0], features, y, block, centre, weight)
         values, gaps, target = z[:, 1 : p + 1], z[:, p + 1 : -1], z[:, -1]
         refit = some["refit"].to_numpy()
         mean = np.array(some["mean"].to_pylist())
@@ -300,6 +323,7 @@ def residual_sums(rows: DataFrame, fits: DataFrame, features: Sequence[str], y:
             at = slice(i, i + TILE)
             predicted = mean[at, 0] - centre[-1] + values @ mean[at, 1:].T + gaps @ (filled[at] * mean[at, 1:]).T
             off = np.abs(target[:, None] - predicted)
+            off = (off if clip is None else np.clip(off, *clip)) * w[:, None]
             off[blocks[:, None] > refit[at]] = 0.0
             parts.append(np.column_stack([off.sum(axis=0), off.T @ values + (off.T @ gaps) * filled[at]]))
         sums = np.concatenate(parts)
@@ -308,9 +332,12 @@ def residual_sums(rows: DataFrame, fits: DataFrame, features: Sequence[str], y:
     return left.groupBy("__chunk", "__salt").cogroup(right.groupBy("__chunk", "__salt")).applyInArrow(run, schema)
 
 
-def spread_fits(fits: DataFrame, residuals: DataFrame, features: Sequence[str], centre: np.ndarray, ridge: float) -> DataFrame:
-    """``refit, medians, mean, spread`` with intercepts for the features as they are."""
+def spread_fits(
+    fits: DataFrame, residuals: DataFrame, features: Sequence[str], centre: np.ndarray, ridge: float, spread_on: Sequence[str] | None = None
+) -> DataFrame:
+    """``refit, medians, mean, spread`` with intercepts for the features as they are; other features than ``spread_on`` get 0."""
     p = len(features)
+    used = [i for i, f in enumerate(features) if spread_on is None or f in spread_on]
     sums = as_array(residuals.groupBy("refit", "pos").agg(F.sum("value").alias("value")), "refit", "value", "off")
     schema = "refit int, medians array<double>, mean array<double>, spread array<double>"
 
@@ -320,7 +347,8 @@ def spread_fits(fits: DataFrame, residuals: DataFrame, features: Sequence[str],
             for row in batch.to_pylist():
                 off, n = np.asarray(row["off"] or np.zeros(p + 1)), row["weight"]
                 means, gram = np.asarray(row["centre"]), np.asarray(row["gram"]).reshape(p, p)
-                beta = solve(gram, off[1:] - means * off[0], ridge)
+                beta = np.zeros(p)
+                beta[used] = solve(gram[np.ix_(used, used)], (off[1:] - means * off[0])[used], ridge)
                 spread = [float((off[0] / n if n else 0.0) - means @ beta), *beta]
                 out["refit"].append(row["refit"])
                 out["medians"].append(row["medians"])
@@ -338,7 +366,9 @@ class ExpandingFits:
     features: list[str]
     table: DataFrame
 
-    def score(self, df: DataFrame, refit: str = "refit") -> DataFrame:
+    def score(
+        self, df: DataFrame, refit: str = "refit", mean: str = "pred_mean", std: str = "pred_std", clip: tuple[float, float | None] = (MIN_STD, None)
+    ) -> DataFrame:
         """Predict each row with its refit; a missing feature counts as that refit's median.
 
         Rows of a refit that has learned from nothing stay, without a prediction.
@@ -350,16 +380,30 @@ class ExpandingFits:
         def dot(side: str) -> Column:
             return reduce(lambda a, b: a + b, [F.get(side, F.lit(i + 1)) * x for i, x in enumerate(filled)], F.get(side, F.lit(0)))
 
-        joined = df.join(fits, refit, "left").withColumns({"pred_mean": dot("__m"), "pred_std": F.when(F.col("__s").isNotNull(), F.greatest(dot("__s"), F.lit(MIN_STD)))})
+        spread = F.greatest(dot("__s"), F.lit(clip[0]))
+        spread = spread if clip[1] is None else F.least(spread, F.lit(clip[1]))
+        joined = df.join(fits, refit, "left").withColumns({mean: dot("__m"), std: F.when(F.col("__s").isNotNull(), spread)})
         return joined.drop("__f", "__m", "__s")
 
 
-def expanding_gaussian(df: DataFrame, features: Sequence[str], y: str, block: str, ridge: float = 0.0) -> ExpandingFits:
-    """Fit r uses the rows of blocks 0..r, for every r below the last block.
+def expanding_gaussian(
+    df: DataFrame,
+    features: Sequence[str],
+    y: str,
+    block: str,
+    ridge: float = 0.0,
+    weight: str | None = None,
+    clip: tuple[float, float] | None = None,
+    spread_on: Sequence[str] | None = None,
+    maps: DataFrame | None = None,
+    whole: bool = False,
+) -> ExpandingFits:
+    """Fit r uses the rows of blocks 0..r, for every r below the last block (``whole``: the last one too, so all rows).
 
     Mean by least squares (ridge on raw coefficients, none on the intercept), spread by least squares of the
-    absolute residuals. Missing features (null or NaN) count as the median of all that refit has seen, 0
+    absolute residuals, held inside ``clip``. Missing features (null or NaN) count as the median of all that refit has seen, 0
     where it has seen none; rows without a target are left out. Without features the fits are means.
+    ``spread_on`` are the features of the spread if not all; ``maps`` see ``mean_fits``.
     ``df`` is read several times and should be a written table. An empty table gives no fit.
     """
     features = list(features)
@@ -368,12 +412,51 @@ def expanding_gaussian(df: DataFrame, features: Sequence[str], y: str, block: st
     value = [F.col(f).cast("double") for f in features]
     centres = [F.avg(F.when(has & ~missing(v), v)) for v in value]
     facts = df.agg(F.max(block), F.count("*"), *centres, F.avg(F.when(has, target))).first()
-    refits = int(facts[0] or 0)
+    refits = 0 if facts[0] is None else int(facts[0]) + int(whole)
     centre = np.array([float(v or 0.0) for v in facts[2:]])
     rows = df.where(F.col(block) < refits)
     medians = running_medians(rows.where(has), features, block, refits) if features else df.sparkSession.createDataFrame([], "refit int, feature int, median double")
-    sums = block_products(rows, features, y, block, centre)
+    sums = block_products(rows, features, y, block, centre, weight)
     # written: the mean fits are read with every row block and once more for the spread
-    fits = written(mean_fits(sums, medians, features, centre, refits, ridge), "mean-fits")
-    residuals = residual_sums(rows, fits, features, y, block, centre, int(facts[1]), refits)
-    return ExpandingFits(features, written(spread_fits(fits, residuals, features, centre, ridge), "spread-fits"))
+    fits = written(mean_fits(sums, medians, features, centre, refits, ridge, maps), "mean-fits")
+    residuals = residual_sums(rows, fits, features, y, block, centre, int(facts[1]), refits, weight, clip)
+    return ExpandingFits(features, written(spread_fits(fits, residuals, features, centre, ridge, spread_on), "spread-fits"))
+
+
+def degree_two_maps(df: DataFrame, base: Sequence[str], block: str, whole: bool = False) -> DataFrame:
+    """``refit, map`` from raw terms (each feature, then all products of two) to those of features that a refit standardizes.
+
+    Means and deviations are those of the blocks up to the refit. Constants are left to the intercept. ``df`` has no gaps.
+    """
+    p = len(base)
+    value = [F.col(f).cast("double") for f in base]
+    sums = df.groupBy(F.col(block).alias("refit")).agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(v) for v in value]).alias("s"), F.array(*[F.sum(v * v) for v in value]).alias("q"))
+    upto = Window.orderBy("refit").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a block
+    last = df.agg(F.max(block)).first()[0]
+    refits = 0 if last is None else int(last) + int(whole)
+    every = df.sparkSession.range(refits).select(F.col("id").cast("int").alias("refit")).join(sums, "refit", "left")
+    total = lambda a, i: F.coalesce(F.sum(F.get(a, F.lit(i))).over(upto), F.lit(0.0))
+    running = every.select("refit", F.sum("n").over(upto).alias("n"), F.array(*[total("s", i) for i in range(p)]).alias("s"), F.array(*[total("q", i) for i in range(p)]).alias("q"))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    schema = "refit int, map array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refit, maps = [], []
+            for row in batch.to_pylist():
+                n = row["n"] or 1.0
+                mean = np.asarray(row["s"]) / n
+                scale = np.sqrt(np.maximum(np.asarray(row["q"]) / n - mean * mean, 0.0))
+                scale[scale <= 1e-12 * np.maximum(np.abs(mean), 1.0)] = 1.0
+                out = np.zeros((p + len(pairs), p + len(pairs)))
+                out[range(p), range(p)] = 1.0 / scale
+                for k, (i, j) in enumerate(pairs):
+                    size = scale[i] * scale[j]
+                    out[p + k, p + k] = 1.0 / size
+                    out[p + k, i] -= mean[j] / size
+                    out[p + k, j] -= mean[i] / size
+                refit.append(row["refit"])
+                maps.append(out.ravel())
+            yield from arrow_rows(schema, refit=refit, map=maps).to_batches()
+
+    return running.mapInArrow(run, schema)

@@ -459,73 +459,6 @@ def boosted_gaussian(df: DataFrame, features: Sequence[str], y: str, group: Sequ
     return scored.withColumn("pred_std", std).drop("__x", "fold", "ordinal")
 
 
-def stacked_gaussian(
-    df: DataFrame,
-    features: Sequence[str],
-    lead_features: Sequence[str],
-    y: str,
-    group: Sequence[str],
-    alpha: float = 1.0,
-    max_iter: int = 20,
-    n_splits: int = 4,
-) -> DataFrame:
-    """Three experts (ridge, second-degree ridge, boosted trees) with out-of-fold
-    predictions, a logistic gate over which expert is best, and the mixture moments.
-
-    Adds per-expert columns mean_e, scale_e and weight_e beside pred_mean / pred_std.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import vector_to_array
-
-    from skyledger.operators.folds import validation_folds
-
-    wide, poly = polynomial(validation_folds(df, group, n_splits), lead_features, scale=True)
-    ready = written(_assemble(wide, features), "stacked")
-
-    def linear(names):
-        def fit(train: DataFrame):
-            model = fit_linear(train, names, y, ridge=alpha)
-            return lambda rows, into: rows.withColumn(into, model.column())
-
-        return fit
-
-    def trees(train: DataFrame):
-        model = _boosted(y, max_iter, 4).fit(train)
-        return lambda rows, into: _predict(model, rows, into)
-
-    experts = {"blend": (linear(features), features), "leadtime": (linear(poly), lead_features), "tree": (trees, features)}
-    order = list(experts)
-    oof = written(out_of_fold(ready, {f"oof_{e}": experts[e][0] for e in order}, "fold", "ordinal"), "stacked-oof")
-    clip = lambda c: F.least(F.greatest(c, F.lit(RESIDUAL_RANGE[0])), F.lit(RESIDUAL_RANGE[1]))
-    errors = [F.abs(F.col(y) - F.col(f"oof_{e}")) for e in order]
-    best = F.array_position(F.array(*errors), F.least(*errors)).cast("double") - 1
-    valid = oof.where(F.col("fold").isNotNull()).withColumn("__best", best)
-
-    scored = ready
-    for name in order:
-        fit, names = experts[name]
-        scored = fit(ready)(scored, f"mean_{name}")
-        scale = fit_linear(valid, list(names), clip(F.abs(F.col(y) - F.col(f"oof_{name}"))), ridge=alpha)
-        scored = scored.withColumn(f"scale_{name}", clip(scale.column()))
-
-    scaler = StandardScaler(inputCol="__x", outputCol="__z", withMean=True).fit(valid)
-    gate = LogisticRegression(featuresCol="__z", labelCol="__best", maxIter=50, family="multinomial")
-    gate_model = gate.fit(scaler.transform(valid))
-    out = gate_model.transform(scaler.transform(scored)).withColumn("__g", vector_to_array("probability"))
-    for i, name in enumerate(order):
-        out = out.withColumn(f"weight_{name}", F.coalesce(F.get("__g", F.lit(i)), F.lit(0.0)))
-    mean = reduce(lambda a, b: a + b, [F.col(f"weight_{e}") * F.col(f"mean_{e}") for e in order])
-    out = out.withColumn("pred_mean", mean)
-    second = reduce(
-        lambda a, b: a + b,
-        [F.col(f"weight_{e}") * (F.col(f"scale_{e}") ** 2 + F.col(f"mean_{e}") ** 2) for e in order],
-    )
-    var = F.greatest(second - F.col("pred_mean") ** 2, F.lit(RESIDUAL_RANGE[0] ** 2))
-    dropped = ["__x", "__z", "__g", "rawPrediction", "probability", "prediction", "fold", "ordinal", *poly]
-    return out.withColumn("pred_std", F.sqrt(var)).drop(*dropped)
-
-
 # --- back-test ----------------------------------------------------------------------------------
 
 

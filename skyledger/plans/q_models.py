@@ -8,6 +8,7 @@ from skyledger.functions import numeric as N
 from skyledger.operators import bins as B
 from skyledger.operators import models as M
 from skyledger.operators import scoring as S
+from skyledger.operators import stacking as G
 from skyledger.operators import trade as T
 from skyledger.plans import roles
 from skyledger.plans.q_features import BIN_ROWS
@@ -31,25 +32,27 @@ def numbered(df):
     return written(df.withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
 
-def least_squares_sql(rows: str, names: list[str], target: str, into: str, ridge: float = 0.0) -> str:
-    """Common table expressions ending in table ``into``: ``rows`` with the least-squares prediction of ``target`` as column ``into``.
+def least_squares_sql(rows: str, names: list[str], target: str, into: str, ridge: float = 0.0, train: str = "TRUE") -> str:
+    """Common table expressions ending in table ``{into}_o``: ``rows`` with the least-squares prediction of ``target`` as column ``into``.
 
-    Centred columns are made orthogonal one after another, and the target is projected on each. A ridge adds
-    one row a column that holds the root of the penalty there.
+    The fit learns from the rows of ``train``. Centred columns are made orthogonal one after another, and the target is projected
+    on each. A ridge adds one row a column that holds the root of the penalty there.
     """
     q, t, k = [f"{into}_q{i}" for i in range(len(names))], f"{into}_t", len(names)
-    centred = ", ".join([*[f"({n})::DOUBLE - avg(({n})::DOUBLE) OVER () AS {c}" for n, c in zip(names, q)], f"({target})::DOUBLE - avg(({target})::DOUBLE) OVER () AS {t}"])
-    out = f"{into}_c AS (SELECT *, {centred}, avg(({target})::DOUBLE) OVER () AS {into}, TRUE AS {into}_own FROM {rows})"
+    learned = f"FILTER (WHERE {train}) OVER ()"
+    centred = ", ".join([*[f"({n})::DOUBLE - avg(({n})::DOUBLE) {learned} AS {c}" for n, c in zip(names, q)], f"({target})::DOUBLE - avg(({target})::DOUBLE) {learned} AS {t}"])
+    out = f"{into}_c AS (SELECT *, {centred}, avg(({target})::DOUBLE) {learned} AS {into}, TRUE AS {into}_own, {train} AS {into}_in FROM {rows})"
     last = f"{into}_c"
     if ridge:
-        extra = " ".join("UNION ALL BY NAME SELECT " + ", ".join(f"{ridge ** 0.5 if i == j else 0.0}::DOUBLE AS {c}" for j, c in enumerate(q)) + f", 0.0::DOUBLE AS {t}, 0.0::DOUBLE AS {into}, FALSE AS {into}_own" for i in range(k))
+        extra = " ".join("UNION ALL BY NAME SELECT " + ", ".join(f"{ridge ** 0.5 if i == j else 0.0}::DOUBLE AS {c}" for j, c in enumerate(q)) + f", 0.0::DOUBLE AS {t}, 0.0::DOUBLE AS {into}, FALSE AS {into}_own, TRUE AS {into}_in" for i in range(k))
         out, last = f"{out}, {into}_r AS (SELECT * FROM {last} {extra})", f"{into}_r"
+    total = f"FILTER (WHERE {into}_in) OVER ()"
     for i, c in enumerate(q):
-        along = lambda v: f"{c} * (sum({v} * {c}) OVER () / sum({c} * {c}) OVER ())"  # noqa: B023, E731
+        along = lambda v: f"{c} * (sum({v} * {c}) {total} / sum({c} * {c}) {total})"  # noqa: B023, E731
         moved = ", ".join([f"{v} - {along(v)} AS {v}" for v in [*q[i + 1 :], t]] + [f"{into} + {along(t)} AS {into}"])
         out += f", {into}_s{i} AS (SELECT * REPLACE ({moved}) FROM {last})"
         last = f"{into}_s{i}"
-    return f"{out}, {into}_o AS (SELECT * EXCLUDE ({', '.join([*q, t, f'{into}_own'])}) FROM {last} WHERE {into}_own)"
+    return f"{out}, {into}_o AS (SELECT * EXCLUDE ({', '.join([*q, t, f'{into}_own', f'{into}_in'])}) FROM {last} WHERE {into}_own)"
 
 
 @query("x06_gaussian_regression", with_roles("preds", f"WITH {FIT_SQL} SELECT city, count(*) AS n, round(avg(pm), 6) AS pred_mean, round(avg(ps), 6) AS pred_std, round(avg(abs(y - pm)), 6) AS mae FROM o GROUP BY 1"))
@@ -312,11 +315,38 @@ def x15(spark, sf):
     return S.point_scores(out, "pred_mean", "pred_std", "y", ["model_name"])
 
 
+def expert_sql(rows: str, tag: str, train: str) -> str:
+    """Means of the two ridge experts (``mb_tag``, ``ml_tag``) learned from the rows of ``train``."""
+    z = f"(mean - z_m{tag}) / z_s{tag}"
+    return f"""z{tag} AS (SELECT *, avg(mean) FILTER (WHERE {train}) OVER () AS z_m{tag}, stddev_pop(mean) FILTER (WHERE {train}) OVER () AS z_s{tag} FROM {rows}),
+  {least_squares_sql(f'z{tag}', ['mean', 'std'], 'y', f'mb{tag}', 1.0, train)}, {least_squares_sql(f'mb{tag}_o', [z, f'{z} * {z}'], 'y', f'ml{tag}', 1.0, train)}"""
+
+
+STACK_SQL = f"""WITH d AS (SELECT target_date, row_number() OVER (ORDER BY target_date) - 1 AS ordinal, count(*) OVER () AS n FROM (SELECT DISTINCT target_date FROM preds)),
+  s AS (SELECT *, greatest(n // 5, 1) AS size, greatest(16, greatest(n // 5, 1)) AS first FROM d),
+  r AS (SELECT city, mean, std, y, ordinal, first, size, CASE WHEN ordinal >= first AND first + ((ordinal - first) // size + 1) * size <= n THEN (ordinal - first) // size END AS fold FROM preds JOIN s USING (target_date)),
+  {', '.join(expert_sql('r' if k == 0 else f'ml{k - 1}_o', str(k), f'ordinal < first + {k} * size') for k in range(4))}, {expert_sql('ml3_o', 'w', 'TRUE')},
+  u AS (SELECT city, mean, std, y, TRUE AS oof, CASE fold WHEN 0 THEN mb0 WHEN 1 THEN mb1 WHEN 2 THEN mb2 ELSE mb3 END AS mb, CASE fold WHEN 0 THEN ml0 WHEN 1 THEN ml1 WHEN 2 THEN ml2 ELSE ml3 END AS ml FROM mlw_o WHERE fold IS NOT NULL
+    UNION ALL SELECT city, mean, std, y, FALSE, mbw, mlw FROM mlw_o),
+  {least_squares_sql('u', ['mb', 'ml'], 'y', 'pm', 1.0, 'oof')}, {least_squares_sql('pm_o', ['mean', 'std'], 'least(greatest(abs(y - pm), 0.25), 12)', 'ps', 1.0, 'oof')}"""
+
+
+@query(
+    "x16_ridge_stacker",
+    with_roles("preds", f"{STACK_SQL} SELECT city, count(*) AS n, round(avg(mb), 6) AS mean_blend, round(avg(ml), 6) AS mean_leadtime, round(avg(pm), 6) AS pred_mean, round(avg(least(greatest(ps, 0.25), 12)), 6) AS pred_std FROM ps_o WHERE NOT oof GROUP BY 1"),
+)
+def x16r(spark, sf):
+    """Two ridge experts fitted for all folds at once, and a ridge on their out-of-fold means."""
+    out = G.stacked_gaussian(roles.preds(spark, sf), ["mean", "std"], ["mean"], "y", ["target_date"], experts=("blend", "leadtime"), combiner="linear_stacker")
+    names = ("mean_blend", "mean_leadtime", "pred_mean", "pred_std")
+    return rounded(out.groupBy("city").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in names]), *names)
+
+
 @query("x16_stacked_experts")
 def x16(spark, sf):
     """Stacked experts with a gate, and their diagnostics."""
     p = roles.preds(spark, sf)
-    out = M.stacked_gaussian(p, ["mean", "std"], ["mean"], "y", ["target_date"])
+    out = G.stacked_gaussian(p, ["mean", "std"], ["mean"], "y", ["target_date"])
     e = ["blend", "leadtime", "tree"]
     return S.expert_diagnostics(out, [f"mean_{x}" for x in e], [f"weight_{x}" for x in e], "y", [f"scale_{x}" for x in e])
 

@@ -182,18 +182,3 @@ def test_polynomial_fits_match_numpy_plain_and_scaled(spark):
         wide, fit = M.fit_polynomial(df, ["a", "b"], "y", scale)
         got = [r["pred_mean"] for r in fit.score(wide).orderBy("i").collect()]
         assert got == pytest.approx(list(want), rel=1e-7)
-
-
-def test_stacked_experts_give_weights_and_a_mixture(spark):
-    rng = np.random.default_rng(12)
-    rows = [(f"m{i % 7}", dt.date(2025, 1, 1) + dt.timedelta(days=i // 4), float(v), float(v * 2 + rng.normal())) for i, v in enumerate(rng.normal(size=240))]
-    df = spark.createDataFrame(rows, "market_id string, target_date date, x double, y double").withColumn("z", F.col("x") * F.col("x"))
-    out = M.stacked_gaussian(df, ["x", "z"], ["x"], "y", ["target_date"], max_iter=2, n_splits=2).collect()
-    assert len(out) == 240
-    for r in out:
-        w = [r[f"weight_{e}"] for e in ("blend", "leadtime", "tree")]
-        m = [r[f"mean_{e}"] for e in ("blend", "leadtime", "tree")]
-        assert sum(w) == pytest.approx(1.0)
-        assert r["pred_mean"] == pytest.approx(float(np.dot(w, m)))
-        assert r["pred_std"] >= 0.25
-    assert np.mean([abs(r["y"] - r["pred_mean"]) for r in out]) < 1.2

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from skyledger.operators import models as M
+from skyledger.operators import stacking as G
 from skyledger.plans import q_models as Q
 from skyledger.session import is_local, scratch_path, shared_dir
 from skyledger.streaming import jobs as J
@@ -104,8 +105,8 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 def test_boosted_queries_fit_with_the_defaults_of_their_operators(spark, sf, monkeypatch):
     used = {}
 
-    def record(name):
-        operator = getattr(M, name)
+    def record(module, name):
+        operator = getattr(module, name)
         signature = inspect.signature(operator)
 
         def wrapped(*given, **named):
@@ -114,10 +115,10 @@ def test_boosted_queries_fit_with_the_defaults_of_their_operators(spark, sf, mon
             used[name] = {k: bound.arguments[k] == p.default for k, p in signature.parameters.items() if p.default is not p.empty}
             return operator(*given, **named)
 
-        monkeypatch.setattr(M, name, wrapped)
+        monkeypatch.setattr(module, name, wrapped)
 
-    for name in ("source_gate", "boosted_gaussian", "stacked_gaussian"):
-        record(name)
+    for module, name in ((M, "source_gate"), (M, "boosted_gaussian"), (G, "stacked_gaussian")):
+        record(module, name)
     gate, boosted, stacked = Q.x13g(spark, sf).collect(), Q.x15(spark, sf).collect(), Q.x16(spark, sf).collect()
     assert len(used) == 3 and all(all(same.values()) for same in used.values()), used
     # facts that hold for any booster
