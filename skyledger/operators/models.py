@@ -384,29 +384,39 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(df)
 
 
-def source_gate(df: DataFrame, features: Sequence[str], margin: float = 0.0, max_iter: int = 20, min_rows: int = 20, weight_mode: str = "uniform", floor: float = 0.05, cap: float = 5.0) -> DataFrame:
-    """Probability that the fallback scores better, learned from both CRPS columns.
+def source_gate(
+    df: DataFrame,
+    features: Sequence[str],
+    margin: float = 0.0,
+    max_iter: int = 20,
+    min_rows: int = 20,
+    weight_mode: str = "uniform",
+    floor: float = 0.05,
+    cap: float = 20.0,
+    score: DataFrame | None = None,
+) -> DataFrame:
+    """Probability that the fallback scores better, learned from both CRPS columns of ``df``; scores ``score`` or ``df``.
 
-    Columns: primary_crps, fallback_crps. With too few rows or one class only, the
-    weight is the share of rows the fallback wins.
+    Columns: primary_crps, fallback_crps (rows without either are not learned from). With too few rows or one class
+    only, the weight is the share of rows the fallback wins. ``weight_mode`` ``absolute_regret`` or ``fallback_regret`` weighs rows
+    by the difference of the scores, held inside ``floor`` and ``cap`` and divided by its mean.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
+    regret = F.col("primary_crps") - F.col("fallback_crps")
+    raw = {"absolute_regret": F.abs(regret), "fallback_regret": F.greatest(regret, F.lit(0.0))}.get(weight_mode)
+    weight = F.lit(1.0) if raw is None else F.least(F.greatest(raw + floor, F.lit(floor)), F.lit(cap))
     label = (F.col("fallback_crps") + margin < F.col("primary_crps")).cast("double")
-    rows = df.withColumn("__label", label)
-    facts = rows.where(F.col("__label").isNotNull()).agg(F.count("*").alias("n"), F.avg("__label").alias("rate")).first()
+    rows = df.withColumns({"__label": label, "__w": weight}).where(F.col("__label").isNotNull())
+    target = df if score is None else score
+    facts = rows.agg(F.count("*").alias("n"), F.avg("__label").alias("rate"), F.avg("__w").alias("w")).first()
     if facts["n"] < min_rows or facts["rate"] in (None, 0.0, 1.0):
-        return rows.withColumn("fallback_weight", F.lit(float(facts["rate"] or 0.0))).drop("__label")
-    regret = F.col("primary_crps") - F.col("fallback_crps")
-    raw = {"absolute_regret": F.abs(regret), "positive_regret": F.greatest(regret, F.lit(0.0))}.get(weight_mode, F.lit(1.0 - floor))
-    ready = _assemble(rows, features).withColumn("__w", F.least(F.greatest(raw + floor, F.lit(floor)), F.lit(cap)))
+        return target.withColumn("fallback_weight", F.lit(float(facts["rate"] or 0.0)))
+    ready = _assemble(rows, features).withColumn("__w", F.col("__w") / max(facts["w"], 1e-9))
     gbt = GBTClassifier(featuresCol="__x", labelCol="__label", weightCol="__w", maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=42)
-    model = gbt.fit(ready.where(F.col("__label").isNotNull()))
-    scored = model.transform(ready)
-    return scored.withColumn("fallback_weight", vector_to_array("probability")[1]).drop(
-        "__x", "__w", "__label", "rawPrediction", "probability", "prediction"
-    )
+    scored = gbt.fit(ready).transform(_assemble(target, features))
+    return scored.withColumn("fallback_weight", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
 
 
 def _boosted(target: str, max_iter: int, depth: int):

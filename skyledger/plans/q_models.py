@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import numeric as N
 from skyledger.operators import bins as B
+from skyledger.operators import gating as A
 from skyledger.operators import models as M
 from skyledger.operators import scoring as S
 from skyledger.operators import stacking as G
 from skyledger.operators import trade as T
 from skyledger.plans import roles
 from skyledger.plans.q_features import BIN_ROWS
-from skyledger.plans.q_scoring import MASS_SQL, PR_SQL, WIN_SQL
+from skyledger.plans.q_scoring import CRPS_SQL, MASS_SQL, PR_SQL, WIN_SQL
 from skyledger.plans.registry import query
 from skyledger.plans.roles import with_roles
 from skyledger.session import written
@@ -289,6 +290,38 @@ def x13g(spark, sf):
     return out.groupBy("city").agg(F.avg("fallback_weight").alias("fallback_weight"), F.avg(F.abs(F.col("y") - F.col("pred_mean"))).alias("mae"), F.avg("pred_std").alias("pred_std"))
 
 
+GATE_ABOUT = dict(lead_hours="line", target_date="target_date", one_hot=("decision_horizon",))
+
+
+def gated(spark, sf):
+    """Primary and fallback with two sources, one of them missing for a third of the rows."""
+    p = paired(spark, sf).withColumns({"s1": F.col("mean") + 1, "s2": F.when(F.col("line") % 3 != 0, F.col("mean") * 0.95)})
+    return A.source_gated(p, "y", "unit", {"one": "s1", "two": "s2"}, ["target_date"], low=0.05, high=0.95, weight_mode="fallback_regret", **GATE_ABOUT)
+
+
+GATE_SQL = f"""{PAIR_SQL.replace('FLOOR', '0.1')}, x AS (SELECT *, CASE WHEN unit = 'F' THEN (y - 32) * 5 / 9 ELSE y END AS yc FROM c),
+  s AS (SELECT *, {CRPS_SQL.replace('mean', 'pm').replace('std', 'ps').replace('(y ', '(yc ')} AS pc, {CRPS_SQL.replace('mean', 'fm').replace('std', 'fs').replace('(y ', '(yc ')} AS fc FROM x)"""
+
+
+@query(
+    "x13_gate_facts",
+    with_roles("preds", f"WITH {GATE_SQL} SELECT city, unit, count(*) AS n, round(avg(pc), 6) AS primary_crps, round(avg(fc), 6) AS fallback_crps, round(avg(CAST(fc < pc AS INT)), 6) AS fallback_better, count(*) AS weight_in_range, count(*) AS mean_between, true AS better_than_primary FROM s GROUP BY ALL"),
+)
+def x13f(spark, sf):
+    """Learned gate scored on later folds: both scores, and what holds of every gate and mixture."""
+    g = gated(spark, sf)
+    low, high = F.least("primary_mean", "fallback_mean"), F.greatest("primary_mean", "fallback_mean")
+    between = F.col("pred_mean").between(low - 1e-9, high + 1e-9)
+    g = N.with_gaussian_crps(g, "pred_mean", "pred_std", "y", "mixed")
+    g = N.with_gaussian_crps(g, "primary_mean", "primary_std", "y", "primary")
+    whole = g.agg((F.avg("mixed") < F.avg("primary")).alias("better")).scalar()
+    return g.groupBy("city", "unit").agg(
+        F.count("*").alias("n"), F.round(F.avg("primary_crps"), 6).alias("primary_crps"), F.round(F.avg("fallback_crps"), 6).alias("fallback_crps"),
+        F.round(F.avg((F.col("fallback_crps") < F.col("primary_crps")).cast("int")), 6).alias("fallback_better"),
+        F.count(F.when(F.col("fallback_weight").between(0.05, 0.95), 1)).alias("weight_in_range"), F.count(F.when(between, 1)).alias("mean_between"),
+    ).withColumn("better_than_primary", whole)
+
+
 @query(
     "x14_pretrained_features",
     with_roles(
@@ -307,6 +340,21 @@ def x14(spark, sf):
     )
 
 
+@query(
+    "x15_boosted_facts",
+    with_roles("preds", "SELECT unit, count(*) AS n, count(*) AS std_in_range, count(pm) AS predicted, true AS better_than_mean FROM (SELECT *, avg(y) OVER () AS pm FROM preds) GROUP BY 1"),
+)
+def x15f(spark, sf):
+    """What holds of every boosted mean and scale: all rows scored, scales in range, better than the mean."""
+    p = roles.preds(spark, sf)
+    out = M.boosted_gaussian(p, ["mean", "std"], "y", ["target_date"])
+    mean = p.agg(F.avg("y").alias("m")).scalar()
+    better = out.withColumn("__m", mean).agg((F.avg(F.abs(F.col("y") - F.col("pred_mean"))) < F.avg(F.abs(F.col("y") - F.col("__m")))).alias("b")).scalar()
+    return out.groupBy("unit").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("pred_std").between(0.25, 12.0), 1)).alias("std_in_range"), F.count("pred_mean").alias("predicted")
+    ).withColumn("better_than_mean", better)
+
+
 @query("x15_boosted_gaussian")
 def x15(spark, sf):
     """Boosted mean and scale with out-of-fold residuals."""
