@@ -15,7 +15,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.session import written
+
 MICROS = 1_000_000
+#: Rows of a (key, slice) beyond which it is cut further, sampled rows that tell, parts of a cut slice.
+SLICE_ROWS = 4_000_000
+SAMPLED = 200
+SLICE_PARTS = 64
+#: Cut slices that are sent to all tasks; more are joined as Spark sees fit.
+BROADCAST_SLICES = 20_000
+
+
+def cut_hot_slices(frames: Sequence[DataFrame], keys: Sequence[str], slice_rows: int) -> list[DataFrame]:
+    """Cut the slices that hold too many rows at quantiles of their own positions.
+
+    Frames have ``keys``, ``__slice`` and ``__at``; a cut slice becomes up to 64 of about equal depth, in order. A sample
+    finds them, so which slices are cut may differ by chance, but never what comes of them: any cut
+    of the axis gives the same result. Input that is too small as a whole to hold such a slice is not sampled. Rows of
+    one position stay together.
+    """
+    # a row takes a byte at least, however it is packed
+    if sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames) < slice_rows:
+        return list(frames)
+    at = reduce(DataFrame.unionByName, [f.select(*keys, "__slice", "__at") for f in frames])
+    sample = at.where(F.col("__at").isNotNull()).sample(min(1.0, SAMPLED / slice_rows), seed=7)
+    shares = [i / SLICE_PARTS for i in range(1, SLICE_PARTS)]
+    found = sample.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"), F.percentile_approx("__at", shares, 4 * SLICE_PARTS).alias("__cuts"))
+    hot = written(found.where(F.col("__n") >= min(SAMPLED, slice_rows)).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col("__slice").alias("__h"), "__cuts"), "hot-slices")
+    n = hot.count()
+    if not n:
+        return list(frames)
+    side = F.broadcast(hot) if n <= BROADCAST_SLICES else hot
+    part = F.coalesce(F.size(F.filter(F.array_distinct("__cuts"), lambda c: c <= F.col("__at"))), F.lit(0))
+    out = []
+    for f in frames:
+        on = reduce(lambda a, b: a & b, [f[k].eqNullSafe(side[f"__h_{k}"]) for k in keys] + [f["__slice"] == side["__h"]])
+        cut = f.join(side, on, "left").withColumn("__slice", F.struct(F.col("__slice").alias("s"), F.when(F.col("__cuts").isNotNull(), part).otherwise(0).alias("p")))
+        out.append(cut.drop("__h", "__cuts", *[f"__h_{k}" for k in keys]))
+    return out
 
 
 def time_slice(ts: Column, seconds: int) -> Column:
@@ -32,11 +69,12 @@ def ordered_join(
     right_columns: Sequence[str],
     sequence: Column | None = None,
     position_as: str = "matched_at",
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Attach to each left row the last right row at or before it on one axis.
 
-    ``slice_of`` maps the axis to slices in the same order. Right rows without a
-    position never match; equal positions match; ``sequence`` breaks ties (the
+    ``slice_of`` maps the axis to slices in the same order; slices of more than ``slice_rows`` rows are cut
+    further. Right rows without a position never match; equal positions match; ``sequence`` breaks ties (the
     highest wins).
     """
     keys = list(keys)
@@ -58,6 +96,7 @@ def ordered_join(
     )
     right_rows = right_rows.withColumn("__slice", slice_of(F.col("__at")))
     left_rows = left_rows.withColumn("__slice", slice_of(F.col("__at")))
+    right_rows, left_rows = cut_hot_slices([right_rows, left_rows], keys, slice_rows)
 
     # Last right row of every (key, slice), carried to the next slices of the key.
     closing = right_rows.groupBy(*keys, "__slice").agg(F.max_by("__right", F.struct("__at", "__seq")).alias("__close"))
@@ -100,6 +139,7 @@ def asof_join(
     tick_columns: Sequence[str],
     sequence: str | None = None,
     slice_seconds: int = 86_400,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Attach the latest tick at or before each decision (backward as-of).
 
@@ -117,6 +157,7 @@ def asof_join(
         tick_columns,
         F.col(sequence) if sequence else None,
         "matched_time",
+        slice_rows,
     )
 
 
@@ -131,6 +172,7 @@ def price_panel(
     extra_columns: Sequence[str] = (),
     sequence: str | None = None,
     slice_seconds: int = 86_400,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """As-of price panel: price, its time and age, and ok / stale / missing.
 
@@ -139,7 +181,7 @@ def price_panel(
     are dropped.
     """
     usable = decisions.where(F.col(decision_time).isNotNull())
-    joined = asof_join(usable, ticks, keys, decision_time, tick_time, [price, *extra_columns], sequence, slice_seconds)
+    joined = asof_join(usable, ticks, keys, decision_time, tick_time, [price, *extra_columns], sequence, slice_seconds, slice_rows)
     has_price = F.col(price).isNotNull()
     age = (F.unix_micros(F.col(decision_time).cast("timestamp")) - F.unix_micros("matched_time")) / F.lit(float(MICROS))
     out = (
@@ -198,10 +240,12 @@ def running_max(
     into: str,
     sequence: Sequence[str] = (),
     slice_seconds: int = 86_400,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Running maximum per key up to and including each row."""
     keys = list(keys)
-    rows = df.withColumn("__slice", time_slice(F.col(time_column), slice_seconds)).withColumn("__real", F.lit(1))
+    rows = df.withColumn("__slice", time_slice(F.col(time_column), slice_seconds)).withColumn("__at", F.col(time_column))
+    rows = cut_hot_slices([rows], keys, slice_rows)[0].drop("__at").withColumn("__real", F.lit(1))
     peaks = rows.groupBy(*keys, "__slice").agg(F.max(value).alias("__peak"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = (
@@ -232,12 +276,13 @@ def stop_scan(
     sequence: Sequence[str] = (),
     slice_seconds: int = 86_400,
     opening_peak: str | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """First stop per position: loss of ``threshold`` of entry, else a fall of
     20 % from the peak once the price has been above entry. The loss rule is
     tested first, and the peak starts at the entry price or an earlier peak."""
     keys = list(keys)
-    marked = running_max(ticks, keys, time_column, price, "__seen", sequence, slice_seconds)
+    marked = running_max(ticks, keys, time_column, price, "__seen", sequence, slice_seconds, slice_rows)
     peak = F.greatest("__seen", entry_price, *([opening_peak] if opening_peak else []))
     loss = F.when(F.col(entry_price) > 0, (F.col(entry_price) - F.col(price)) / F.col(entry_price))
     drawdown = F.when(peak > 0, (peak - F.col(price)) / peak)
