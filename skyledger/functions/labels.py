@@ -156,9 +156,10 @@ def parse_date_text(text: Column) -> Column:
     return F.to_date(F.coalesce(*exact, *loose))
 
 
-def parse_rules(text: Column) -> Column:
-    """Struct of the facts in one market's rule text."""
-    question = F.trim(found(text, r"(?im)^(.*highest temperature in.*)$"))
+def parse_rules(text: Column, question: Column | None = None) -> Column:
+    """Struct of the facts in one market's rule text; the market's own question goes before the text's."""
+    line = F.trim(found(text, r"(?im)^(.*highest temperature in.*)$"))
+    question = line if question is None else F.coalesce(question, line)
     asked = found(question, QUESTION, 2)
     ruled = found(text, RULE_DATE, 1)
     date = parse_date_text(F.regexp_replace(F.coalesce(ruled, asked), "'", "20"))

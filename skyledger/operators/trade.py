@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.operators.quantiles import null_safe_join
+
 
 def policy_condition(policy: Sequence[tuple[str, Sequence[str]]], city: Column, horizon: Column, strict: bool) -> Column:
     """Whether a city's listed horizons allow the row. The policy is a fixed
@@ -168,11 +170,13 @@ def signal_reasons(
     min_liquidity: float,
     size: float = 1.0,
     taker_bps: float = 30.0,
+    markets: DataFrame | None = None,
 ) -> DataFrame:
     """Best outcome per market and the reason it is or is not tradable.
 
     One aggregate per market over all its books: argmaxes (first outcome wins a
-    tie) and three flags, combined map-side.
+    tie) and three flags, combined map-side. ``markets`` (its ``keys``) are all markets asked about: those
+    without any book get a row with the reason ``missing_token_mapping``.
     """
     candidates = with_costs(books, size, taker_bps)
     earlier = [(-F.col(c)).alias(f"__o{i}") for i, c in enumerate(ordinal)]
@@ -206,7 +210,7 @@ def signal_reasons(
         .otherwise("raw_gap_non_positive")
     )
     shown = F.coalesce(c, F.col("__fee"))
-    return joined.select(
+    out = joined.select(
         *keys,
         "book_count",
         reason.alias("reason"),
@@ -216,6 +220,10 @@ def signal_reasons(
         shown["raw_gap"].alias("raw_gap"),
         shown["after_cost_edge"].alias("after_cost_edge"),
     )
+    if markets is None:
+        return out
+    asked = null_safe_join(markets.select(*keys).distinct(), out, keys)
+    return asked.withColumns({"book_count": F.coalesce("book_count", F.lit(0)), "reason": F.coalesce("reason", F.lit("missing_token_mapping"))})
 
 
 def best_trades(

@@ -317,6 +317,32 @@ def s04(spark, sf):
     return out.select("l_orderkey", F.size("g.outcomes").alias("outcomes"), F.array_join("g.outcomes.label", ",").alias("labels"), "g.error")
 
 
+@query(
+    "s04_text_prices",
+    """SELECT l_orderkey, CASE WHEN l_orderkey % 4 = 0 THEN 'q' || l_orderkey WHEN l_orderkey % 4 = 1 THEN 'slug-' || l_orderkey WHEN l_orderkey % 4 = 2 THEN 'https://e/' || l_orderkey ELSE 'id' || l_orderkey END AS id,
+    CASE WHEN l_orderkey % 3 = 0 THEN 'neg' WHEN l_orderkey % 4 = 0 THEN 'q' || l_orderkey ELSE 'c' || l_orderkey END AS condition_id, round(sum(l_discount) FILTER (l_quantity >= 4), 6) AS prices,
+    CASE WHEN bool_or(l_quantity < 4) THEN 'malformed_component_market' WHEN l_orderkey % 5 = 0 THEN 'missing_description' END AS error, CASE WHEN l_orderkey % 5 > 0 THEN 'event rules' END AS description FROM lineitem GROUP BY 1""",
+)
+def s04t(spark, sf):
+    """Prices kept as JSON text or numbers, ids and descriptions from where there are any."""
+    o = F.col("l_orderkey")
+    key = o.cast("string")
+    listed = F.to_json(F.array(F.col("l_discount"), F.lit(0.5)))
+    prices = F.when(F.col("l_quantity") < 2, "no list").when(F.col("l_quantity") < 4, "[]").otherwise(listed)
+    m = F.struct(
+        F.lit("21°C").alias("groupItemTitle"), prices.alias("outcomePrices"), F.array(F.col("l_partkey")).alias("clobTokenIds"),
+        F.when(o % 4 == 0, F.concat(F.lit("q"), key)).otherwise("").alias("questionID"), F.concat(F.lit("c"), key).alias("conditionId"), F.lit("").alias("description"),
+    )
+    ev = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(m).alias("markets"))
+    event = F.struct(
+        F.when(o % 4 == 3, F.concat(F.lit("id"), key)).otherwise("").alias("id"), F.when(o % 4 == 1, F.concat(F.lit("slug-"), key)).alias("slug"),
+        F.when(o % 3 == 0, "neg").alias("negRiskMarketID"), F.when(o % 5 > 0, " event rules ").alias("description"), "markets",
+    )
+    out = ev.select("l_orderkey", P.grouped_event(F.to_json(event), F.concat(F.lit("https://e/"), key)).alias("g"))
+    total = F.aggregate("g.outcomes", F.lit(None).cast("double"), lambda a, c: F.coalesce(a + F.coalesce(c["price"].cast("double"), F.lit(0.0)), c["price"].cast("double"), a))
+    return out.select("l_orderkey", "g.id", "g.condition_id", F.round(total, 6).alias("prices"), "g.error", "g.description")
+
+
 @query(
     "s40_last_trades",
     """SELECT event_id, CASE event_type WHEN 'click' THEN value WHEN 'view' THEN value + 1 WHEN 'error' THEN value + 2 END AS last_trade_price, CASE WHEN event_type <> 'signup' THEN 'BUY' END AS last_trade_side, event_type IN ('click', 'view', 'error') AS last_trade_present FROM events""",

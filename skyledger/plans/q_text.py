@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import clock as C
 from skyledger.functions import labels as L
+from skyledger.operators import rules as RU
 from skyledger.plans import roles
 from skyledger.plans.registry import query
 from skyledger.plans.roles import with_roles
@@ -92,6 +93,57 @@ def s02(spark, sf):
     )
 
 
+STATIONS = [
+    (0, "Seoul", ["seoul, korea"], "South Korea", "Asia/Seoul", "RKSI", "Incheon Intl Airport", 37.46, 126.44, "AIR_CALP", "RKSI"),
+    (1, "New York", ["nyc", "new york city"], "United States", "America/New_York", "KLGA", "LaGuardia Airport", 40.78, -73.87, None, None),
+    (2, "Hong Kong", [], "Hong Kong", "Asia/Hong_Kong", "HKO", "Hong Kong Observatory", 22.3, 114.17, None, None),
+]
+STATION_COLUMNS = "ordinal int, city string, aliases array<string>, country string, timezone string, station_id string, station_name string, lat double, lon double, public_truth_source_name string, public_truth_station_id string"
+
+
+def ladder_texts(spark, sf):
+    """Rule texts of six kinds around the documents: by address, site, letters, digits, city alone, and an unknown station."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    kind = F.col("doc_id") % 6
+    city = F.when(kind.isin(0, 5), "Seoul, Korea").when(kind.isin(1, 4), "NYC").when(kind == 2, "Hong Kong").otherwise("Taipei")
+    body = (
+        F.when(kind == 0, "Wunderground: https://www.wunderground.com/history/daily/kr/incheon/RKSI.")
+        .when(kind == 1, "information from NOAA, recorded by NOAA at the La Guardia in degrees, https://www.weather.gov/wrh/timeseries?site=klga")
+        .when(kind == 2, "the Hong Kong Observatory daily extract, station HKA")
+        .when(kind == 3, "the Central Weather Administration, station 466920")
+        .when(kind == 4, "Wunderground, whatever it says")
+        .otherwise("Wunderground: https://www.wunderground.com/history/daily/xx/nowhere/ZZZZ/")
+    )
+    asked = F.concat(F.lit("Highest temperature in "), city, F.lit(" on December 5?"))
+    lines = F.concat_ws("\n", asked, F.lit("Resolves on 5 Dec '25 by"), body, F.lit("20°C or below"), F.when(F.col("n_chars") % 2 == 0, "21–22°C").otherwise("-1°C"), F.lit("23°C or higher"))
+    page = F.concat(F.lit("<html><head><style>p{x:1}</style></head><body><p>"), F.regexp_replace(F.replace(lines, F.lit("°"), F.lit("&deg;")), "\n", "</p><p>"), F.lit("</p></body></html>"))
+    return d.withColumn("rules", F.when(F.col("n_chars") % 3 == 0, page).otherwise(lines))
+
+
+@query(
+    "s02_station_ladder",
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Seoul' WHEN 1 THEN 'New York' WHEN 2 THEN 'Hong Kong' WHEN 3 THEN 'Taipei' WHEN 4 THEN 'New York' ELSE 'Seoul' END AS city,
+    CASE doc_id % 6 WHEN 0 THEN 'Incheon Intl Airport' WHEN 1 THEN 'LaGuardia Airport' WHEN 2 THEN 'Hong Kong Observatory' WHEN 3 THEN '466920' WHEN 4 THEN 'LaGuardia Airport' ELSE 'Incheon Intl Airport' END AS station_name,
+    CASE doc_id % 6 WHEN 0 THEN 'RKSI' WHEN 1 THEN 'KLGA' WHEN 2 THEN 'HKA' WHEN 3 THEN '466920' WHEN 4 THEN 'KLGA' ELSE 'ZZZZ' END AS station_id,
+    CASE doc_id % 6 WHEN 0 THEN 'Asia/Seoul' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Asia/Hong_Kong' WHEN 3 THEN 'UTC' WHEN 4 THEN 'America/New_York' ELSE 'Asia/Seoul' END AS timezone,
+    CASE doc_id % 6 WHEN 0 THEN 'AIR_CALP' WHEN 5 THEN 'AIR_CALP' WHEN 1 THEN 'NOAA Timeseries' WHEN 4 THEN 'Wunderground' WHEN 2 THEN 'Hong Kong Observatory Daily Extract' ELSE 'Central Weather Administration' END AS public_truth_source_name, NULL::VARCHAR AS error FROM documents""",
+)
+def s02l(spark, sf):
+    """City, station and time zone by address, text or registry, also from pages."""
+    out = RU.market_specs(ladder_texts(spark, sf), "rules", spark.createDataFrame(STATIONS, STATION_COLUMNS))
+    return out.select("doc_id", *[f"spec.{c}" for c in ("city", "station_name", "station_id", "timezone", "public_truth_source_name", "error")])
+
+
+@query(
+    "s02_precision",
+    "SELECT doc_id, 'C' AS unit, CASE WHEN n_chars % 2 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS step, CASE WHEN n_chars % 2 = 0 THEN 'range_bin' ELSE 'whole_degree' END AS rounding, 3 AS outcomes FROM documents",
+)
+def s02p(spark, sf):
+    """Unit and precision from the outcome lines of a rule text."""
+    out = RU.market_specs(ladder_texts(spark, sf), "rules", spark.createDataFrame(STATIONS, STATION_COLUMNS))
+    return out.select("doc_id", "spec.unit", "spec.step", "spec.rounding", F.size("spec.outcomes").alias("outcomes"))
+
+
 @query(
     "f06_temperature_markets",
     "SELECT doc_id, lang IN ('en', 'de', 'es') AND doc_id % 28 < 14 AS is_market FROM documents",

@@ -103,6 +103,17 @@ def s25(spark, sf):
     )
 
 
+@query(
+    "s25_without_books",
+    f"{REASONS.replace('FROM lineitem),', 'FROM lineitem WHERE l_linenumber > 2),', 1)} SELECT o_orderkey AS market_id, coalesce(book_count, 0) AS book_count, coalesce(reason, 'missing_token_mapping') AS reason FROM orders LEFT JOIN r ON market_id = o_orderkey",
+)
+def s25w(spark, sf):
+    """Markets whose tokens lead to no book keep a row."""
+    markets = table(spark, sf, "orders").select(F.col("o_orderkey").alias("market_id"))
+    out = X.signal_reasons(books(spark, sf).where("ordinal > 2"), ["market_id"], ORDINAL, 0.1, 2000, 2.0, markets=markets)
+    return out.select("market_id", "book_count", "reason")
+
+
 @query("w14_reason_counts", f"{REASONS} SELECT reason, count(*) AS n FROM r GROUP BY 1")
 def w14(spark, sf):
     """Best candidate per market by after-cost, then after-fee edge; counts of the verdicts."""

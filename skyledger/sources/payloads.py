@@ -175,37 +175,51 @@ def outcome_prices(labels: Column, prices: Column) -> Column:
     return F.filter(zipped, lambda e: e["price"].isNotNull())
 
 
-def grouped_event(payload: Column) -> Column:
+def grouped_event(payload: Column, source_url: Column | None = None) -> Column:
     """One market from a grouped event: a label, yes price and yes token per component.
 
-    The label is the group title, else the words between ``be`` and ``on`` of the
-    question. ``error`` is set where a component lacks a label, price or token.
+    The label is the group title, else the words between ``be`` and ``on`` of the question. Prices are a list or
+    a list kept as JSON text; tokens are a list. Ids, description and source fall back from the event to its first
+    component (the description the other way round), the id at last to ``source_url``; empty texts count as missing.
+    ``error`` is set where a component lacks a label, price or token, or the event a description.
     """
     p = F.from_json(
         payload,
-        "struct<id:string,slug:string,title:string,markets:array<struct<groupItemTitle:string,question:string,"
-        "outcomePrices:array<string>,clobTokenIds:array<string>,description:string>>>",
+        "struct<id:string,slug:string,title:string,negRiskMarketID:string,questionID:string,description:string,resolutionSource:string,"
+        "markets:array<struct<groupItemTitle:string,question:string,outcomePrices:string,clobTokenIds:array<string>,description:string,"
+        "questionID:string,conditionId:string,resolutionSource:string>>>",
     )
+    first = F.get(p["markets"], F.lit(0))
+
+    def given(*values: Column) -> Column:
+        return F.coalesce(*[F.when(v != "", v) for v in values])
 
     def component(m: Column) -> Column:
         title = F.trim(F.coalesce(m["groupItemTitle"], F.lit("")))
         asked = F.trim(F.regexp_extract(F.coalesce(m["question"], F.lit("")), r"(?i)be (.+?) on ", 1))
         return F.struct(
-            F.when(title != "", title).when(asked != "", asked).alias("label"),
-            F.get(m["outcomePrices"], F.lit(0)).alias("price"),
+            given(title, asked).alias("label"),
+            F.get(text_list(m["outcomePrices"]), F.lit(0)).alias("price"),
             F.get(m["clobTokenIds"], F.lit(0)).alias("token_id"),
         )
 
     parts = F.transform(p["markets"], component)
     broken = F.exists(parts, lambda c: c["label"].isNull() | c["price"].isNull() | c["token_id"].isNull())
+    description = given(F.trim(given(first["description"], p["description"])))
+    url = F.lit(None).cast("string") if source_url is None else source_url
+    event_id = given(p["id"], p["slug"], first["questionID"], url)
     error = (
         F.when(F.coalesce(F.size(p["markets"]), F.lit(0)) <= 0, "missing_component_markets")
         .when(broken, "malformed_component_market")
-        .when(F.coalesce(F.get(p["markets"], F.lit(0))["description"], F.lit("")) == "", "missing_description")
+        .when(description.isNull(), "missing_description")
     )
     return F.struct(
-        F.coalesce(p["id"], p["slug"]).alias("id"),
-        F.trim(p["title"]).alias("question"),
+        event_id.alias("id"),
+        F.trim(F.coalesce(p["slug"], F.lit(""))).alias("slug"),
+        F.trim(F.coalesce(p["title"], F.lit(""))).alias("question"),
+        given(p["negRiskMarketID"], p["questionID"], first["questionID"], first["conditionId"], event_id).alias("condition_id"),
+        description.alias("description"),
+        F.coalesce(given(first["resolutionSource"], p["resolutionSource"]), F.lit("")).alias("resolution_source"),
         parts.alias("outcomes"),
         error.alias("error"),
     )
