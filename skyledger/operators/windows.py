@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyledger.operators.asof import time_slice
+from skyledger.operators.asof import SLICE_ROWS, cut_hot_slices, time_slice
 from skyledger.operators.folds import global_ordinal
 from skyledger.operators.reports import count_if
 
@@ -77,11 +77,12 @@ def bucket_edges(df: DataFrame, upper: str) -> DataFrame:
     return df.withColumn("lower", F.coalesce(F.lead(upper).over(Window.partitionBy(F.lit(0)).orderBy(F.desc(upper))), F.lit(0)))
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], time: str, value: str, into: str, sequence: Sequence[str] = (), slice_seconds: int = 86_400) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], time: str, value: str, into: str, sequence: Sequence[str] = (), slice_seconds: int = 86_400, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Value of the previous row of the key, carried over time slices so that a hot
-    key is spread over many tasks."""
+    key is spread over many tasks; a slice of more than ``slice_rows`` rows is cut further."""
     keys = list(keys)
-    rows = df.withColumn("__slice", time_slice(F.col(time), slice_seconds)).withColumn("__real", F.lit(1))
+    rows = df.withColumn("__slice", time_slice(F.col(time), slice_seconds)).withColumn("__at", F.col(time))
+    rows = cut_hot_slices([rows], keys, slice_rows)[0].drop("__at").withColumn("__real", F.lit(1))
     closing = rows.groupBy(*keys, "__slice").agg(F.max_by(value, F.struct(time, *sequence)).alias("__last"))
     before = Window.partitionBy(*keys).orderBy("__slice")
     opening = (

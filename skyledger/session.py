@@ -65,7 +65,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not is_local(master):
             raise ValueError(f"spark.checkpoint.dir names no folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="skyledger-")
-        spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -62,3 +62,16 @@ def test_running_stops_of_a_busy_day(spark, busy, slice_rows):
         assert got[k, s] == seen[k]
     stops = {r["k"]: r["exit_reason"] for r in A.stop_scan(priced, ["k"], "ts", "price", "entry", 0.1, ["seq"], slice_rows=slice_rows).collect()}
     assert stops["hot"] == "stop_loss"
+
+
+@pytest.mark.parametrize("slice_rows", [300, 10**9])
+def test_previous_rows_of_a_busy_day(spark, busy, slice_rows):
+    from skyledger.operators.windows import with_previous
+
+    rows, df = busy
+    out = with_previous(df.where("k IS NOT NULL AND price IS NOT NULL"), ["k"], "ts", "price", "before", ["seq"], slice_rows=slice_rows)
+    got = {(r["k"], r["seq"]): r["before"] for r in out.collect()}
+    last = {}
+    for k, _, s, p in sorted((r for r in rows if r[0] and r[3] is not None), key=lambda r: (r[0], r[1], r[2])):
+        assert got[k, s] == last.get(k)
+        last[k] = p
