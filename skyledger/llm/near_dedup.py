@@ -27,11 +27,11 @@ SHARED = 3
 CHUNK = 1 << 16
 #: Rounds in which each node meets one leader only; then a bucket has so many leaders, and so many times
 #: more in each later round.
-TIES, MORE_LEADERS = 4, 4
+TIES, MORE_LEADERS = 2, 4
 #: Components of so many nodes are compared with a node by their union first.
 LARGE = 16
-#: Up to so many shingles of leaders (8 bytes each) are sent to all tasks.
-SMALL_SHINGLES = 1_000_000
+#: Up to so many bytes of leaders' sets are sent to all tasks.
+SMALL_SETS = 2_000_000
 #: Up to so many document ids are sent to all tasks; more are joined by a shuffle.
 SMALL_IDS = 100_000
 
@@ -108,7 +108,10 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node`` and its full ``shingles`` for the wanted (doc_id, node); the texts are read again."""
+    """``node``, its full ``shingles``, their number ``n`` and their distinct ``low`` 16 bits for the wanted (doc_id, node).
+
+    The texts are read again.
+    """
     own = texts(docs).withColumnRenamed("doc_id", "id")
     match = own["id"].eqNullSafe(wanted["doc_id"])
     if wanted.count() <= SMALL_IDS:
@@ -118,15 +121,20 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            out: dict = {"node": [], "shingles": []}
+            out: dict = {"node": [], "shingles": [], "n": [], "low": []}
             for node, text in zip(batch["node"], batch["text"], strict=True):
                 own = shingles(words.of(text), size)
                 if digest(own) == node:  # a repeated id may have other texts
                     out["node"].append(node)
                     out["shingles"].append(own.view(np.int64))
+                    out["n"].append(len(own))
+                    out["low"].append(np.unique(own.astype(np.uint16)).view(np.int16))
             yield out
 
-    return map_batches(found, run, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    sets = stored(map_batches(found, run, "node binary, shingles array<bigint>, n int, low array<smallint>"), "sets")
+    rows = sets.agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes")).first()
+    # only repeated rows of an id give a set twice; otherwise no set moves here
+    return sets if rows["n"] == rows["nodes"] else stored(sets.dropDuplicates(["node"]), "sets")
 
 
 def star_forest(edges: DataFrame) -> DataFrame:
@@ -172,21 +180,35 @@ def star_forest(edges: DataFrame) -> DataFrame:
         edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "stars")
 
 
+def met_sets(pairs: DataFrame, sets: DataFrame, column: str, size: int) -> DataFrame:
+    """Pairs with the sets of both nodes, ``sa`` and ``sb``, elements of ``size`` bytes.
+
+    ``a`` are the leaders: few, so their sets go to all tasks while they are small, and are joined by a
+    shuffle beyond that.
+    """
+    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col(column).alias("sa"))
+    if left.agg(F.coalesce(F.sum(F.size("sa")), F.lit(0))).first()[0] * size <= SMALL_SETS:
+        left = F.broadcast(left)
+    return pairs.join(sets.select(F.col("node").alias("b"), F.col(column).alias("sb")), "b").join(left, "a")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have at least ``percent`` / 100 of their union in common.
 
-    ``a`` are the leaders: few, so their sets go to all tasks while they are small, and are joined by a
-    shuffle beyond that. Sizes are compared before any set moves.
+    First sizes are compared, then the shingles' low 16 bits, a quarter of the bytes: equal shingles have
+    equal bits, and no more of them can be lost than the smaller loss of the two sets, so the common bits and that
+    loss are a bound that rejects nothing wrongly. Full sets decide what is left.
     """
-    sizes = sets.select("node", F.size("shingles").alias("n"))
+    sizes = sets.select("node", "n")
     sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    pairs = stored(sized.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)), "pairs")
-    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").toDF("a", "sa")
-    if left.agg(F.coalesce(F.sum(F.size("sa")), F.lit(0))).first()[0] <= SMALL_SHINGLES:
-        left = F.broadcast(left)
-    met = pairs.join(sets.toDF("b", "sb"), "b").join(left, "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return met.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("both")).where(F.col("common") * 100 >= percent * (F.col("both") - F.col("common"))).select("a", "b")
+    sized = stored(sized.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)), "sized")
+    enough = (100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))
+    rough = met_sets(sized, sets, "low", 2)
+    lost = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+    rough = rough.select("a", "b", "na", "nb", (F.size(F.array_intersect("sa", "sb")) + lost).alias("common"))
+    pairs = stored(rough.where(enough).drop("common"), "pairs")
+    met = met_sets(pairs, sets, "shingles", 8)
+    return met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common")).where(enough).select("a", "b")
 
 
 def still_mixed(tagged: DataFrame) -> DataFrame:
@@ -210,11 +232,11 @@ def within_union(close: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     components are not worth their union and pass.
     """
     sizes = labels.join(close.select(F.col("main").alias("label")).distinct(), "label").join(sets, "node")
-    large = sizes.groupBy("label").agg(F.count("*").alias("k"), F.min(F.size("shingles")).alias("least")).where(F.col("k") >= LARGE).select(F.col("label").alias("main"), "least")
+    large = sizes.groupBy("label").agg(F.count("*").alias("k"), F.min("n").alias("least")).where(F.col("k") >= LARGE).select(F.col("label").alias("main"), "least")
     union = sizes.select(F.col("label").alias("main"), F.explode("shingles").alias("s")).join(large.select("main"), "main", "left_semi").distinct()
     own = close.join(large, "main").join(sets, "node")
     common = own.select("node", "main", F.explode("shingles").alias("s")).join(union, ["main", "s"], "left_semi").groupBy("node", "main").agg(F.count("*").alias("common"))
-    near = own.select("node", "main", "least", F.size("shingles").alias("n")).join(common, ["node", "main"])
+    near = own.select("node", "main", "least", "n").join(common, ["node", "main"])
     near = near.where(F.col("common") * (100 + percent) >= percent * (F.col("n") + F.col("least"))).select("node", "main")
     small = close.join(large.select("main"), "main", "left_anti").select("node", "main")
     return near.union(small)
@@ -275,9 +297,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     nodes = every.where("node IS NOT NULL").join(ids, "node").where(every["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "bands")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(buckets.join(shared, "key").distinct(), "members")
+    members = stored(still_shared(buckets.join(shared, "key").distinct()), "members")
     wanted = stored(ids.join(members.select("node").distinct(), "node").select("doc_id", "node"), "wanted")
-    sets = stored(shingle_sets(docs, wanted, size), "sets")
+    sets = shingle_sets(docs, wanted, size)
     labels = node_components(members, sets, percent)
     groups = ids.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     named = groups.join(groups.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("node", "component_id", "label")

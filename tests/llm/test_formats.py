@@ -214,3 +214,24 @@ def test_run_query_matches_brute_force_on_the_table(spark, sf):
     found = {r["doc_id"]: tuple(r) for r in P.op12(spark, sf).collect()}
     assert len(found) == len(docs)
     assert [found[i] for i, _ in short] == [brute_document(i, text) for i, text in short]
+
+
+def test_links_by_bits_and_full_sets_equal_brute_force(spark):
+    from skyledger.llm import near_dedup as N
+
+    rng = np.random.default_rng(9)
+    sets = {}
+    for i in range(60):
+        # families of sets around the limit; one family so large that low bits collide
+        n = 400 if i < 40 else 30_000
+        base = np.random.default_rng(i % 8 if i < 40 else 99).integers(-(2**62), 2**62, n)
+        keep = base[rng.random(n) < rng.uniform(0.8, 1.0)]
+        sets[bytes([i])] = np.unique(np.concatenate([keep, rng.integers(-(2**62), 2**62, int(n * rng.uniform(0, 0.15)))]))
+    rows = [(bytearray(k), v.tolist(), len(v), np.unique(v.view(np.uint64).astype(np.uint16)).view(np.int16).tolist()) for k, v in sets.items()]
+    frame = spark.createDataFrame(rows, "node binary, shingles array<bigint>, n int, low array<smallint>")
+    nodes = sorted(sets)
+    pairs = [(a, b) for a in nodes for b in nodes if a < b and (a[0] < 40) == (b[0] < 40)]
+    found = N.linked(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in pairs], "a binary, b binary"), frame, 80)
+    common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in pairs}
+    want = {(a, b) for (a, b), c in common.items() if c * 100 >= 80 * (len(sets[a]) + len(sets[b]) - c)}
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in found.collect()} == want and 20 < len(want) < len(pairs) - 20
