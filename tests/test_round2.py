@@ -43,7 +43,7 @@ def test_missing_features_count_as_their_median(spark):
     fit = M.fit_linear(df, ["a", "b"], "y")
     med = float(np.median(a[~gone]))
     beta, intercept = closed_form(np.column_stack((np.where(gone, med, a), b)), y, np.ones(300), 0.0)
-    assert fit.medians == {"a": pytest.approx(med)}
+    assert fit.medians == {"a": pytest.approx(med), "b": pytest.approx(float(np.median(b)))}
     assert np.allclose(fit.coefficients, beta) and fit.intercept == pytest.approx(intercept)
     assert df.select(fit.column().alias("p")).where("p IS NULL").count() == 0
     scored = M.fit_gaussian(df, ["a", "b"], "y").score(df)
