@@ -26,16 +26,21 @@ SLICE_PARTS = 64
 BROADCAST_SLICES = 20_000
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Size of what a frame is read from, as far as Spark knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def cut_hot_slices(frames: Sequence[DataFrame], keys: Sequence[str], slice_rows: int) -> list[DataFrame]:
     """Cut the slices that hold too many rows at quantiles of their own positions.
 
     Frames have ``keys``, ``__slice`` and ``__at``; a cut slice becomes up to 64 of about equal depth, in order. A sample
     finds them, so which slices are cut may differ by chance, but never what comes of them: any cut
-    of the axis gives the same result. Input that is too small as a whole to hold such a slice is not sampled. Rows of
+    of the axis gives the same result. Frames made from less than ``slice_rows`` bytes are not sampled. Rows of
     one position stay together.
     """
-    # a row takes a byte at least, however it is packed
-    if sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames) < slice_rows:
+    if sum(map(source_bytes, frames)) < slice_rows:
         return list(frames)
     at = reduce(DataFrame.unionByName, [f.select(*keys, "__slice", "__at") for f in frames])
     sample = at.where(F.col("__at").isNotNull()).sample(min(1.0, SAMPLED / slice_rows), seed=7)
