@@ -41,29 +41,65 @@ SMALL_HOSTS = 100_000
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
-DROPPED = frozenset("head nav footer aside form button select dialog menu label fieldset".split())
+DROPPED = frozenset("head nav footer aside button select dialog menu label fieldset".split())
 MAIN = frozenset(("article", "main"))
+MAIN_ALONE = frozenset(("main",))
 # Words of a class, id or role that name something other than the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 HEADS = frozenset(("header", "masthead"))
+COMMENTS = frozenset("comment comments disqus replies reply".split())
+# Last words of names that don't say what the element is, words that make a name a remark, first words of taxonomies.
+GENERIC = frozenset(
+    "area articles bar block board body bottom box button buttons card center col column container content cta desktop disclaimer feed fixed footer form foot group head header heading holder icon icons image info inline inner item items label large law layer layout left level line link links list main media message mobile now outer overlay panel placeholder posts pane primary prompt region respond right row secondary section shell slot small stack sticky stories strip text this thread title toggle tools top trail unit wrap wrapper zone".split()
+)
+QUALIFIERS = frozenset("has is no not with without".split())
+TAXONOMY = frozenset("category format tag".split())
+ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 HIDDEN = frozenset(("hidden", "is-hidden", "visually-hidden"))
 # Elements that "/>" ends; for other raw elements it does where no end tag is theirs.
 FOREIGN = frozenset(("svg", "math"))
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.DOTALL)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 TOKEN = re.compile(r"\S+")
 
 
+def named_noise(name: str, words: frozenset[str]) -> bool:
+    """Whether a class, id or role as a whole names one of ``words``.
+
+    A name says what it is by its last word, generic words, numbers and BEM modifiers aside ("cookie-banner",
+    "comment-list", "ad-slot-2"). One that says what the element has, lacks or is filed under ("no-sidebar",
+    "content-with-comments", "tag-search") names nothing.
+    """
+    parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name.split("--")[0]).lower()) if w]
+    if not parts or parts[0] in TAXONOMY and len(parts) > 1 or not QUALIFIERS.isdisjoint(parts):
+        return False
+    while len(parts) > 1 and parts[-1] not in words and (parts[-1] in GENERIC or parts[-1][-1].isdigit()):
+        parts.pop()
+    return parts[-1] in words
+
+
 @lru_cache(maxsize=4096)
-def noisy(attributes: str, in_main: bool) -> bool:
-    """Whether class, id or role name something other than the article."""
-    words = {w for found in NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(found).lower())}
-    return bool(words & NOISE) or (not in_main and bool(words & HEADS)) or ("hidden" in attributes.lower() and hidden(attributes))
+def noisy(attributes: str, in_main: bool, tag: str = "div") -> bool:
+    """Whether class, id or role name something other than the article.
+
+    Inside of the article the id of a section or heading is an anchor, which says so for comments alone.
+    """
+    for kind, *values in NAMES.findall(attributes):
+        anchor = in_main and tag in ANCHORED and kind.lower() == "id"
+        words = COMMENTS if anchor else NOISE if in_main else NOISE | HEADS
+        if any(named_noise(name, words) for name in "".join(values).split()):
+            return True
+    return False
+
+
+def gone(attributes: str) -> bool:
+    return "hidden" in attributes.lower() and hidden(attributes)
 
 
+@lru_cache(maxsize=4096)
 def hidden(attributes: str) -> bool:
     """Whether the attribute ``hidden``, ``aria-hidden`` or a whole class name hides the element."""
     for name, *values in ATTRIBUTE.findall(attributes):
@@ -77,12 +113,23 @@ def blocks(html: str) -> list[tuple[str, bool]]:
     """Text blocks in page order, each with whether the mark-up declares it to be the article.
 
     Blocks of dropped zones are left out. Unclosed elements end with what holds them; an end tag
-    without a start is ignored; a mark without an end is text.
+    without a start is ignored; a mark without an end is text. A name never drops ``main``, and what holds
+    it is a layout; the same goes for ``article`` where the page would have no declared text otherwise.
     """
+    found, nested = cut_blocks(html, MAIN_ALONE)
+    if nested and not any(declared for _, declared in found):
+        again, _ = cut_blocks(html, MAIN)
+        if any(declared for _, declared in again):
+            return again
+    return found
+
+
+def cut_blocks(html: str, freeing: frozenset[str]) -> tuple[list[tuple[str, bool]], bool]:
+    """Blocks where elements in ``freeing`` end what names have dropped, and whether names dropped an article."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, in the article, dropped
-    main = dropped = False
+    open_: list[tuple[str, bool, int]] = []  # tag, in the article, dropped (1: by a name, 2: for good)
+    main, dropped, nested = False, 0, False
 
     def flush():
         if parts:
@@ -113,7 +160,7 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         if tag in INLINE:
             if tag == "br" and not dropped:
                 parts.append(" ")
-            if tag in VOID or (not mark[1] and not (mark[3] and noisy(mark[3], main))) or (mark[1] and not any(o[0] == tag for o in open_)):
+            if tag in VOID or (not mark[1] and not (mark[3] and (noisy(mark[3], main, tag) or gone(mark[3])))) or (mark[1] and not any(o[0] == tag for o in open_)):
                 continue
         if not dropped:
             flush()
@@ -121,24 +168,28 @@ def blocks(html: str) -> list[tuple[str, bool]]:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
                     del open_[i:]
-                    main, dropped = open_[-1][1:] if open_ else (False, False)
+                    main, dropped = open_[-1][1:] if open_ else (False, 0)
                     break
             continue
         if tag in VOID or mark[3].endswith("/"):
             continue
         if open_ and open_[-1][0] == "p" and tag not in INLINE:  # a block ends a paragraph
             open_.pop()
-            main, dropped = open_[-1][1:] if open_ else (False, False)
-        bad = tag in DROPPED or (tag == "header" and not main) or (bool(mark[3]) and tag not in ("html", "body") and noisy(mark[3], main))
+            main, dropped = open_[-1][1:] if open_ else (False, 0)
+        own = 'role="main"' in mark[3] or tag in MAIN
+        free = tag in freeing or 'role="main"' in mark[3]
+        by_name = not free and (tag == "form" or (bool(mark[3]) and tag not in ("html", "body") and noisy(mark[3], main, tag)))
+        for_good = tag in DROPPED or (tag == "header" and not main) or (bool(mark[3]) and tag not in ("html", "body") and gone(mark[3]))
         if tag == "body":
-            open_, main, dropped = [], False, False
-        open_.append((tag, main or tag in MAIN or 'role="main"' in mark[3], dropped or bad))
+            open_, main, dropped = [], False, 0
+        nested = nested or (tag == "article" and (by_name or dropped == 1))
+        open_.append((tag, main or own, max(0 if free and dropped == 1 else dropped, 2 * for_good, by_name)))
         main, dropped = open_[-1][1:]
     if not dropped and max(edge, raw_end) < len(html):
         text = html[max(edge, raw_end) :]
         parts.append(unescape(text) if "&" in text else text)
     flush()
-    return out
+    return out, nested
 
 
 def repeated_tokens(pages: list[list[str]], run: int = RUN_TOKENS, least: int = RUN_PAGES) -> list[np.ndarray]:

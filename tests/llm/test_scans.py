@@ -237,6 +237,35 @@ def test_html_keeps_what_only_mentions_hidden_or_closes_itself():
     assert texts('<p>a<script src="x"/> b</p>') == ["a b"] and texts('<p>a<iframe src=/x/>in</iframe> b</p>') == ["a b"]
 
 
+ARTICLE = "<p>The story.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<main class="site-main has-sidebar"><article>{ARTICLE}</article></main>',
+        f'<div class="layout no-sidebar"><article>{ARTICLE}</article></div>',
+        f'<article class="post category-social tag-search">{ARTICLE}</article>',
+        f'<div class="content-with-comments"><article>{ARTICLE}</article><div class="comment-list"><article class="comment">Me too</article></div></div>',
+        f'<article class="ad-hoc">{ARTICLE}</article>',
+        '<article><section id="search"><p>The story.</p></section></article>',
+        '<article><h2 id="related">The story.</h2><div id="related">More</div></article>',
+        f'<div class="content-sidebar-wrap sidebar"><main id="comments">{ARTICLE}</main><div class="sidebar">x</div></div>',
+        f'<div class="modal"><article>{ARTICLE}</article></div>',
+        f'<form id="page"><div role="main">{ARTICLE}<form>Name</form></div></form>',
+        f'<article class="widget">{ARTICLE}</article>',
+    ],
+)
+def test_html_names_never_drop_the_article(html):
+    noise = '<nav>Menu</nav><div class="cookie-banner">Cookies</div><div id="siteFooter">Foot</div><ul class="post__comments--open"><li>Hi</li></ul><p class="ad-slot-2">Buy</p><div class="related-posts">More</div><div class="main-nav">Go</div>'
+    assert [t for t, _ in html_extract.blocks(f"<html><body>{noise}{html}{noise}</body></html>")] == ["The story."]
+
+
+def test_html_zones_beside_an_article_still_go():
+    page = '<article><h1>Head</h1><p>Text</p><div id="comments"><article class="comment-body">Me</article></div><section id="comments">You</section><div class="share-buttons">Share</div></article><div class="sidebar"><article>Other</article></div><div class="header">Site</div>'
+    assert [t for t, _ in html_extract.blocks(page)] == ["Head", "Text"]
+
+
 GPL = """Copyright (C) 2020 Someone
 
 This program is free software: you can redistribute it and/or modify
