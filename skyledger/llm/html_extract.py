@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.base import map_batches, query, stored, table
+from skyledger.llm.decontamination import in_filter
 
 #: A run is long from so many tokens on, and boilerplate from so many distinct pages on.
 RUN_TOKENS, RUN_PAGES = 8, 3
@@ -34,6 +35,8 @@ BLOCK_CHARS = 1_000_000
 REMEMBERED, HANDED = 300_000, 100_000
 #: Pages of a cut host that are decided at a time.
 HELD_PAGES = 256
+#: Bits of the filter for runs of undeclared blocks; more such runs only let more of the others through.
+FILTER_BITS = 1 << 22
 #: Up to so many hosts' block numbers are sent to all tasks; more are joined by a shuffle.
 SMALL_HOSTS = 100_000
 
@@ -287,19 +290,21 @@ def main_texts(found: list[list[tuple[str, bool]]], host: str = "", common: np.n
                 removed += 1
                 continue
             kept.append(text)
-            repeated += int(own.sum())
+            if not declared:
+                repeated += int(own.sum())
         yield "\n".join(kept), repeated, removed
 
 
 def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``, ``n_repeated`` (kept tokens that recur
-    on the host) and ``n_removed`` (blocks that went as boilerplate).
+    """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``, ``n_repeated`` (kept tokens of
+    undeclared blocks that recur on the host) and ``n_removed`` (blocks that went as boilerplate).
 
     Null and empty html gives an empty text. A null or odd url is the host of the empty name. Repeated
     rows have a row each. Other columns of ``pages`` are left behind. Pages are cut before they are dealt,
     so what is shuffled is their packed text blocks. A host of more than ``block_chars`` is dealt into blocks
     by the hash of the content; each block counts its runs, the counts are summed over the host, and the keys
-    of the runs that recur go back to the blocks that hold them.
+    of the runs that recur go back to the blocks that hold them. Only runs that touch an undeclared block
+    decide anything, so a fixed-size filter of these keeps the others out of the counts.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
@@ -347,22 +352,64 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             yield done(held, at, common if common_at == at[0] else none)
 
     def done(rows, at, common):
-        found = list(main_texts([json.loads(zlib.decompress(r[2]).decode("utf-8", "surrogatepass")) for r in rows], at[1], common if at[3] else None))
+        found = list(main_texts([unpacked(r[2]) for r in rows], at[1], common if at[3] else None))
         return {"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "text": [f[0] for f in found], "n_chars": [len(f[0]) for f in found], "n_repeated": [f[1] for f in found], "n_removed": [f[2] for f in found]}
 
     rows = dealt.select("page_id", "url", "packed", "content", "block", "host", "part", "wide", "keys")
     return map_batches(rows, run, "page_id long, url string, text string, n_chars long, n_repeated long, n_removed long")
 
 
+def unpacked(packed: bytes) -> list[tuple[str, bool]]:
+    return json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+
+
+def undeclared_keys(page: list[tuple[str, bool]], host: int, hashes: TokenHashes, run: int = RUN_TOKENS) -> np.ndarray:
+    """The keys of the runs that touch an undeclared block of a page."""
+    tokens = [TOKEN.findall(text) for text, _ in page]
+    n = sum(map(len, tokens)) - run + 1
+    if n <= 0 or all(declared for _, declared in page):
+        return np.zeros(0, dtype=np.int64)
+    wanted, at = np.zeros(n, dtype=bool), 0
+    for (_, declared), block in zip(page, tokens, strict=True):
+        if not declared:
+            wanted[max(0, at - run + 1) : at + len(block)] = True
+        at += len(block)
+    return run_keys([t for block in tokens for t in block], host, hashes)[wanted]
+
+
+def run_filter(named: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, bytes]:
+    """Hosts with runs that touch an undeclared block, and a bit for each such run."""
+
+    def mark(batches):
+        hashes = TokenHashes()
+        for batch in batches:
+            for host, packed in zip(batch["host"], batch["packed"], strict=True):
+                slots = np.unique(undeclared_keys(unpacked(packed), hashes[host], hashes) % bits)
+                if len(slots):
+                    yield {"host": [host] * len(slots), "byte": slots >> 3, "mask": 1 << (slots & 7)}
+
+    marks = map_batches(named.select("host", "packed"), mark, "host string, byte long, mask long")
+    # at most bits / 8 rows a host, whatever its size
+    own = stored(marks.groupBy("host", "byte").agg(F.bit_or("mask").alias("mask")), "run-filter")
+    rows = own.groupBy("byte").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most bits / 8 rows
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    out[rows["byte"].to_numpy(dtype=int)] = rows["mask"].to_numpy(dtype=int)
+    return own.select("host").distinct(), out.tobytes()
+
+
 def common_runs(named: DataFrame, n: int) -> DataFrame:
-    """``block`` and ``keys``: for each block the keys of its runs that recur on the whole host.
+    """``block`` and ``keys``: for each block the keys of its runs that recur on the whole host, of those
+    that may touch an undeclared block on one of its pages.
 
     All copies of a content are in one block, so the blocks' numbers of distinct contents add up. A block has
     one row for each of its runs.
     """
+    hosts, bits = run_filter(named)
+    sent = named.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches):
         hashes, held = TokenHashes(), []
+        wanted = np.frombuffer(sent.value, dtype=np.uint8)
         at = last = None
 
         def counted():
@@ -377,13 +424,13 @@ def common_runs(named: DataFrame, n: int) -> DataFrame:
                         yield from counted()
                     held, at, last = [], (block, host, part), None
                 if content != last:
-                    tokens = [t for text, _ in json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass")) for t in TOKEN.findall(text)]
-                    held.append(np.unique(run_keys(tokens, hashes[host], hashes)))
+                    keys = run_keys([t for text, _ in unpacked(packed) for t in TOKEN.findall(text)], hashes[host], hashes)
+                    held.append(np.unique(keys[in_filter(wanted, keys)]))
                     last = content
         if held:
             yield from counted()
 
-    dealt = named.select("block", "host", "part", "content", "packed").repartition(n, "block").sortWithinPartitions("block", "host", "part", "content")
+    dealt = named.join(hosts, "host", "left_semi").select("block", "host", "part", "content", "packed").repartition(n, "block").sortWithinPartitions("block", "host", "part", "content")
     counts = map_batches(dealt, count, "key long, block long, c long")
     common = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).where(F.col("n") >= RUN_PAGES)
     return common.groupBy("block").agg(F.collect_list("key").alias("keys"))

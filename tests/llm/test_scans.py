@@ -222,6 +222,7 @@ def test_html_repetition_is_over_the_whole_host(spark):
     cut = sorted(tuple(r[c] for c in columns) for r in html_extract.extract(df, block_chars=500).collect())
     assert cut == whole
     assert not any("All rights" in r[2] for r in cut)
+    assert html_extract.run_filter(df.limit(0).selectExpr("url AS host", "cast(html AS binary) AS packed"))[0].count() == 0
     assert all(r[3] > 0 and r[5] == 0 for r in cut if r[0] >= 100)
 
 
@@ -266,6 +267,14 @@ def test_html_zones_beside_an_article_still_go():
     assert [t for t, _ in html_extract.blocks(page)] == ["Head", "Text"]
 
 
+def test_undeclared_keys_are_those_of_touching_runs():
+    page = [("a b c d e f g h i j", True), ("k l", False), ("m n o p q r s t u v w", True)]
+    hashes = html_extract.TokenHashes()
+    every = html_extract.run_keys(" ".join(t for t, _ in page).split(), 1, hashes)
+    assert html_extract.undeclared_keys(page, 1, hashes).tolist() == every[3:12].tolist()
+    assert html_extract.undeclared_keys(page[:1], 1, hashes).tolist() == html_extract.undeclared_keys([], 1, hashes).tolist() == []
+
+
 GPL = """Copyright (C) 2020 Someone
 
 This program is free software: you can redistribute it and/or modify
