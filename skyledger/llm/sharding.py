@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Groups of equal texts are hashed into a fixed number of cells, so what the driver places has a size
-that does not grow with the corpus. A group that alone outweighs a cell's fair share many times is
-split by document, so no group has to fit one shard. The placement goes from the heaviest item to the
+that does not grow with the corpus. A heavy group is an item of its own; only one larger than a shard's
+fair share, which no shard can hold, is split by document. The placement goes from the heaviest item to the
 lightest; each goes where the dot product of its vector with the shard's residual capacity is highest.
 """
 
@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from skyledger.llm.base import query, stored, table
 
 CELLS = 1 << 16
-#: A group is hot beyond this share of all bytes; at most 1 / HOT_SHARE groups can be.
-HOT_SHARE = 1 / 512
-#: Parts of a hot group.
-HOT_PARTS = 256
+#: A group beyond this share of all bytes, tokens or rows is placed apart from the cells; at most 3 / HEAVY_SHARE groups can be.
+HEAVY_SHARE = 1 / 512
+#: Parts of a group that is larger than a shard.
+PARTS = 256
 
 
-#: Importance of bytes, tokens and rows in the dot product; the law asks for bytes.
-IMPORTANCE = np.array([1.0, 0.25, 0.05])
+#: Importance of bytes, tokens and rows in the dot product; the law asks for bytes first.
+IMPORTANCE = np.array([1.0, 0.5, 0.5])
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -60,20 +60,20 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document with ``shard`` and ``slot``, under the law ``bytes`` (sizes near equal).
 
     Null texts count one byte and are a group like any other text. Repeated rows are equal texts and
-    stay together unless their group is hot. An empty table gives an empty one. Other columns of
+    stay together unless their group is larger than a shard's share of bytes, tokens or rows. An empty table gives an empty one. Other columns of
     ``docs`` are left behind.
     """
     rows = stored(measured(docs.select("doc_id", "text")), "shard-rows")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("rows")).first()
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size"))
-    # at most 1 / HOT_SHARE rows
-    hot = groups.where(F.col("size") > total["size"] * HOT_SHARE).select("h1", "h2").withColumn("hot", F.lit(True))
-    cell = F.pmod(F.xxhash64("h1", "h2"), F.lit(CELLS))
-    part = F.pmod(F.xxhash64("doc_id", "h1"), F.lit(HOT_PARTS))
-    hot_cell = CELLS + F.pmod(F.xxhash64("h2", "h1"), F.lit(1 << 20)) * HOT_PARTS + part
-    placed = rows.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("cell", F.when(F.col("hot"), hot_cell).otherwise(cell))
+    total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "n_tokens")], F.count("*").alias("rows")).first()
+    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows"))
+    beyond = lambda share: F.greatest(*[F.col(c) - F.lit(total[c] * share) for c in ("size", "n_tokens", "rows")]) > 0
+    # at most 3 / HEAVY_SHARE rows
+    heavy = groups.where(beyond(HEAVY_SHARE)).select("h1", "h2", F.row_number().over(Window.orderBy("h1", "h2")).alias("own"), beyond(1 / shards).alias("split"))
+    part = F.when(F.col("split"), F.pmod(F.xxhash64("doc_id", "h1"), F.lit(PARTS))).otherwise(0)
+    cell = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("h1", "h2"), F.lit(CELLS))).otherwise(CELLS + F.col("own").cast("long") * PARTS + part)
+    placed = rows.join(F.broadcast(heavy), ["h1", "h2"], "left").withColumn("cell", cell)
     sums = placed.groupBy("cell").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows"))
-    # at most CELLS + HOT_PARTS / HOT_SHARE rows of four numbers, whatever the corpus
+    # at most CELLS + 3 / HEAVY_SHARE + 3 * shards * PARTS rows of four numbers, whatever the corpus
     items = sums.orderBy("cell").toPandas()
     chosen = place(items[["size", "n_tokens", "rows"]].to_numpy(dtype=float), shards)
     spark = docs.sparkSession

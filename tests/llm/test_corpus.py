@@ -139,6 +139,29 @@ def test_hot_groups_are_split_and_others_stay_together(spark):
     assert all(len(s) == 1 for crc, s in by_text.items() if crc != zlib.crc32(b"the same text"))
 
 
+def test_groups_that_fit_a_shard_are_not_split(spark, sf):
+    docs = table(spark, sf, "documents")
+    assert docs.groupBy("text").count().where("count > 1").count() > 0
+    assert sharding.shard(docs).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+    text = "word " * 500
+    rows = [(i, f"{text} {i // 40:02d}") for i in range(640)]  # 16 groups that fill a shard each
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("text_crc32").alias("g")).collect()
+    assert [(r["n"], r["g"]) for r in out] == [(40, 1)] * 16
+
+
+def test_placement_matches_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        vectors = rng.integers(1, 100, (30, 3)).astype(float)
+        share = [sum(v[d] for v in vectors.tolist()) / 4 for d in range(3)]
+        free, want = [[1.0] * 3 for _ in range(4)], {}
+        for i in sorted(range(30), key=lambda i: -max(vectors[i][d] / share[d] * sharding.IMPORTANCE[d] ** 0.5 for d in range(3))):
+            gain = [sum(free[s][d] * vectors[i][d] / share[d] * sharding.IMPORTANCE[d] for d in range(3)) for s in range(4)]
+            want[i] = max(range(4), key=lambda s: gain[s])
+            free[want[i]] = [free[want[i]][d] - vectors[i][d] / share[d] for d in range(3)]
+        assert sharding.place(vectors, 4).tolist() == [want[i] for i in range(30)]
+
+
 def test_signatures_estimate_similarity_and_step_order_is_free():
     rng = np.random.default_rng(0)
     for n in (1, 2, 9, 80, 900):
