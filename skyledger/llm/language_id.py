@@ -20,8 +20,6 @@ from skyledger.llm.base import fold, map_batches, query, table, texts
 PROFILE = 300
 #: About so many labelled documents of each language are learned from.
 SAMPLE_PER_LANGUAGE = 600
-#: The most frequent labels are languages; the bound keeps profiles small enough for every task.
-MAX_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -56,15 +54,12 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, size: in
     """Profiles from ``text`` and non-null ``lang`` of labelled documents.
 
     Fitted on about ``per_language`` documents of each label, chosen by the hash of their id; all
-    documents of a label that has fewer. Whole texts are counted.
+    documents of a label that has fewer. Whole texts are counted. Every label is a language.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return {}
     steps = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, per_language / r["count"]) * steps))])
-    wanted = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(steps)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
+    wanted = labelled.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(steps)) < F.floor(F.col("share") * steps))
 
     def count(batches):
         total = defaultdict(int)
@@ -85,25 +80,31 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, size: in
 
 
 class Profiles:
-    """Learned profiles as one matrix: a row of ranks for each language."""
+    """Learned profiles by n-gram: the languages that have it and its rank in each."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE):
         self.size = size
         self.langs = sorted(profiles)
-        self.grams = np.array(sorted({g for p in profiles.values() for g in p}), dtype=np.int64)
-        self.ranks = np.full((len(self.langs), len(self.grams) + 1), -1, dtype=np.int64)
-        for i, lang in enumerate(self.langs):
-            self.ranks[i, np.searchsorted(self.grams, profiles[lang])] = np.arange(len(profiles[lang]))
+        lengths = [len(profiles[lang]) for lang in self.langs]
+        grams = np.array([g for lang in self.langs for g in profiles[lang]], dtype=np.int64)
+        order = np.argsort(grams, kind="stable")
+        self.lang = np.repeat(np.arange(len(self.langs)), lengths)[order]
+        self.rank = np.concatenate([np.zeros(0, dtype=np.int64), *map(np.arange, lengths)])[order]
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams))
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language least out of place and 1 minus its distance as a share of the largest."""
         own = ranked(text, self.size)
         if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.grams, own)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
-        ranks = self.ranks[:, at]
-        distance = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        known = np.nonzero(self.grams[at] == own)[0]
+        first, n = self.first[at[known]], self.first[at[known] + 1] - self.first[at[known]]
+        entries = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # an n-gram that a profile has is that much nearer than one it lacks
+        nearer = self.size - np.abs(self.rank[entries] - np.repeat(known, n))
+        distance = self.size * len(own) - np.bincount(self.lang[entries], weights=nearer, minlength=len(self.langs)).astype(np.int64)
         best = int(np.argmin(distance))
         return self.langs[best], float(1 - distance[best] / (self.size * len(own)))
 

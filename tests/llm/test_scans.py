@@ -84,6 +84,13 @@ def test_language_matches_brute_force_and_is_right_on_the_held_out_fold(spark, s
     assert docs.where(fold(4) == 2).count() == len(held)
 
 
+def test_every_label_is_a_language(spark):
+    rows = [(i, chr(0x4E00 + i) * 3 + " word", f"l{i:03d}") for i in range(300)]
+    profiles = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = language_id.Profiles(profiles)
+    assert len(profiles) == 300 and all(known.predict(text)[0] == lang for _, text, lang in rows)
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     out = {r["doc_id"]: r for r in language_id.identify(odd_docs, language_id.learn(language_id.training(odd_docs))).collect()}
     assert {out[i]["lang_pred"] for i in (1, 2, 3, 9)} == {"und"} and out[1]["score"] == 0.0
