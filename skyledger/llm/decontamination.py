@@ -113,7 +113,8 @@ def contained(docs: DataFrame, items: DataFrame, size: int = SIZE, percent: int
         return rows.limit(0).selectExpr("doc_id", "cast(0 as bigint) AS item_id", "cast(0 as bigint) AS n_item", "cast(0 as bigint) AS n_shared")
     found = stored(hits(rows.select("row", "text"), bit_filter(own.where("signed")), bit_filter(own), lengths), "hits")
     candidates = found.join(own.where("signed").select("shingle", "item_id"), "shingle").select("row", "item_id").distinct()
-    shared = found.join(own.select("shingle", "item_id", "n"), "shingle").join(candidates, ["row", "item_id"])
+    # a candidate's item first: by shingle alone, a phrase of many items and documents would meet in all pairs
+    shared = candidates.join(own.select("shingle", "item_id", "n"), "item_id").join(found, ["row", "shingle"])
     counted = shared.groupBy("row", "item_id").agg(F.max("n").alias("n_item"), F.count("*").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     first = F.substring_index("row", ":", 1)
     return counted.select(F.when(F.instr("row", ":") > 0, first).cast("long").alias("doc_id"), "item_id", "n_item", "n_shared")
