@@ -1,8 +1,9 @@
 """Secret scans: character Markov models of random strings and of ordinary identifiers.
 
-Fixed patterns find the base secrets. Beside them every long unbroken token is scored by the log
-likelihood ratio of two first-order Markov chains over characters, one trained on random strings
-(values of base secrets and seeded ones), one on ordinary words of the corpus.
+Fixed patterns find the base secrets. Beside them every long unbroken token is judged by the log
+likelihood ratio of two first-order Markov chains over characters alone, one trained on random strings
+(values of base secrets and seeded ones), one on ordinary words of the corpus and identifiers made of
+them. The least ratio depends on the length: all but a fixed share of held-out random strings exceed it.
 """
 
 from __future__ import annotations
@@ -33,9 +34,14 @@ SAMPLE_DOCS = 4000
 SAMPLE_STRINGS = 20000
 #: Seeded random strings, so that the random model knows alphabets that the sample lacks.
 SEEDED = 3000
-#: Least log likelihood ratio per character, length, and changes between letters and digits of a token.
-LEAST_RATIO, LEAST_LENGTH, LEAST_CHANGES = 0.3, 20, 3
-CHANGE = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+#: Identifiers made of ordinary words, and rulers of one character, so that the ordinary model knows joints.
+SEEDED_NAMES, SEEDED_RULERS = 12000, 40
+#: Characters that a token needs, and the share of random strings of a length that may be missed.
+LEAST_LENGTH, MISSED = 20, 0.004
+#: Lengths whose least ratio is measured, on so many held-out strings of each kind; others lie between.
+LENGTHS, HELD_OUT = (20, 22, 24, 28, 32, 40, 48, 64, 96), 2000
+#: Alphabets of random strings.
+KINDS_OF_RANDOM = (string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -61,8 +67,21 @@ def chain(strings: list[str]) -> np.ndarray:
 def seeded(n: int = SEEDED) -> list[str]:
     """Labelled random strings: hexadecimal, base 62 and base 64, from a fixed seed."""
     rng = random.Random(1)
-    kinds = (string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits)
-    return ["".join(rng.choices(kinds[i % len(kinds)], k=32)) for i in range(n)]
+    return ["".join(rng.choices(KINDS_OF_RANDOM[i % len(KINDS_OF_RANDOM)], k=32)) for i in range(n)]
+
+
+def seeded_names(words: list[str], n: int = SEEDED_NAMES) -> list[str]:
+    """Labelled identifiers: snake, kebab, path, camel and constant names of ordinary words, some with a number, and rulers."""
+    rng = random.Random(2)
+    plain = [w for w in words if w.isalpha()] or ["name"]
+    out = []
+    for i in range(n):
+        own = [w[:9].lower() for w in rng.choices(plain, k=rng.randint(2, 5))]
+        style = i % 5
+        name = "".join(w.capitalize() for w in own) if style == 3 else "_-/_"[style % 4].join(own)
+        name = name.upper() if style == 4 else name
+        out.append(name + rng.choice(("", "", "_", "-", "/")) + rng.choice(("", "", f"{rng.randint(0, 99):02d}", f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}")))
+    return out + [c * 40 for c in "-=_+/" for _ in range(SEEDED_RULERS)]
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -98,29 +117,44 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     for kind in (True, False):  # bounded: SAMPLE_STRINGS of each, the first by hash
         own = labelled.where(F.col("random") == kind).orderBy(F.xxhash64("string"), "string").limit(SAMPLE_STRINGS)
         chosen.append([r["string"] for r in own.collect()])
-    return chain(chosen[0] + seeded()) - chain(chosen[1])
+    return chain(chosen[0] + seeded()) - chain(chosen[1] + seeded_names(chosen[1]))
+
+
+def least_ratios(ratio: np.ndarray) -> np.ndarray:
+    """For each of ``LENGTHS`` the ratio that all but a share of ``MISSED`` of held-out strings of every kind exceed."""
+    rng = np.random.default_rng(3)
+    out = []
+    for length in LENGTHS:
+        means = []
+        for kind in KINDS_OF_RANDOM:
+            at = np.array([INDEX[c] for c in kind])[rng.integers(0, len(kind), (HELD_OUT, length))]
+            before = np.concatenate((np.zeros((HELD_OUT, 1), dtype=np.int64), at[:, :-1] + 1), axis=1)
+            means.append(np.quantile(ratio[before, at].mean(axis=1), MISSED))
+        out.append(min(means))
+    return np.array(out)
 
 
 def scorer(ratio: np.ndarray):
-    """The ratio per character of a token, by a table lookup for each transition."""
+    """How far the ratio per character of a token is above the least one of its length."""
     rows = {c: dict(zip(ALPHABET, ratio[i], strict=True)) for c, i in [("", 0), *[(c, i + 1) for c, i in INDEX.items()]]}
+    least = least_ratios(ratio)
 
     def score(token: str) -> float:
-        return sum(rows[a][b] for a, b in zip(["", *token], token, strict=False)) / len(token)
+        return sum(rows[a][b] for a, b in zip(["", *token], token, strict=False)) / len(token) - float(np.interp(len(token), LENGTHS, least))
 
     return score
 
 
 def model_spans(text: str, spans: list[tuple[int, int, str]], score) -> list[tuple[int, int, str]]:
-    """Long tokens apart from all base spans, of mixed letters and digits, that look random."""
+    """Long tokens apart from all base spans that look random."""
     out = []
     for run in LONG_RUN.finditer(text):
         token = run[0]
-        if len(token) < LEAST_LENGTH or token.isalpha() or len(CHANGE.findall(token)) < LEAST_CHANGES:
+        if len(token) < LEAST_LENGTH:
             continue
         if any(start < run.end() and run.start() < end for start, end, _ in spans):
             continue
-        if score(token) >= LEAST_RATIO:
+        if score(token) >= 0:
             out.append((run.start(), run.end(), "model"))
     return out
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import pytest
@@ -55,6 +56,24 @@ def test_model_finds_random_tokens_and_leaves_words(spark, sf):
     assert secret_scan.model_spans(plain, [], score) == []
 
 
+def test_model_misses_few_random_tokens_of_any_length_and_leaves_names(spark, sf):
+    score = secret_scan.scorer(secret_scan.train(table(spark, sf, "documents")))
+    rng = random.Random(6)
+    letters = string.ascii_letters
+    for alphabet in (letters, letters + string.digits, letters + string.digits + "+/", string.digits + "abcdef", string.ascii_uppercase + string.digits):
+        for length in (20, 24, 32, 57):
+            tokens = ["".join(rng.choices(alphabet, k=length)) for _ in range(1500)]
+            assert sum(not secret_scan.model_spans(f"see {token} here", [], score) for token in tokens) <= 20, (alphabet, length)
+    words = list({w for r in table(spark, sf, "documents").select("text").collect() for w in re.findall(r"[A-Za-z]{4,}", r["text"] or "")})
+    rng.shuffle(words)
+    names = [n for n in secret_scan.seeded_names(words[:3000], 3000) if len(n) >= 20]
+    assert sum(bool(secret_scan.model_spans(n, [], score)) for n in names) <= len(names) // 500
+    plain = ["src/main/java/com/example/Service", "getUserAccountByIdentifier", "MAXIMUM_CONNECTION_TIMEOUT_MS", "-" * 30, "=" * 80, "0" * 40, "a" * 24, "+--------+--------+------+", "550e8400-e29b-41d4-a716-446655440000"]
+    assert [p for p in plain if secret_scan.model_spans(p, [], score)] == []
+    long = "x " * 300_000 + "".join(rng.choices(letters + string.digits, k=40))
+    assert secret_scan.model_spans(long, [], score) == [(600_000, 600_040, "model")]
+
+
 def test_redaction_masks_spans_and_keeps_rows(spark, odd_docs):
     docs = odd_docs.unionByName(spark.createDataFrame([(50, SECRETS)], "doc_id long, text string"), allowMissingColumns=True)
     out = secret_scan.redact(spark, docs, "")
