@@ -59,7 +59,8 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, size: in
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     steps = 1 << 30
     sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
-    wanted = labelled.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(steps)) < F.floor(F.col("share") * steps))
+    # a row a label, where every task gets a profile a label: texts need not be shuffled to be sampled
+    wanted = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(steps)) < F.floor(F.col("share") * steps))
 
     def count(batches):
         total = defaultdict(int)
