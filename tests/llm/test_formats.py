@@ -169,6 +169,21 @@ def test_hard_negatives_of_few_and_repeated_rows(spark):
     assert negatives(spark, [], 10) == []
 
 
+def test_hard_negatives_count_rows_where_ids_repeat(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 60, [float(np.float32(x)) for x in rng.normal(size=4) + 1], int(rng.integers(0, 3))) for i in range(90)]
+    rows += rows[:40] + [(0, rows[0][1], 7)]
+    data = [(i, [int(np.floor(256 * x)) for x in v], label) for i, v, label in rows]
+    expected = []
+    for a, (anchor, v, label) in enumerate(data):
+        if anchor % 10 == 0:
+            dots = sorted((-sum(x * y for x, y in zip(v, w)), i, other == label) for b, (i, w, other) in enumerate(data) if b != a)
+            for s, p, _ in [x for x in dots if x[2]][:5]:
+                fit = [(i, t) for t, i, same in dots if not same and 80 * -s <= 100 * -t <= 100 * -s][:5]
+                expected += [(anchor, p, k, i, -s, -t) for k, (i, t) in enumerate(fit, 1)]
+    assert negatives(spark, rows, 10) == sorted(expected)
+
+
 @pytest.mark.parametrize("d", [1, 5, 64, 70])
 def test_intervals_hold_and_filter(d):
     rng = np.random.default_rng(d)
