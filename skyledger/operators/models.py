@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyledger.functions.numeric import from_celsius, present, array_mean, array_std, to_celsius
+from skyledger.operators.boosting import bin_limits, fit_classifier, fit_regressor
 from skyledger.operators.expanding import arrow_rows, expanding_gaussian, solve
 from skyledger.operators.isotonic import apply_isotonic, fit_isotonic  # noqa: F401
 from skyledger.session import written
@@ -200,7 +201,10 @@ def polynomial(df: DataFrame, features: Sequence[str], scale: bool = False) -> t
 
 
 def fit_polynomial(df: DataFrame, features: Sequence[str], y: str, scale: bool = False) -> tuple[DataFrame, GaussianFit]:
-    """Second-degree Gaussian regression; the scaled form has a plain spread fit."""
+    """Second-degree Gaussian regression; the scaled form has a plain spread fit.
+
+    Scale, medians and both fits read ``df``, up to five times: a frame that costs more to make than to read is written first.
+    """
     wide, names = polynomial(df, features, scale)
     mean = fit_linear(wide, names, y)
     residual = F.abs(F.col(y) - mean.column())
@@ -401,9 +405,6 @@ def source_gate(
     only, the weight is the share of rows the fallback wins. ``weight_mode`` ``absolute_regret`` or ``fallback_regret`` weighs rows
     by the difference of the scores, held inside ``floor`` and ``cap`` and divided by its mean.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-
     regret = F.col("primary_crps") - F.col("fallback_crps")
     raw = {"absolute_regret": F.abs(regret), "fallback_regret": F.greatest(regret, F.lit(0.0))}.get(weight_mode)
     weight = F.lit(1.0) if raw is None else F.least(F.greatest(raw + floor, F.lit(floor)), F.lit(cap))
@@ -413,20 +414,8 @@ def source_gate(
     facts = rows.agg(F.count("*").alias("n"), F.avg("__label").alias("rate"), F.avg("__w").alias("w")).first()
     if facts["n"] < min_rows or facts["rate"] in (None, 0.0, 1.0):
         return target.withColumn("fallback_weight", F.lit(float(facts["rate"] or 0.0)))
-    ready = _assemble(rows, features).withColumn("__w", F.col("__w") / max(facts["w"], 1e-9))
-    gbt = GBTClassifier(featuresCol="__x", labelCol="__label", weightCol="__w", maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=42)
-    scored = gbt.fit(ready).transform(_assemble(target, features))
-    return scored.withColumn("fallback_weight", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
-
-
-def _boosted(target: str, max_iter: int, depth: int):
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="__p", maxIter=max_iter, maxDepth=depth, stepSize=0.1, subsamplingRate=0.9, seed=42)
-
-
-def _predict(model, df: DataFrame, into: str) -> DataFrame:
-    return model.transform(df).withColumnRenamed("__p", into)
+    ready = rows.withColumn("__w", F.col("__w") / max(facts["w"], 1e-9))
+    return fit_classifier(ready, features, "__label", "__w", max_iter, 3)(target, "fallback_weight")
 
 
 def out_of_fold(df: DataFrame, fits: dict, fold: str, ordinal: str) -> DataFrame:
@@ -454,19 +443,22 @@ def boosted_gaussian(df: DataFrame, features: Sequence[str], y: str, group: Sequ
     """Boosted mean and a boosted scale on clipped out-of-fold absolute residuals."""
     from skyledger.operators.folds import validation_folds
 
-    ready = written(_assemble(validation_folds(df, group, n_splits), features), "boosted")
+    # the groups' order and the folds read the rows too: one copy instead of two runs of what makes them
+    ready = written(validation_folds(written(df, "boosted-rows"), group, n_splits), "boosted")
+    limits = bin_limits(ready.where(F.col(y).isNotNull()), features)
 
     def fit(train: DataFrame):
-        model = _boosted(y, max_iter, depth).fit(train)
-        return lambda rows, into: _predict(model, rows, into)
+        return fit_regressor(train, features, y, max_iter, depth)
 
-    mean_model = fit(ready)
+    mean_model = fit_regressor(ready, features, y, max_iter, depth, limits)
     oof = out_of_fold(ready, {"__oof": fit}, "fold", "ordinal")
     residual = F.least(F.greatest(F.abs(F.col(y) - F.col("__oof")), F.lit(RESIDUAL_RANGE[0])), F.lit(RESIDUAL_RANGE[1]))
-    scale_model = _boosted("__r", max_iter, depth).fit(oof.withColumn("__r", residual))
-    scored = _predict(scale_model, mean_model(ready, "pred_mean"), "pred_std")
+    # a residual without a target is none: least and greatest pass over nulls
+    oof = oof.withColumn("__r", F.when(F.col(y).isNotNull(), residual))
+    scale_model = fit_regressor(oof, features, "__r", max_iter, depth, limits)
+    scored = scale_model(mean_model(ready, "pred_mean"), "pred_std")
     std = F.least(F.greatest(F.col("pred_std"), F.lit(RESIDUAL_RANGE[0])), F.lit(RESIDUAL_RANGE[1]))
-    return scored.withColumn("pred_std", std).drop("__x", "fold", "ordinal")
+    return scored.withColumn("pred_std", std).drop("fold", "ordinal")
 
 
 # --- back-test ----------------------------------------------------------------------------------

@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.operators.boosting import bin_limits, fit_regressor
 from skyledger.operators.expanding import ExpandingFits, degree_two_maps, expanding_gaussian
 from skyledger.operators.folds import validation_folds
-from skyledger.operators.models import RESIDUAL_RANGE, _assemble, _boosted, _predict, filled, fit_linear, fitted_medians
+from skyledger.operators.models import RESIDUAL_RANGE, _assemble, filled, fit_linear, fitted_medians
 from skyledger.session import written
 
 EXPERTS = ("blend", "leadtime", "tree")
@@ -32,14 +33,14 @@ def mean_of(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns) / len(columns)
 
 
-def tree_expert(train: DataFrame, y: str, max_iter: int) -> Callable[[DataFrame], DataFrame]:
+def tree_expert(train: DataFrame, features: Sequence[str], y: str, max_iter: int) -> Callable[[DataFrame], DataFrame]:
     """Boosted mean and boosted scale of a training part; the result adds ``mean_tree`` and ``scale_tree``."""
-    mean = _boosted(y, max_iter, 4).fit(train)
-    fitted = _predict(mean, train, "__m")
-    scale = _boosted("__r", max_iter, 4).fit(fitted.withColumn("__r", clipped(F.abs(F.col(y) - F.col("__m")))))
+    limits = bin_limits(train, features)
+    mean = fit_regressor(train, features, y, max_iter, 4, limits)
+    scale = fit_regressor(mean(train, "__m").withColumn("__r", clipped(F.abs(F.col(y) - F.col("__m")))), features, "__r", max_iter, 4, limits)
 
     def score(rows: DataFrame) -> DataFrame:
-        out = _predict(scale, _predict(mean, rows, "mean_tree"), "scale_tree")
+        out = scale(mean(rows, "mean_tree"), "scale_tree")
         return out.withColumn("scale_tree", clipped(F.col("scale_tree")))
 
     return score
@@ -78,7 +79,7 @@ def gate_weights(valid: DataFrame, rows: DataFrame, names: Sequence[str], y: str
     if facts["n"] < LEAST_GATE_ROWS or facts["low"] == facts["high"]:
         return rows.withColumns({f"weight_{e}": F.lit(float(i == int(facts["low"] or 0))) for i, e in enumerate(experts)})
     scored, _ = gate_inputs(rows, names, experts)
-    learned, scored = (_assemble(d.drop("__x"), columns) for d in (learned, scored))
+    learned, scored = (_assemble(d, columns) for d in (learned, scored))
     scaler = StandardScaler(inputCol="__x", outputCol="__z", withMean=True).fit(learned)
     gate = LogisticRegression(featuresCol="__z", labelCol="__best", maxIter=100, family="multinomial", regParam=1.0 / facts["n"])
     out = gate.fit(scaler.transform(learned)).transform(scaler.transform(scored)).withColumn("__g", vector_to_array("probability"))
@@ -114,7 +115,8 @@ def stacked_gaussian(
     experts = [e for e in EXPERTS if e in experts]
     names = list(dict.fromkeys([*features, *lead_features, *gate_features]))
     target = F.col(y).cast("double")
-    folded = validation_folds(df, group, n_splits)
+    # folds, facts, medians and the ordered copy all read the rows
+    folded = written(validation_folds(written(df, "stacked-rows"), group, n_splits), "stacked-folds")
     facts = folded.agg(
         F.count(target).alias("n"), F.avg(target).alias("mean"), F.stddev_pop(target).alias("std"),
         F.min(F.when(F.col("fold").isNotNull(), F.col("ordinal"))).alias("first"), F.max("fold").alias("last"),
@@ -132,7 +134,7 @@ def stacked_gaussian(
     ready = folded.withColumns({c: filled(n, medians) for n, c in column.items()} | {"__block": block})
     lead = [column[n] for n in lead_features]
     terms = {f"{a}x{b}": F.col(a) * F.col(b) for i, a in enumerate(lead) for b in lead[i:]}
-    ready = written(_assemble(ready.withColumns(terms).repartitionByRange("__block", "ordinal"), [column[n] for n in features]), "stacked")
+    ready = written(ready.withColumns(terms).repartitionByRange("__block", "ordinal"), "stacked")
     last = int(ready.agg(F.max("__block")).first()[0])
 
     fits = {}
@@ -145,9 +147,10 @@ def stacked_gaussian(
     scored = linear_scored(fits, ready.withColumn("__refit", F.lit(last)), "__refit")
     if "tree" in experts:
         seen = ready.where(target.isNotNull())
-        parts = [tree_expert(seen.where(F.col("__block") <= k), y, max_iter)(valid.where(F.col("fold") == k)) for k in range(int(facts["last"]) + 1)]
+        tree_features = [column[n] for n in features]
+        parts = [tree_expert(seen.where(F.col("__block") <= k), tree_features, y, max_iter)(valid.where(F.col("fold") == k)) for k in range(int(facts["last"]) + 1)]
         valid = reduce(DataFrame.unionByName, parts)
-        scored = tree_expert(seen, y, max_iter)(scored)
+        scored = tree_expert(seen, tree_features, y, max_iter)(scored)
     valid = written(valid.where(target.isNotNull()), "stacked-oof")
 
     means, scales = [F.col(f"mean_{e}") for e in experts], [F.col(f"scale_{e}") for e in experts]

@@ -346,9 +346,9 @@ def x14(spark, sf):
 )
 def x15f(spark, sf):
     """What holds of every boosted mean and scale: all rows scored, scales in range, better than the mean."""
-    p = roles.preds(spark, sf)
+    p = roles.preds(spark, sf).select("unit", "target_date", "mean", "std", "y")
     out = M.boosted_gaussian(p, ["mean", "std"], "y", ["target_date"])
-    mean = p.agg(F.avg("y").alias("m")).scalar()
+    mean = out.agg(F.avg("y").alias("m")).scalar()
     better = out.withColumn("__m", mean).agg((F.avg(F.abs(F.col("y") - F.col("pred_mean"))) < F.avg(F.abs(F.col("y") - F.col("__m")))).alias("b")).scalar()
     return out.groupBy("unit").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("pred_std").between(0.25, 12.0), 1)).alias("std_in_range"), F.count("pred_mean").alias("predicted")
@@ -358,7 +358,7 @@ def x15f(spark, sf):
 @query("x15_boosted_gaussian")
 def x15(spark, sf):
     """Boosted mean and scale with out-of-fold residuals."""
-    p = roles.preds(spark, sf)
+    p = roles.preds(spark, sf).select("model_name", "target_date", "mean", "std", "y")
     out = M.boosted_gaussian(p, ["mean", "std"], "y", ["target_date"])
     return S.point_scores(out, "pred_mean", "pred_std", "y", ["model_name"])
 
@@ -385,7 +385,8 @@ STACK_SQL = f"""WITH d AS (SELECT target_date, row_number() OVER (ORDER BY targe
 )
 def x16r(spark, sf):
     """Two ridge experts fitted for all folds at once, and a ridge on their out-of-fold means."""
-    out = G.stacked_gaussian(roles.preds(spark, sf), ["mean", "std"], ["mean"], "y", ["target_date"], experts=("blend", "leadtime"), combiner="linear_stacker")
+    p = roles.preds(spark, sf).select("city", "target_date", "mean", "std", "y")
+    out = G.stacked_gaussian(p, ["mean", "std"], ["mean"], "y", ["target_date"], experts=("blend", "leadtime"), combiner="linear_stacker")
     names = ("mean_blend", "mean_leadtime", "pred_mean", "pred_std")
     return rounded(out.groupBy("city").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in names]), *names)
 
@@ -393,7 +394,7 @@ def x16r(spark, sf):
 @query("x16_stacked_experts")
 def x16(spark, sf):
     """Stacked experts with a gate, and their diagnostics."""
-    p = roles.preds(spark, sf)
+    p = roles.preds(spark, sf).select("target_date", "mean", "std", "y")
     out = G.stacked_gaussian(p, ["mean", "std"], ["mean"], "y", ["target_date"])
     e = ["blend", "leadtime", "tree"]
     return S.expert_diagnostics(out, [f"mean_{x}" for x in e], [f"weight_{x}" for x in e], "y", [f"scale_{x}" for x in e])
