@@ -193,7 +193,8 @@ def x10(spark, sf):
 )
 def x10n(spark, sf):
     """Learned blend and neighbour ridge, scored by city."""
-    p = roles.preds(spark, sf).withColumn("nb", F.col("mean") + F.col("std")).withColumn("sp", F.col("std"))
+    p = written(roles.preds(spark, sf).select("city", "mean", "std", "y"), "neighbor-rows")
+    p = p.withColumn("nb", F.col("mean") + F.col("std")).withColumn("sp", F.col("std"))
     out = M.neighbor_ridge(p, ["mean"], "y", "nb", "sp")
     learned = M.blend(out.drop("pred_mean", "pred_std"), ["mean"], ["nb"], "y").groupBy("city").agg(F.avg("pred_mean").alias("blend_mean"))
     joined = out.groupBy("city").agg(F.avg("pred_mean").alias("ridge_mean"), F.avg("pred_std").alias("ridge_std")).join(learned, "city")
