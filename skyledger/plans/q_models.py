@@ -146,7 +146,7 @@ TERMS = ["mean", "std", "mean * mean", "mean * std", "std * std"]
 )
 def x08(spark, sf):
     """Second-degree regression, plain and with standardized inputs."""
-    p = roles.preds(spark, sf)
+    p = written(roles.preds(spark, sf).select("city", "mean", "std", "y"), "polynomial-rows")
     wide, plain = M.fit_polynomial(p, ["mean", "std"], "y")
     a = plain.score(wide).groupBy("city").agg(F.avg("pred_mean").alias("plain_mean"), F.avg("pred_std").alias("plain_std"))
     wide, scaled = M.fit_polynomial(p, ["mean", "std"], "y", scale=True)
