@@ -7,7 +7,8 @@ The text is its lower-cased words and one end. Two scores come out of one pass o
 * model: subword ids of the words in overlapping windows. A one-layer causal attention model gives the
   class of the next subword, the training counts of all documents give the subword within its class.
   A word's probability is half that of its subwords and, for words of the training documents, half its
-  unigram; words that tasks don't know get theirs in the same join. The attention weights are fitted on a bounded sample; the counts cover everything.
+  unigram; words that tasks don't know get theirs in the same join. Counts, classes and attention weights come from
+  all training documents: after a start on one part of them, every part is trained on by a task of its own, and the weights are averaged.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.base import fold, hash_sample, map_batches, query, stored, table, texts
+from skyledger.llm.base import fold, map_batches, query, stored, table, texts
 from skyledger.llm.packing import REMEMBERED, encoder
 
 #: Ids of the vocabulary, then one that ends a text and one that begins it.
@@ -31,8 +32,14 @@ END, BEGIN = VOCABULARY, VOCABULARY + 1
 #: A window's length, and how many of its last tokens it scores; the others are context.
 WINDOW, STRIDE = 48, 32
 WIDTH, HIDDEN, CLASSES = 16, 32, 64
-#: About so many documents train the attention weights, in so many steps of so many windows.
-SAMPLE_DOCS, STEPS, STEP_WINDOWS = 1500, 1200, 48
+#: The attention weights are trained in at least so many steps of so many windows; a small corpus is passed several times.
+STEPS, STEP_WINDOWS = 1200, 48
+#: About so many windows of the training documents are a part, which one task trains on.
+PART_WINDOWS = 1 << 16
+#: Highest rates of the first part's steps and of the steps from its weights on.
+RATE, LATER_RATE = 0.02, 0.004
+#: Ids that are put into classes by their neighbours, and how many of these count as neighbours.
+FREQUENT_IDS, NEIGHBOURS = 4000, 512
 #: So many of the most frequent words are sent to all tasks.
 FREQUENT_WORDS = 1 << 17
 #: Words that a task counts before it hands them on.
@@ -194,29 +201,37 @@ def spread(near: np.ndarray) -> np.ndarray:
     return np.where(lag >= 0, near[np.maximum(lag, 0)], np.float32(-1e9)).astype(np.float32)
 
 
-def classes_of(ids: np.ndarray, counts: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of ids by k-means on the leading components of what stands before and after them, and
-    the first WIDTH components as starting vectors.
+def frequent_ids(counts: np.ndarray) -> np.ndarray:
+    """The most frequent ids, the end apart."""
+    frequent = np.argsort(-counts[:VOCABULARY], kind="stable")[:FREQUENT_IDS]
+    return frequent[counts[frequent] > 0]
+
+
+def neighbour_places(ids: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Where each id's neighbours count in a table of frequent ids by what stands before and after them, row by row."""
+    place = np.full(VOCABULARY + 2, -1)
+    place[frequent] = np.arange(len(frequent))
+    before, after = place[ids[:-1]], place[ids[1:]]
+    left = (after >= 0) & (before >= 0) & (before < NEIGHBOURS)
+    right = (before >= 0) & (after >= 0) & (after < NEIGHBOURS)
+    wide = 2 * NEIGHBOURS
+    return np.concatenate((after[left] * wide + before[left], before[right] * wide + NEIGHBOURS + after[right]))
+
+
+def classes_of(neighbours: np.ndarray, counts: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of ids by k-means on the leading components of what stands before and after them (``neighbours``: a row
+    for each of ``frequent_ids``), and the first WIDTH components as starting vectors.
 
     Ids outside the most frequent ones are dealt into two classes; the end has a class of its own.
     """
     classes = np.where(np.arange(VOCABULARY + 1) % 2, CLASSES - 2, CLASSES - 3)
     classes[END] = CLASSES - 1
     vectors_of = (np.random.default_rng(seed).standard_normal((VOCABULARY + 2, WIDTH)) * 0.2).astype(np.float32)
-    frequent = np.argsort(-counts[:VOCABULARY], kind="stable")[:4000]
-    frequent = frequent[counts[frequent] > 0]
+    frequent = frequent_ids(counts)
     if len(frequent) <= CLASSES:
         classes[frequent] = np.arange(len(frequent)) % (CLASSES - 3)
         return classes, vectors_of
-    place = np.full(VOCABULARY + 2, -1)
-    place[frequent] = np.arange(len(frequent))
-    before, after = place[ids[:-1]], place[ids[1:]]
-    wide = 512
-    table_ = np.zeros((len(frequent), 2 * wide), dtype=np.float32)
-    left = (after >= 0) & (before >= 0) & (before < wide)
-    np.add.at(table_, (after[left], before[left]), 1)
-    right = (before >= 0) & (after >= 0) & (after < wide)
-    np.add.at(table_, (before[right], wide + after[right]), 1)
+    table_ = neighbours.astype(np.float32)
     table_ = np.sqrt(table_ / np.maximum(table_.sum(axis=1, keepdims=True), 1))
     values, vectors = np.linalg.eigh(table_.T @ table_)
     points = table_ @ vectors[:, -32:]
@@ -236,11 +251,10 @@ def classes_of(ids: np.ndarray, counts: np.ndarray, seed: int = 1) -> tuple[np.n
     return classes, vectors_of
 
 
-def fit(samples: list[np.ndarray], counts: np.ndarray, steps: int = STEPS, seed: int = 1) -> Model:
-    """A model of sampled id sequences and the id ``counts`` of the whole training corpus (numpy, Adam)."""
+def untrained(neighbours: np.ndarray, counts: np.ndarray, seed: int = 1) -> Model:
+    """The model before its first step, from neighbour counts and the id ``counts`` of the whole training corpus."""
     rng = np.random.default_rng(seed)
-    joined = np.concatenate([np.concatenate(([BEGIN], s)) for s in samples]) if samples else np.array([BEGIN, END])
-    classes, vectors_of = classes_of(joined, counts)
+    classes, vectors_of = classes_of(neighbours, counts)
     in_class = np.bincount(classes, weights=counts[: VOCABULARY + 1] + 1.0, minlength=CLASSES)
     inside = np.log((counts[: VOCABULARY + 1] + 1.0) / in_class[classes]).astype(np.float32)
     scale = lambda *s: (rng.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
@@ -249,25 +263,135 @@ def fit(samples: list[np.ndarray], counts: np.ndarray, steps: int = STEPS, seed:
     weights |= {"w1": scale(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, dtype=np.float32), "w2": scale(HIDDEN, WIDTH) * 0.5}
     start = np.log((in_class + 1) / (in_class + 1).sum()).astype(np.float32)
     weights |= {"c": scale(WIDTH, CLASSES) * 0.3, "bc": start, "near": (-0.05 * np.arange(WINDOW)).astype(np.float32)}
-    model = Model(weights, classes, inside)
-    if not samples:
-        return model
-    x, y, scored = (np.concatenate(m) for m in zip(*[windows(s) for s in samples], strict=True))
+    return Model(weights, classes, inside)
+
+
+def train(model: Model, ids: list[np.ndarray], steps: int, peak: float = RATE, seed: int = 1) -> np.ndarray:
+    """Train the weights in place on the windows of id sequences (numpy, Adam): the ids that are seen as inputs.
+
+    Steps go through all windows in random order, then through all again.
+    """
+    weights, rng = model.weights, np.random.default_rng(seed)
+    x, y, scored = (np.concatenate(m) for m in zip(*[[w.astype(np.int32) for w in windows(s)] for s in ids], strict=True))
     first = {n: np.zeros_like(w) for n, w in weights.items()}
     second = {n: np.zeros_like(w) for n, w in weights.items()}
+    order = np.zeros(0, dtype=np.int64)
     for step in range(1, steps + 1):
-        at = rng.integers(0, len(x), STEP_WINDOWS)
+        if not len(order):
+            order = rng.permutation(len(x))
+        at, order = order[:STEP_WINDOWS], order[STEP_WINDOWS:]
         _, grads = model.gradients(x[at], y[at], scored[at])
         rows = grads.pop("rows")
-        rate = 0.02 * min(1.0, step / 20) * (1 - step / (steps + 1)) + 1e-4
+        rate = peak * min(1.0, step / 20) * (1 - step / (steps + 1)) + peak / 200
         for name, g in grads.items():
             here = rows if name == "embed" else slice(None)
             m = first[name][here] = 0.9 * first[name][here] + 0.1 * g
             v = second[name][here] = 0.99 * second[name][here] + 0.01 * g * g
             weights[name][here] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return np.unique(x)
+
+
+def fit(samples: list[np.ndarray], counts: np.ndarray, steps: int = STEPS, seed: int = 1) -> Model:
+    """A model of id sequences and their id ``counts``, trained in this process."""
+    frequent = frequent_ids(counts)
+    joined = np.concatenate([np.concatenate(([BEGIN], s)) for s in samples]) if samples else np.array([BEGIN, END])
+    size = len(frequent) * 2 * NEIGHBOURS
+    model = untrained(np.bincount(neighbour_places(joined, frequent), minlength=size).reshape(len(frequent), -1), counts, seed)
+    if samples:
+        train(model, samples, steps, seed=seed)
     return model
 
 
+def corpus_ids(training: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, subword ``ids`` (16-bit numbers) of the whole text and its number of ``windows``."""
+
+    def run(batches):
+        words = WordIds(path)
+        for batch in batches:
+            found = [words.of(split(text))[0] for text in batch["text"]]
+            yield {"doc_id": batch["doc_id"], "ids": [f.astype(np.uint16).tobytes() for f in found], "windows": [-(-len(f) // STRIDE) for f in found]}
+
+    return map_batches(texts(training), run, "doc_id long, ids binary, windows long")
+
+
+def read_ids(own: bytes) -> np.ndarray:
+    return np.frombuffer(own, dtype=np.uint16).astype(np.int64)
+
+
+def corpus_neighbours(corpus: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Neighbour counts of the frequent ids over all of ``corpus_ids``; at most FREQUENT_IDS rows of 2 * NEIGHBOURS numbers."""
+    frequent = frequent_ids(counts)
+    size = len(frequent) * 2 * NEIGHBOURS
+
+    def count(batches):
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            joined = np.concatenate([np.concatenate(([BEGIN], read_ids(own))) for own in batch["ids"]])
+            np.add.at(total, neighbour_places(joined, frequent), 1)
+        seen = np.nonzero(total)[0]
+        for i in range(0, len(seen), HELD_WORDS):
+            yield {"place": seen[i : i + HELD_WORDS], "n": total[seen[i : i + HELD_WORDS]]}
+
+    rows = map_batches(corpus.select("ids"), count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, dtype=np.int64)
+    out[rows["place"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
+    return out.reshape(len(frequent), 2 * NEIGHBOURS)
+
+
+def trained(model: Model, dealt: DataFrame, steps: int, peak: float) -> Model:
+    """The model trained on from its weights on each part of ``dealt`` (``part``, ``ids``; a part in one task, in order), averaged.
+
+    A part takes as many steps as pass all its windows, at least ``steps``. Weights count by the parts' windows, an id's vector by
+    those that met the id.
+    """
+    sent = dealt.sparkSession.sparkContext.broadcast(model)
+
+    def one(part, ids):
+        own = Model({name: w.copy() for name, w in sent.value.weights.items()}, sent.value.classes, sent.value.inside)
+        n = sum(-(-len(i) // STRIDE) for i in ids)
+        met = train(own, ids, max(steps, -(-n // STEP_WINDOWS)), peak, part + 1)
+        for name, w in own.weights.items():
+            rows = met if name == "embed" else np.arange(len(np.atleast_2d(w)))
+            yield {"name": [name] * len(rows), "row": rows, "own": list(np.atleast_2d(w)[rows]), "n": [n] * len(rows)}
+
+    def run(batches):
+        part, held = None, []
+        for batch in batches:
+            for at, ids in zip(batch["part"], batch["ids"], strict=True):
+                if at != part and held:
+                    yield from one(part, held)
+                    held = []
+                part = at
+                held.append(read_ids(ids))
+        if held:
+            yield from one(part, held)
+
+    rows = map_batches(dealt.select("part", "ids"), run, "name string, row int, own array<float>, n long")
+    sums = [F.sum(F.get("own", F.lit(i)).cast("double") * F.col("n")) / F.sum("n") for i in range(max(WIDTH, HIDDEN, CLASSES, WINDOW))]
+    means = F.filter(F.array(*sums), lambda v: v.isNotNull()).cast("array<float>")
+    found = rows.groupBy("name", "row").agg(means.alias("mean")).toPandas()  # a row for each id and row of a weight
+    weights = {name: w.copy() for name, w in model.weights.items()}
+    for name, own in found.groupby("name"):
+        np.atleast_2d(weights[name])[own["row"].to_numpy()] = np.stack(own["mean"].to_list())
+    return Model(weights, model.classes, model.inside)
+
+
+def fit_corpus(training: DataFrame, counts: np.ndarray, path: str, steps: int = STEPS) -> Model:
+    """A model of all training documents. Parts depend on the rows alone, not on how they are stored."""
+    corpus = stored(corpus_ids(training, path), "ids")
+    model = untrained(corpus_neighbours(corpus, counts), counts)
+    n = corpus.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    parts = max(1, n // PART_WINDOWS)
+    part = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(parts)).cast("int").alias("part")
+    corpus = corpus.select(part, "doc_id", "ids")
+
+    def ordered(rows, tasks):
+        return rows.repartitionByRange(tasks, "part").sortWithinPartitions("part", "doc_id", "ids")
+
+    model = trained(model, ordered(corpus.where("part = 0"), 1), steps, RATE)
+    return model if parts == 1 else trained(model, ordered(corpus, parts), 0, LATER_RATE)
+
+
 def score_ids(model: Model, ids: list[np.ndarray]) -> list[np.ndarray]:
     """log10 probability of each id of each sequence; windows of all sequences are scored together."""
     out: list[np.ndarray] = []
@@ -336,7 +460,7 @@ def id_counts(vocabulary: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, training: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, path: str | None = None, steps: int = STEPS) -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Null and empty texts are one token, the end. Repeated rows have a row each. Without a training
@@ -359,15 +483,7 @@ def score(docs: DataFrame, training: DataFrame, path: str | None = None, sample_
     frequent = {bytes(word): c for word, c in zip(top["word"], top["c"].tolist(), strict=True)}
     n_docs = vocabulary.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
-    def sample_ids(batches):
-        ids = WordIds(path)
-        for batch in batches:
-            yield {"doc_id": batch["doc_id"], "ids": [ids.of(split(text))[0].astype(np.int32).tobytes() for text in batch["text"]]}
-
-    chosen = hash_sample(texts(training), "doc_id", sample_docs / max(n_docs, 1))
-    rows = map_batches(chosen, sample_ids, "doc_id long, ids binary").collect()  # about sample_docs rows
-    samples = [np.frombuffer(r["ids"], dtype=np.int32).astype(np.int64) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["ids"]))]
-    model = fit(samples, id_counts(vocabulary, path), steps)
+    model = fit_corpus(training, id_counts(vocabulary, path), path, steps)
     sent = spark.sparkContext.broadcast((model, {word: math.log10((c + 1) / whole) for word, c in frequent.items()}))
     end_log = math.log10((n_docs + 1) / whole)
 

@@ -322,6 +322,35 @@ def test_training_lowers_the_loss():
     assert np.allclose(near, lm_scoring.score_ids(fitted, [held[1], held[0]])[1], atol=1e-4)
 
 
+def test_all_training_documents_train_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_WINDOWS", 40)
+    path = lm_scoring.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(i, " ".join(f"word{(i * 7 + j) % 31}" for j in range(90))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    samples = [lm_scoring.read_ids(r["ids"]) for r in lm_scoring.corpus_ids(docs, path).collect()]
+    counts = np.bincount(np.concatenate(samples), minlength=lm_scoring.VOCABULARY + 1)
+    assert (lm_scoring.id_counts(lm_scoring.word_counts(docs), path) == counts).all()
+    frequent = lm_scoring.frequent_ids(counts)
+    joined = np.concatenate([np.concatenate(([lm_scoring.BEGIN], s)) for s in samples])
+    brute = np.bincount(lm_scoring.neighbour_places(joined, frequent), minlength=len(frequent) * 2 * lm_scoring.NEIGHBOURS)
+    assert (lm_scoring.corpus_neighbours(lm_scoring.corpus_ids(docs.repartition(5), path), counts).reshape(-1) == brute).all()
+    seen = []
+    trained = lm_scoring.trained
+
+    def noted(model, dealt, steps, peak):
+        seen.append(sorted((r["doc_id"], r["part"]) for r in dealt.collect()))
+        return trained(model, dealt, steps, peak)
+
+    monkeypatch.setattr(lm_scoring, "trained", noted)
+    one, other = (lm_scoring.fit_corpus(docs.repartition(n), counts, path, steps=30) for n in (1, 5))
+    assert [i for i, _ in seen[1]] == list(range(60)) and len({p for _, p in seen[1]}) > 5  # every document, in many parts
+    assert {p for _, p in seen[0]} == {0} and seen[:2] == seen[2:]
+    for name, w in one.weights.items():
+        assert np.allclose(w, other.weights[name], atol=1e-5), name
+    total = lambda m: sum(s.sum() for s in lm_scoring.score_ids(m, samples))
+    assert total(one) > total(lm_scoring.fit(samples, counts, steps=0))
+
+
 def test_base_scores_match_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT_WORDS", 300)  # most words take the join
     docs = table(spark, sf, "documents").unionByName(spark.createDataFrame([(7001, None), (7002, ""), (7003, "NEWWORD neverseen")], "doc_id long, text string"), allowMissingColumns=True)
