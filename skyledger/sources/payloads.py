@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.labels import found
+from skyledger.functions.numeric import let
 
 
 def tenths(raw: Column) -> Column:
@@ -183,13 +184,12 @@ def grouped_event(payload: Column, source_url: Column | None = None) -> Column:
     component (the description the other way round), the id at last to ``source_url``; empty texts count as missing.
     ``error`` is set where a component lacks a label, price or token, or the event a description.
     """
-    p = F.from_json(
+    parsed = F.from_json(
         payload,
         "struct<id:string,slug:string,title:string,negRiskMarketID:string,questionID:string,description:string,resolutionSource:string,"
         "markets:array<struct<groupItemTitle:string,question:string,outcomePrices:string,clobTokenIds:array<string>,description:string,"
         "questionID:string,conditionId:string,resolutionSource:string>>>",
     )
-    first = F.get(p["markets"], F.lit(0))
 
     def given(*values: Column) -> Column:
         return F.coalesce(*[F.when(v != "", v) for v in values])
@@ -203,26 +203,30 @@ def grouped_event(payload: Column, source_url: Column | None = None) -> Column:
             F.get(m["clobTokenIds"], F.lit(0)).alias("token_id"),
         )
 
-    parts = F.transform(p["markets"], component)
-    broken = F.exists(parts, lambda c: c["label"].isNull() | c["price"].isNull() | c["token_id"].isNull())
-    description = given(F.trim(given(first["description"], p["description"])))
-    url = F.lit(None).cast("string") if source_url is None else source_url
-    event_id = given(p["id"], p["slug"], first["questionID"], url)
-    error = (
-        F.when(F.coalesce(F.size(p["markets"]), F.lit(0)) <= 0, "missing_component_markets")
-        .when(broken, "malformed_component_market")
-        .when(description.isNull(), "missing_description")
-    )
-    return F.struct(
-        event_id.alias("id"),
-        F.trim(F.coalesce(p["slug"], F.lit(""))).alias("slug"),
-        F.trim(F.coalesce(p["title"], F.lit(""))).alias("question"),
-        given(p["negRiskMarketID"], p["questionID"], first["questionID"], first["conditionId"], event_id).alias("condition_id"),
-        description.alias("description"),
-        F.coalesce(given(first["resolutionSource"], p["resolutionSource"]), F.lit("")).alias("resolution_source"),
-        parts.alias("outcomes"),
-        error.alias("error"),
-    )
+    def market(p: Column, parts: Column) -> Column:
+        first = F.get(p["markets"], F.lit(0))
+        broken = F.exists(parts, lambda c: c["label"].isNull() | c["price"].isNull() | c["token_id"].isNull())
+        description = given(F.trim(given(first["description"], p["description"])))
+        url = F.lit(None).cast("string") if source_url is None else source_url
+        event_id = given(p["id"], p["slug"], first["questionID"], url)
+        error = (
+            F.when(F.coalesce(F.size(p["markets"]), F.lit(0)) <= 0, "missing_component_markets")
+            .when(broken, "malformed_component_market")
+            .when(description.isNull(), "missing_description")
+        )
+        return F.struct(
+            event_id.alias("id"),
+            F.trim(F.coalesce(p["slug"], F.lit(""))).alias("slug"),
+            F.trim(F.coalesce(p["title"], F.lit(""))).alias("question"),
+            given(p["negRiskMarketID"], p["questionID"], first["questionID"], first["conditionId"], event_id).alias("condition_id"),
+            description.alias("description"),
+            F.coalesce(given(first["resolutionSource"], p["resolutionSource"]), F.lit("")).alias("resolution_source"),
+            parts.alias("outcomes"),
+            error.alias("error"),
+        )
+
+    # parsed once and its components made once, however many fields of the result are read
+    return let(parsed, lambda p: let(F.transform(p["markets"], component), lambda parts: market(p, parts)))
 
 
 def book_payload(payload: Column, depth: int = 5) -> Column:
