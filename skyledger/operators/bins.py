@@ -6,13 +6,19 @@ normalizing run inside the row and shuffle nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skyledger.functions.numeric import MIN_STD, array_sum, let, normal_cdf_array
+from skyledger.operators.asof import ordered_join
+from skyledger.operators.quantiles import value_slice
+from skyledger.session import written
 
 FAR = 999.0
 
@@ -255,9 +261,10 @@ def boundary_distance(bins: Column, value: Column) -> Column:
 def range_join_bins(values: DataFrame, bins: DataFrame, keys: list[str], value: str, half: float = 0.5) -> DataFrame:
     """Table form: bins are rows (keys, ordinal, label, lower, upper).
 
-    Distinct values of a market meet its bins in an equi-join with the range as a
-    filter, the first matching ordinal wins, and the answer is joined back by market
-    and value. So a market with very many rows is looked up once per value.
+    Values never meet the bins one by one. A market's axis is cut at the borders of its bins; a bin
+    covers a stretch of pieces, which is at most two blocks of 2^k pieces for each k, and a piece lies in
+    one block for each k. So the first matching ordinal of a piece comes from an equi-join of logarithmic size. The last border at
+    or before a distinct value is its piece, and the answer is joined back by market and value.
     """
     b = bins.select(
         *keys,
@@ -266,7 +273,27 @@ def range_join_bins(values: DataFrame, bins: DataFrame, keys: list[str], value:
         F.coalesce(F.col("lower") - half, F.lit(float("-inf"))).alias("__lo"),
         F.coalesce(F.col("upper") + half, F.lit(float("inf"))).alias("__hi"),
     )
-    wanted = values.select(*keys, F.col(value).alias("__v")).distinct()
-    hit = wanted.join(b, keys).where((F.col("__v") >= F.col("__lo")) & (F.col("__v") < F.col("__hi")))
-    first = hit.groupBy(*keys, "__v").agg(F.min_by("winning_label", "ordinal").alias("winning_label"))
-    return values.withColumn("__v", F.col(value)).join(first, [*keys, "__v"], "left").drop("__v")
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    first = [F.min_by("winning_label", "ordinal").alias("winning_label"), F.min("ordinal").alias("ordinal")]
+    b = b.where(known & (F.col("__lo") < F.col("__hi"))).groupBy(*keys, "__lo", "__hi").agg(*first)
+    b = written(b.where(F.col("ordinal").isNotNull()), "range-bins")
+    borders = b.select(*keys, F.explode(F.array("__lo", "__hi")).alias("__at")).distinct()
+    borders = written(borders.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("__at")) - 1), "range-borders")
+    placed = b.join(borders.select(*keys, F.col("__at").alias("__lo"), F.col("__i").alias("__from")), [*keys, "__lo"])
+    placed = placed.join(borders.select(*keys, F.col("__at").alias("__hi"), F.col("__i").alias("__to")), [*keys, "__hi"])
+    placed = placed.withColumn("__k", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("__to") - F.col("__from"))).cast("int"))))
+    low, high = F.expr("shiftright(__from + shiftleft(1, __k) - 1, __k)"), F.expr("shiftright(__to, __k)")
+    ends = F.array(F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1))
+    blocks = placed.withColumn("__block", F.explode(F.array_distinct(ends))).where(F.col("__block").isNotNull())
+    blocks = blocks.groupBy(*keys, "__k", "__block").agg(*first)
+    last = borders.groupBy(*keys).agg(F.max("__i").alias("__last"))
+    depth = F.floor(F.log2(F.greatest("__last", F.lit(1)))).cast("int")
+    pieces = borders.join(last, keys).withColumn("__k", F.explode(F.sequence(F.lit(0), depth))).withColumn("__block", F.expr("shiftright(__i, __k)"))
+    pieces = pieces.join(blocks, [*keys, "__k", "__block"], "left").groupBy(*keys, "__at").agg(*first)
+    pieces = pieces.select(*keys, F.col("__at").alias("__start"), "winning_label")
+    wanted = values.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col(value).isNotNull() & known).distinct()
+    near = lambda at: value_slice(F.greatest(F.least(at, F.lit(1e300)), F.lit(-1e300)), 64)
+    hit = ordered_join(wanted, pieces, keys, F.col("__v"), F.col("__start"), near, ["winning_label"], position_as="__piece")
+    first = hit.where(F.col("winning_label").isNotNull()).select(*keys, "__v", "winning_label")
+    values = values.withColumn("__v", F.col(value).cast("double"))
+    return values.join(first, [*keys, "__v"], "left").drop("__v")
