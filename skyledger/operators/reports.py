@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyledger.operators.quantiles import grouped_quantiles, many_quantiles, null_safe_join
+from skyledger.session import written
 
 # Reasons that make a row a near miss, and those blamed on the spread.
 NEAR_MISS_REASONS = (
@@ -464,7 +465,9 @@ def trade_summary(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def trade_report(trades: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
     """Rich trade summary with the exact median edge for every level and group."""
-    rows = leveled(trades, levels)
+    # read by the summary and by each pass of the median, so what makes the trades runs once
+    used = dict.fromkeys(["realized_pnl", "price", "edge", "price_age_seconds", *[c for cols in levels.values() for c in cols]])
+    rows = leveled(written(trades.select(*used), "report-trades"), levels)
     pnl = F.coalesce(F.col("realized_pnl"), F.lit(0.0))
     out = rows.groupBy("level", "grp").agg(
         F.count("*").alias("trades"),

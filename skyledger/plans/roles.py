@@ -144,10 +144,11 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     price = F.round(0.05 + F.col("l_discount") * 9, 2)
     winner = F.when(F.col("l_linestatus") == "F", "R").otherwise("A")
+    # the cities meet the orders, which are fewer and narrower than their lines
+    orders = table(spark, sf, "orders").join(cities(spark, sf), F.col("o_custkey") == F.col("c_custkey"), "left")
     return (
         table(spark, sf, "lineitem")
-        .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cities(spark, sf), F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("market_id"),
             F.col("l_linenumber").alias("line"),
