@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.operators import reports as R
+from skyledger.operators.asof import source_bytes
 from skyledger.plans import roles
 from skyledger.plans.q_reports import LEVELS, log_sql
 from skyledger.plans.registry import query
@@ -14,11 +15,16 @@ from skyledger.sources.tables import table, utc_timestamps
 from skyledger.streaming import jobs as J
 
 
+#: Bytes of the tables behind landed rows for each of their files; there are 4 at least.
+FILE_BYTES = 1 << 23
+
+
 def landed(spark, sf, rows):
-    """Rows landed as files of a folder, from where a stream reads them."""
+    """Rows landed as files of a folder, more of them from larger tables, from where a stream reads them in two batches."""
     path = scratch_path(spark, "landed")
-    rows.repartition(4).write.parquet(path)
-    return J.read_files(spark, path, rows.schema, files_per_batch=2)
+    half = max(2, source_bytes(rows) // (2 * FILE_BYTES))
+    rows.repartition(2 * half).write.parquet(path)
+    return J.read_files(spark, path, rows.schema, files_per_batch=half)
 
 
 def in_two_runs(spark, rows, second, run):
