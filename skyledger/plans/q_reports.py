@@ -8,6 +8,7 @@ from skyledger.operators import reports as R
 from skyledger.plans import roles
 from skyledger.plans.registry import query
 from skyledger.plans.roles import with_roles
+from skyledger.session import written
 from skyledger.sources.tables import table
 
 
@@ -868,7 +869,8 @@ def a28(spark, sf):
     """Errors per chronological fold of the distinct dates."""
     from skyledger.operators.folds import date_folds
 
-    p = date_folds(roles.preds(spark, sf), "target_date", 4)
+    # read for the dates, the errors, each pass of their quantiles and the spans
+    p = date_folds(written(roles.preds(spark, sf).select("target_date", "mean", "y"), "fold-rows"), "target_date", 4)
     err = R.error_summary(p, "mean", "y", ["fold"])
     span = p.groupBy("fold").agg(
         F.date_format(F.min("target_date"), "yyyy-MM-dd").alias("start_date"), F.date_format(F.max("target_date"), "yyyy-MM-dd").alias("end_date")
