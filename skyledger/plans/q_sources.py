@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyledger.operators.asof import source_bytes
 from skyledger.plans.registry import query
 from skyledger.session import scratch_path
 from skyledger.sources import files as S
@@ -12,6 +13,10 @@ from skyledger.sources.tables import read_table, replace_table, table
 from skyledger.sources.versions import read_current
 
 
+#: Bytes of a table whose payloads one task makes.
+FEED_BYTES = 1 << 23
+
+
 def day(c):
     return F.date_format(c, "yyyy-MM-dd")
 
@@ -102,10 +107,17 @@ def i08(spark, sf):
 )
 def i09(spark, sf):
     """Hourly station readings by local date, the sentinel dropped."""
-    li = table(spark, sf, "lineitem")
-    at = F.date_format(F.timestamp_seconds(F.unix_timestamp("l_shipdate") + F.col("l_linenumber") * 10800), "yyyy-MM-dd'T'HH:mm:ss")
-    tmp = F.when(F.col("l_quantity") < 49, F.concat(F.lit("+"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 4, "0"), F.lit(",1"))).otherwise("+9999,9")
-    feed = li.groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct(at.alias("DATE"), tmp.alias("TMP")))).alias("payload"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_quantity")
+    # as many tasks as the table is large, so that none gathers more payloads as it grows
+    li = li.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), source_bytes(li) // FEED_BYTES), "l_orderkey")
+
+    def reading(r):
+        at = F.date_format(F.timestamp_seconds(F.unix_timestamp(r["l_shipdate"]) + r["l_linenumber"] * 10800), "yyyy-MM-dd'T'HH:mm:ss")
+        tmp = F.when(r["l_quantity"] < 49, F.concat(F.lit("+"), F.lpad(r["l_quantity"].cast("int").cast("string"), 4, "0"), F.lit(",1"))).otherwise("+9999,9")
+        return F.struct(at.alias("DATE"), tmp.alias("TMP"))
+
+    rows = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_quantity")).alias("rows"))
+    feed = rows.select("l_orderkey", F.to_json(F.transform("rows", reading)).alias("payload"))
     out = P.station_day_values(feed, "payload", "Asia/Seoul")
     return out.groupBy("l_orderkey", day("local_date").alias("local_date")).agg(F.count("*").alias("n"), F.max("temperature").alias("daily_max"))
 
