@@ -217,10 +217,10 @@ ISO_SQL = f"""{PR_SQL.replace('pr AS (', 'pr AS MATERIALIZED (')}, {MASS_SQL},
 def x05(spark, sf):
     """Isotonic calibration per outcome label (in SQL by its max-min form), then scaled per decision."""
     bins = B.bin_array(BIN_ROWS)
-    p = numbered(roles.preds(spark, sf))
+    p = numbered(roles.preds(spark, sf).select("mean", "std", "y"))
     p = p.withColumn("probs", B.labeled(bins, B.normal_masses(bins, F.col("mean"), F.col("std")))).withColumn("winner", B.winning_label(bins, F.col("y")))
-    long = p.select("rid", "city", "winner", F.inline_outer("probs")).withColumn("hit", F.col("label") == F.col("winner"))
-    long = written(long.withColumn("prob", F.round("prob", 9)), "probabilities")
+    long = p.select("rid", "winner", F.inline_outer("probs")).withColumn("hit", F.col("label") == F.col("winner"))
+    long = written(long.select("rid", "label", F.round("prob", 9).alias("prob"), "hit"), "probabilities")
     blocks = M.fit_isotonic(long, "label", "prob", "hit", ["rid"])
     out = M.renormalize(M.apply_isotonic(long, blocks, "label", "prob"), ["rid"], "calibrated")
     return out.groupBy("label").agg(
@@ -409,7 +409,9 @@ BACK_SQL = """d AS (SELECT target_date, row_number() OVER (ORDER BY target_date)
 
 
 def backtest(spark, sf):
-    return M.rolling_backtest(roles.preds(spark, sf), ["mean"], "y", ["target_date"], 500, 1, 250)
+    # written once: the dates' order and the rows are read apart
+    rows = written(roles.preds(spark, sf).select("city", "decision_horizon", "target_date", "mean", "std", "y"), "backtest-rows")
+    return M.rolling_backtest(rows, ["mean"], "y", ["target_date"], 500, 1, 250)
 
 
 @query("x17_rolling_backtest", with_roles("preds", f"WITH {BACK_SQL} SELECT CAST(refit AS INT) AS refit, count(*) AS n, round(avg(pm), 6) AS pred_mean, round(avg(ps), 6) AS pred_std, round(avg(abs(y - pm)), 6) AS mae FROM t GROUP BY 1"))
