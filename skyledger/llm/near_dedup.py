@@ -5,7 +5,9 @@
 2. Nodes that share a band are candidates. A bucket never emits its pairs: one leader of a bucket meets
    its members, verified links merge components, and only buckets that still hold more than one
    component go on, with leaders from their smaller components. A leader that has met a bucket's members
-   leaves it, so the loop ends when every pair of a bucket is verified or lies in one component.
+   leaves it, so the loop ends when every pair of a bucket is verified or lies in one component. A leader
+   and a member meet as a row only where their sizes and parity sketches allow a link, and in their first
+   common bucket only.
 3. Links are confirmed on full shingle sets and merged by union-find: inside each task, then by
    large-star and small-star rounds over written tables.
 """
@@ -27,13 +29,17 @@ SHARED = 3
 CHUNK = 1 << 16
 #: Rounds in which each node meets one leader only; then a bucket has so many leaders, and so many times
 #: more in each later round.
-TIES, MORE_LEADERS = 2, 4
+TIES, MORE_LEADERS = 2, 16
+#: 64-bit words of a set's parity sketch.
+SKETCH = 16
 #: Components of so many nodes are compared with a node by their union first.
 LARGE = 16
 #: Up to so many bytes of leaders' sets are sent to all tasks.
 SMALL_SETS = 2_000_000
 #: Up to so many document ids are sent to all tasks; more are joined by a shuffle.
 SMALL_IDS = 100_000
+#: Up to so many edges that tasks have left are merged by one more task; more take star rounds.
+SMALL_EDGES = 100_000
 
 
 def superminhash(sets: list[np.ndarray], registers: int) -> np.ndarray:
@@ -83,6 +89,25 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """One bit for each cell of a set's elements: whether their number is odd.
+
+    Common elements cancel out in the difference of two sketches, so no more bits differ than elements do.
+    """
+    cells = (own >> np.uint64(32)) % np.uint64(64 * SKETCH)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
+def may_link(n: str, sketch: str, other_n: str, other_sketch: str, percent: int) -> str:
+    """A condition on sizes and sketches (arrays of SKETCH words) that every pair of at least ``percent`` / 100 meets.
+
+    Such a pair differs in at most (100 - percent) / (100 + percent) of the sum of its sizes.
+    """
+    differ = " + ".join(f"bit_count({sketch}[{i}] ^ {other_sketch}[{i}])" for i in range(SKETCH))
+    sizes = f"{n} * 100L >= {other_n} * {percent}L AND {other_n} * 100L >= {n} * {percent}L"
+    return f"{sizes} AND ({differ}) * {100 + percent}L <= ({n} + {other_n}) * {100 - percent}L"
+
+
 def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n_shingles``, ``node`` (digest of the set; null for none) and ``bands``."""
 
@@ -108,7 +133,7 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node``, its full ``shingles``, their number ``n`` and their distinct ``low`` 16 bits for the wanted (doc_id, node).
+    """``node``, its full ``shingles``, their number ``n``, distinct ``low`` 16 bits and ``sketch`` for the wanted (doc_id, node).
 
     The texts are read again.
     """
@@ -121,7 +146,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            out: dict = {"node": [], "shingles": [], "n": [], "low": []}
+            out: dict = {"node": [], "shingles": [], "n": [], "low": [], "sketch": []}
             for node, text in zip(batch["node"], batch["text"], strict=True):
                 own = shingles(words.of(text), size)
                 if digest(own) == node:  # a repeated id may have other texts
@@ -129,9 +154,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     out["shingles"].append(own.view(np.int64))
                     out["n"].append(len(own))
                     out["low"].append(np.unique(own.astype(np.uint16)).view(np.int16))
+                    out["sketch"].append(parity_sketch(own))
             yield out
 
-    sets = stored(map_batches(found, run, "node binary, shingles array<bigint>, n int, low array<smallint>"), "sets")
+    sets = stored(map_batches(found, run, "node binary, shingles array<bigint>, n int, low array<smallint>, sketch array<bigint>"), "sets")
     rows = sets.agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes")).first()
     # only repeated rows of an id give a set twice; otherwise no set moves here
     return sets if rows["n"] == rows["nodes"] else stored(sets.dropDuplicates(["node"]), "sets")
@@ -140,8 +166,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def star_forest(edges: DataFrame) -> DataFrame:
     """(``a``, ``b``) for every node that is not the smallest of its component: b is the smallest.
 
-    Tasks first shrink their own edges by union-find, then large-star and small-star rounds hang
-    neighbours on the smallest node until nothing changes.
+    Tasks first shrink their own edges by union-find; what is left of few edges is merged by one task the same way. More
+    of them take large-star and small-star rounds, which hang neighbours on the smallest node until nothing changes.
     """
 
     def shrink(batches):
@@ -166,6 +192,8 @@ def star_forest(edges: DataFrame) -> DataFrame:
             yield {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
 
     edges = stored(map_batches(edges.select("a", "b").where("a <> b"), shrink, "a binary, b binary"), "stars")
+    if edges.count() <= SMALL_EDGES:
+        return stored(map_batches(edges.repartition(1), shrink, "a binary, b binary"), "stars")
     seen = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
@@ -261,13 +289,17 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             minor = tagged.where("label <> main")
             close = within_union(stored(minor.select("node", "main").distinct(), "close"), labels, sets, percent)
             nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            # who leads anywhere leads in all its buckets, so that the buckets a pair shares can be counted
+            # who leads anywhere leads in all its buckets, so that a pair's first common bucket is one where they meet
             met = stored(minor.select("key", "node").withColumn("nth", nth).where(F.col("nth") <= leaders).select("node").distinct(), "picked")
-            marked = tagged.join(close.withColumn("close", F.lit(True)), ["node", "main"], "left").join(met.withColumn("leads", F.lit(True)), "node", "left")
-            chosen = marked.where("leads").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"), F.col("close").alias("leader_close"))
-            sharing = marked.join(chosen, "key").where("label <> leader_label AND (leads IS NULL OR node > leader) AND (label <> main OR leader_close) AND (leader_label <> main OR close)")
-            counted = sharing.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
-            pairs = counted.where(F.col("n") >= SHARED).select("a", "b")
+            # the buckets of a node before each of its own, at most all bands
+            before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+            marked = tagged.withColumn("before", before).join(sets.select("node", "n", "sketch"), "node").join(met.withColumn("leads", F.lit(True)), "node", "left")
+            marked = marked.join(close.withColumn("close", F.lit(True)), ["node", "main"], "left")
+            chosen = marked.where("leads").selectExpr("key", *[f"{c} AS leader_{c}" for c in ("node", "label", "close", "n", "sketch", "before")])
+            # a pair that one bucket's main component rules out is no link, so the first common bucket decides
+            apart = "label <> leader_label AND (leads IS NULL OR node > leader_node) AND (label <> main OR leader_close) AND (leader_label <> main OR close)"
+            meets = f"{apart} AND {may_link('n', 'sketch', 'leader_n', 'leader_sketch', percent)} AND NOT arrays_overlap(before, leader_before)"
+            pairs = marked.join(chosen, "key").where(meets).select(F.col("leader_node").alias("a"), F.col("node").alias("b"))
         links = stored(linked(pairs, sets, percent), "links")
         members = tagged.select("key", "node")
         if met is not None:

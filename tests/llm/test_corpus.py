@@ -227,6 +227,45 @@ def test_star_forest_joins_long_paths(spark):
     assert {(bytes(r["a"]), bytes(r["b"])) for r in out.collect()} == {(f"{i:03d}".encode(), b"000" if i <= 30 else b"031") for i in range(61) if i not in (0, 31)}
 
 
+def test_star_rounds_give_what_one_task_gives(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_EDGES", 0)
+    test_star_forest_joins_long_paths(spark)
+
+
+def changed(n, seed, edits):
+    """Copies of one text, each with other words at ``edits`` random places."""
+    rng = random.Random(seed)
+    base = words(150, seed).split()
+    return [" ".join(f"e{i}" + w if at in own else w for at, w in enumerate(base)) for i in range(n) for own in [set(rng.sample(range(150), edits))]]
+
+
+def test_sketches_lose_no_link_and_tell_most_others(spark):
+    hashes = WordHashes()
+    sets = [shingles(hashes.of(t), 4) for edits in (1, 2, 3, 4, 6) for t in changed(25, 3, edits)] + [shingles(hashes.of(words(n, 3)), 4) for n in (1, 150, 9000)]
+    sides = spark.createDataFrame([(i, len(s), near_dedup.parity_sketch(s).tolist()) for i, s in enumerate(sets)], "i int, n int, sketch array<bigint>")
+    other = sides.selectExpr("i AS j", "n AS other_n", "sketch AS other_sketch")
+    met = {(r["i"], r["j"]) for r in sides.join(other).where("i < j AND " + near_dedup.may_link("n", "sketch", "other_n", "other_sketch", 80)).collect()}
+    share = {(i, j): 1.0 * len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j)}
+    assert met >= {p for p, v in share.items() if v >= 0.8}
+    assert sum(v >= 0.8 for v in share.values()) > 500
+    assert not met & {p for p, v in share.items() if v < 0.7}
+
+
+def test_near_copies_without_links_are_no_pairs(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(changed(120, 5, 4) + changed(30, 5, 1))]
+    counts = []
+    linked = near_dedup.linked
+
+    def noted(pairs, sets, percent):
+        counts.append(pairs.distinct().count())
+        return linked(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "linked", noted)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows, 4, 80), key=repr)
+    assert sum(counts) < 1500  # of 11,175 pairs; 7,140 are of copies that are not linked
+
+
 def test_one_document_of_each_group_stays(spark, odd_docs):
     out = near_dedup.keep_first(spark, odd_docs, "")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
