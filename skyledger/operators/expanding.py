@@ -7,7 +7,8 @@ by windows, and solved refit by refit in Arrow tasks; no table of sums passes th
   0, of the gap marks and of their products, so that any median can be put in afterwards.
 - Running medians are order statistics of growing prefixes: values are cut into ever smaller ranges until the range that
   holds a wanted rank is small, then a weighted wavelet matrix answers all refits of a range together.
-- Absolute residuals have no such sums: each row meets each later refit, in blocks of rows and refits.
+- Absolute residuals have no such sums: each row meets each later refit, where it lies if there are few refits, in blocks of rows
+  and refits beyond that.
 
 Sums are taken around the overall means, so that large values lose no digits.
 """
@@ -301,19 +302,12 @@ def residual_sums(
 ) -> DataFrame:
     """``refit, pos, value``: weighted sums of absolute residuals times (1, features), over all rows a refit has learned from."""
     p = len(features)
-    salts = max(1, -(-n_rows // ROWS))
     last = (refits - 1) // REFITS
-    usable = rows.where(~missing(F.col(y).cast("double")) & (F.col(block) < refits))
-    left = usable.select(*needed(block, y, features, weight)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    left = left.withColumn("__chunk", F.explode(F.sequence((F.col(block) / REFITS).cast("int"), F.lit(last))))
-    right = fits.select("refit", "medians", "mean", F.floor(F.col("refit") / REFITS).cast("int").alias("__chunk"))
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("__salt", F.col("__salt").cast("long"))
+    usable = rows.where(~missing(F.col(y).cast("double")) & (F.col(block) < refits)).select(*needed(block, y, features, weight))
     schema = "refit int, pos int, value double"
 
-    def run(own: pa.Table, some: pa.Table) -> pa.Table:
-        if not own.num_rows or not some.num_rows:
-            return arrow_rows(schema, refit=[], pos=[], value=[])
-        z, blocks, w = design(own.combine_chunks().to_batches()[0], features, y, block, centre, weight)
+    def residuals(batch: pa.RecordBatch, some: pa.Table) -> np.ndarray:
+        z, blocks, w = design(batch, features, y, block, centre, weight)
         values, gaps, target = z[:, 1 : p + 1], z[:, p + 1 : -1], z[:, -1]
         refit = some["refit"].to_numpy()
         mean = np.array(some["mean"].to_pylist())
@@ -326,9 +320,37 @@ def residual_sums(
             off = (off if clip is None else np.clip(off, *clip)) * w[:, None]
             off[blocks[:, None] > refit[at]] = 0.0
             parts.append(np.column_stack([off.sum(axis=0), off.T @ values + (off.T @ gaps) * filled[at]]))
-        sums = np.concatenate(parts)
+        return np.concatenate(parts)
+
+    def by_place(some: pa.Table, sums: np.ndarray) -> pa.Table:
+        refit = some["refit"].to_numpy()
         return arrow_rows(schema, refit=np.repeat(refit, p + 1), pos=np.tile(np.arange(p + 1, dtype=np.int32), len(refit)), value=sums.ravel())
 
+    if last <= 0:  # at most REFITS fits: they go to all tasks, and no row moves
+        few = fits.select("refit", "medians", "mean").toArrow()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for i in range(0, batch.num_rows if few.num_rows else 0, ROWS):
+                    own = residuals(batch.slice(i, ROWS), few)
+                    total = own if total is None else total + own
+            if total is not None:
+                yield from by_place(few, total).to_batches()
+
+        return usable.mapInArrow(add, schema)
+
+    salts = max(1, -(-n_rows // ROWS))
+    left = usable.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    left = left.withColumn("__chunk", F.explode(F.sequence((F.col(block) / REFITS).cast("int"), F.lit(last))))
+    right = fits.select("refit", "medians", "mean", F.floor(F.col("refit") / REFITS).cast("int").alias("__chunk"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("__salt", F.col("__salt").cast("long"))
+
+    def run(own: pa.Table, some: pa.Table) -> pa.Table:
+        if not own.num_rows or not some.num_rows:
+            return arrow_rows(schema, refit=[], pos=[], value=[])
+        return by_place(some, residuals(own.combine_chunks().to_batches()[0], some))
+
     return left.groupBy("__chunk", "__salt").cogroup(right.groupBy("__chunk", "__salt")).applyInArrow(run, schema)
 
 

@@ -101,3 +101,25 @@ def test_weighted_clipped_expanding_fits(spark):
         a, b = ridge(x[t], y[t], w[t], 0.5)
         c, d = ridge(x[t, 1:], np.clip(np.abs(y[t] - a - x[t] @ b), 0.25, 3.0), w[t], 0.5)
         assert r["mean"] == pytest.approx([a, *b]) and r["spread"] == pytest.approx([c, 0.0, *d])
+
+
+def test_few_refits_meet_the_rows_where_they_lie(spark, monkeypatch):
+    x, y, w = data(200, 4)
+    rows = [(*map(float, r), float(t), float(v), i // 40) for i, (r, t, v) in enumerate(zip(x, y, w, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, w double, block int").repartition(6)
+    sums = E.residual_sums
+    plans, found = [], []
+
+    def noted(*args):
+        out = sums(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(E, "residual_sums", noted)
+    for refits in (512, 2):
+        monkeypatch.setattr(E, "REFITS", refits)
+        found.append([r["spread"] for r in E.expanding_gaussian(df, ["a", "b"], "y", "block", 0.5, "w", whole=True).table.orderBy("refit").collect()])
+    assert "FlatMapCoGroups" not in plans[0] and "FlatMapCoGroups" in plans[1]
+    assert len(found[0]) == 5
+    for few, many in zip(*found, strict=True):
+        assert few == pytest.approx(many)
