@@ -32,11 +32,9 @@ CHUNK = 1 << 16
 TIES, MORE_LEADERS = 2, 16
 #: 64-bit words of a set's parity sketch.
 SKETCH = 16
-#: Components of so many nodes are compared with a node by their union first.
-LARGE = 16
 #: Up to so many bytes of leaders' sets are sent to all tasks.
 SMALL_SETS = 2_000_000
-#: Up to so many document ids are sent to all tasks; more are joined by a shuffle.
+#: Up to so many document ids or pairs are sent to all tasks; more are joined by a shuffle.
 SMALL_IDS = 100_000
 #: Up to so many edges that tasks have left are merged by one more task; more take star rounds.
 SMALL_EDGES = 100_000
@@ -209,12 +207,15 @@ def star_forest(edges: DataFrame) -> DataFrame:
 
 
 def met_sets(pairs: DataFrame, sets: DataFrame, column: str, size: int) -> DataFrame:
-    """Pairs with the sets of both nodes, ``sa`` and ``sb``, elements of ``size`` bytes.
+    """Stored pairs with the sets of both nodes, ``sa`` and ``sb``, elements of ``size`` bytes.
 
-    ``a`` are the leaders: few, so their sets go to all tasks while they are small, and are joined by a
-    shuffle beyond that.
+    Up to SMALL_IDS pairs go to the sets, so that only sets of pairs move, once, to their leaders ``a``. Leaders are few: their
+    sets go to all tasks while they are small. Beyond that, both are joined by a shuffle.
     """
-    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col(column).alias("sa"))
+    leaders = pairs.select(F.col("a").alias("node")).distinct()
+    if pairs.count() <= SMALL_IDS:
+        pairs, leaders = F.broadcast(pairs), F.broadcast(leaders)
+    left = sets.join(leaders, "node", "left_semi").select(F.col("node").alias("a"), F.col(column).alias("sa"))
     if left.agg(F.coalesce(F.sum(F.size("sa")), F.lit(0))).first()[0] * size <= SMALL_SETS:
         left = F.broadcast(left)
     return pairs.join(sets.select(F.col("node").alias("b"), F.col(column).alias("sb")), "b").join(left, "a")
@@ -240,10 +241,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def still_mixed(tagged: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component; ``main`` is the label of the largest."""
-    parts = tagged.groupBy("key", "label").agg(F.count("*").alias("n"))
-    keys = parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("most")).where("k > 1")
-    return tagged.select("key", "node", "label").join(keys.select("key", F.col("most.label").alias("main")), "key")
+    """Rows of the buckets that hold more than one component."""
+    keys = tagged.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    return tagged.join(keys, "key", "left_semi")
 
 
 def still_shared(tagged: DataFrame) -> DataFrame:
@@ -252,33 +252,18 @@ def still_shared(tagged: DataFrame) -> DataFrame:
     return tagged.join(often, "node", "left_semi")
 
 
-def within_union(close: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (``node``, ``main``) that may hold a link, by what the node shares with the component's union.
-
-    A link to a member y needs percent / (100 + percent) of |x| + |y| in common, and no more than the
-    common part with the union of all members can be; y has at least the smallest member's size. Small
-    components are not worth their union and pass.
-    """
-    sizes = labels.join(close.select(F.col("main").alias("label")).distinct(), "label").join(sets, "node")
-    large = sizes.groupBy("label").agg(F.count("*").alias("k"), F.min("n").alias("least")).where(F.col("k") >= LARGE).select(F.col("label").alias("main"), "least")
-    union = sizes.select(F.col("label").alias("main"), F.explode("shingles").alias("s")).join(large.select("main"), "main", "left_semi").distinct()
-    own = close.join(large, "main").join(sets, "node")
-    common = own.select("node", "main", F.explode("shingles").alias("s")).join(union, ["main", "s"], "left_semi").groupBy("node", "main").agg(F.count("*").alias("common"))
-    near = own.select("node", "main", "least", "n").join(common, ["node", "main"])
-    near = near.where(F.col("common") * (100 + percent) >= percent * (F.col("n") + F.col("least"))).select("node", "main")
-    small = close.join(large.select("main"), "main", "left_anti").select("node", "main")
-    return near.union(small)
+def with_main(mixed: DataFrame) -> DataFrame:
+    """``main``: the label that most rows of the bucket have."""
+    parts = mixed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    return mixed.join(parts.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("main")), "key")
 
 
 def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(``node``, ``label``) of the nodes of ``members`` (``key``, ``node``); labels are equal in a component."""
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
+    tagged = members.select("key", "node", F.col("node").alias("label"))
     leaders, ties = MORE_LEADERS, TIES
-    while True:
-        tagged = stored(members.join(labels, "node").select("key", "node", "label"), "buckets")
-        tagged = stored(still_mixed(still_shared(still_mixed(tagged))), "mixed")
-        if tagged.isEmpty():
-            return labels
+    while not tagged.isEmpty():
         met = None
         if ties:  # cheap rounds: each node meets one leader, another in each round; most links merge here
             leader = F.min(F.struct(F.xxhash64("node", F.lit(ties)).alias("h"), "node", "label"))
@@ -286,18 +271,16 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             shared = tagged.join(first, "key").where("label <> la").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
             pairs = shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("most")).where(F.col("most.n") >= SHARED).select(F.col("most.a").alias("a"), "b")
         else:
+            tagged = with_main(tagged)
             minor = tagged.where("label <> main")
-            close = within_union(stored(minor.select("node", "main").distinct(), "close"), labels, sets, percent)
             nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
             # who leads anywhere leads in all its buckets, so that a pair's first common bucket is one where they meet
             met = stored(minor.select("key", "node").withColumn("nth", nth).where(F.col("nth") <= leaders).select("node").distinct(), "picked")
             # the buckets of a node before each of its own, at most all bands
             before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
             marked = tagged.withColumn("before", before).join(sets.select("node", "n", "sketch"), "node").join(met.withColumn("leads", F.lit(True)), "node", "left")
-            marked = marked.join(close.withColumn("close", F.lit(True)), ["node", "main"], "left")
-            chosen = marked.where("leads").selectExpr("key", *[f"{c} AS leader_{c}" for c in ("node", "label", "close", "n", "sketch", "before")])
-            # a pair that one bucket's main component rules out is no link, so the first common bucket decides
-            apart = "label <> leader_label AND (leads IS NULL OR node > leader_node) AND (label <> main OR leader_close) AND (leader_label <> main OR close)"
+            chosen = marked.where("leads").selectExpr("key", *[f"{c} AS leader_{c}" for c in ("node", "label", "n", "sketch", "before")])
+            apart = "label <> leader_label AND (leads IS NULL OR node > leader_node)"
             meets = f"{apart} AND {may_link('n', 'sketch', 'leader_n', 'leader_sketch', percent)} AND NOT arrays_overlap(before, leader_before)"
             pairs = marked.join(chosen, "key").where(meets).select(F.col("leader_node").alias("a"), F.col("node").alias("b"))
         links = stored(linked(pairs, sets, percent), "links")
@@ -311,6 +294,9 @@ def node_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             roots = star_forest(edges).toDF("label", "root")
             labels = stored(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
         ties = max(0, ties - 1)
+        tagged = stored(members.join(labels, "node").select("key", "node", "label"), "buckets")
+        tagged = stored(still_mixed(still_shared(stored(still_mixed(tagged), "mixed"))), "mixed")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -266,6 +266,32 @@ def test_near_copies_without_links_are_no_pairs(spark, monkeypatch):
     assert sum(counts) < 1500  # of 11,175 pairs; 7,140 are of copies that are not linked
 
 
+def test_few_pairs_go_to_the_sets_and_many_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_SETS", -1)
+    sets = near_dedup.stored(spark.createDataFrame([(bytes([i]), list(range(i, i + 9))) for i in range(40)], "node binary, shingles array<bigint>"), "sets")
+    pairs = near_dedup.stored(spark.createDataFrame([(bytes([i % 3]), bytes([i])) for i in range(3, 40)], "a binary, b binary"), "pairs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, moves in ((100, False), (0, True)):
+            monkeypatch.setattr(near_dedup, "SMALL_IDS", most)
+            met = near_dedup.met_sets(pairs, sets, "shingles", 8)
+            plan = met._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(b#" in plan) == moves and "hashpartitioning(a#" in plan
+            got = {(bytes(r["a"]), bytes(r["b"])): (r["sa"][0], r["sb"][0]) for r in met.collect()}
+            assert got == {(bytes([i % 3]), bytes([i])): (i % 3, i) for i in range(3, 40)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffled_sets_and_ids_give_what_sent_ones_give(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_IDS", 0)
+    monkeypatch.setattr(near_dedup, "SMALL_SETS", -1)
+    rows = [(i, t) for i, t in enumerate(chained(25, 4) + changed(30, 6, 4) + changed(12, 6, 1))]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows, 4, 80), key=repr)
+
+
 def test_one_document_of_each_group_stays(spark, odd_docs):
     out = near_dedup.keep_first(spark, odd_docs, "")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
