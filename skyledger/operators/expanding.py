@@ -78,7 +78,7 @@ def kth_smallest(values: np.ndarray, weights: np.ndarray, upto: np.ndarray, rank
     return distinct[found]
 
 
-ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 
 def arrow_rows(schema: str, **columns) -> pa.Table:

@@ -46,9 +46,12 @@ def global_ordinal(df: DataFrame, order: Sequence[str], into: str = "ordinal") -
 def group_ordinal(df: DataFrame, group: Sequence[str], into: str = "ordinal") -> DataFrame:
     """One row per group with its place by first appearance in canonical order.
 
-    Groups carry the least order key of their rows, a map-side aggregate.
+    Groups carry the least order key of their rows, a map-side aggregate. Where the order begins with the group's
+    own columns, these decide alone.
     """
     order = canonical_order(df)
+    if group and set(order[: len(group)]) == set(group):
+        return global_ordinal(df.select(*group).distinct(), order[: len(group)], into)
     first = df.groupBy(*group).agg(F.min(F.struct(*order)).alias("__first"))
     flat = first.select(*group, *[F.col(f"__first.{c}").alias(f"__o_{c}") for c in order])
     ranked = [f"__o_{c}" for c in order]
@@ -106,7 +109,8 @@ def validation_folds(df: DataFrame, group: Sequence[str], n_splits: int = 4, min
     tail_start = F.col("__n") - F.greatest(F.ceil(F.col("__n") * 0.2), F.lit(1))
     tail = F.when((tail_start > 0) & (F.col("ordinal") >= tail_start), F.lit(0))
     fold = F.when(first + size <= F.col("__n"), regular).otherwise(tail).cast("bigint")
-    marked = sized.withColumn("fold", fold).drop("__n")
+    # written: few groups then meet the rows where they lie
+    marked = written(sized.withColumn("fold", fold).drop("__n"), "folds")
     on = [df[g].eqNullSafe(marked[f"__g_{g}"]) for g in group]
     return df.join(marked, on).drop(*[f"__g_{g}" for g in group])
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from skyledger.functions.labels import safe_token
 from skyledger.functions.numeric import array_mean, array_std, present, to_celsius, with_gaussian_crps
 from skyledger.operators.features import sentinel_count
-from skyledger.operators.models import gated_mixture, source_gate
-from skyledger.session import written
+from skyledger.operators.models import gated_mixture, source_gates
+from skyledger.session import short_methods, written
 
 #: What a missing feature counts as: below every temperature, so that trees can tell it apart.
 MISSING = -1000.0
@@ -108,6 +108,8 @@ def source_gated(
 
     u = F.col(unit)
     number = lambda name: F.when(finite(F.col(name).cast("double")), F.col(name).cast("double"))
+    # the groups' order, the categories and the features read the rows: one copy instead of three runs of what makes them
+    df = written(df, "gate-rows")
     folded = validation_folds(df, group, n_splits) if group else df.withColumns({"fold": F.lit(None).cast("bigint"), "ordinal": F.lit(0)})
     known = [number(c).isNotNull() for c in (y, "primary_mean", "primary_std", "fallback_mean", "fallback_std")]
     rows = folded.withColumn("__valid", known[0] & known[1] & known[2] & known[3] & known[4])
@@ -123,14 +125,9 @@ def source_gated(
         rows = rows.withColumn(f"{s}_crps", F.when(F.col("__valid"), F.col(f"{s}_crps")))
     one_hot = {c: categories(rows.where("__valid"), c) for c in about.pop("one_hot", ())}
     ready, names = gate_features(rows, unit, sources, one_hot=one_hot, **about)
-    ready = written(ready, "gate")
+    with short_methods(df.sparkSession):
+        ready = written(ready.drop(*[c for c in rows.columns if c.startswith("__") and c not in df.columns]), "gate")
 
-    def scored(train: DataFrame, part: DataFrame, in_sample: bool) -> DataFrame:
-        return source_gate(train, names, margin, max_iter, weight_mode=weight_mode, score=part).withColumn("in_sample", F.lit(in_sample))
-
-    out = scored(ready, ready.where(F.col("fold").isNull()), True)
-    starts = ready.where(F.col("fold").isNotNull()).groupBy("fold").agg(F.min("ordinal").alias("start")).orderBy("fold").collect()
-    for r in starts:
-        out = out.unionByName(scored(ready.where(F.col("ordinal") < r["start"]), ready.where(F.col("fold") == r["fold"]), False))
+    out = source_gates(ready, names, "fold", "ordinal", margin, max_iter, weight_mode=weight_mode).withColumn("in_sample", F.col("fold").isNull())
     out = out.withColumn("fallback_weight", F.least(F.greatest("fallback_weight", F.lit(low)), F.lit(high)))
-    return gated_mixture(out, "fallback_weight", unit, min_std).drop(*names, "__valid", "__y", "__primarym", "__primarys", "__fallbackm", "__fallbacks", "fold", "ordinal")
+    return gated_mixture(out, "fallback_weight", unit, min_std).drop(*names, "fold", "ordinal")

@@ -22,6 +22,7 @@ from skyledger.functions.numeric import from_celsius, present, array_mean, array
 from skyledger.operators.boosting import bin_limits, fit_classifier, fit_regressor
 from skyledger.operators.expanding import arrow_rows, expanding_gaussian, solve
 from skyledger.operators.isotonic import apply_isotonic, fit_isotonic  # noqa: F401
+from skyledger.operators.nested import fit_nested
 from skyledger.session import written
 
 MIN_STD = 0.5
@@ -388,6 +389,15 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(df)
 
 
+def gate_rows(df: DataFrame, margin: float, weight_mode: str, floor: float, cap: float) -> DataFrame:
+    """Rows a gate learns from, with ``__label`` (the fallback scores better) and their weight ``__w``."""
+    regret = F.col("primary_crps") - F.col("fallback_crps")
+    raw = {"absolute_regret": F.abs(regret), "fallback_regret": F.greatest(regret, F.lit(0.0))}.get(weight_mode)
+    weight = F.lit(1.0) if raw is None else F.least(F.greatest(raw + floor, F.lit(floor)), F.lit(cap))
+    label = (F.col("fallback_crps") + margin < F.col("primary_crps")).cast("double")
+    return df.withColumns({"__label": label, "__w": weight}).where(F.col("__label").isNotNull())
+
+
 def source_gate(
     df: DataFrame,
     features: Sequence[str],
@@ -405,11 +415,7 @@ def source_gate(
     only, the weight is the share of rows the fallback wins. ``weight_mode`` ``absolute_regret`` or ``fallback_regret`` weighs rows
     by the difference of the scores, held inside ``floor`` and ``cap`` and divided by its mean.
     """
-    regret = F.col("primary_crps") - F.col("fallback_crps")
-    raw = {"absolute_regret": F.abs(regret), "fallback_regret": F.greatest(regret, F.lit(0.0))}.get(weight_mode)
-    weight = F.lit(1.0) if raw is None else F.least(F.greatest(raw + floor, F.lit(floor)), F.lit(cap))
-    label = (F.col("fallback_crps") + margin < F.col("primary_crps")).cast("double")
-    rows = df.withColumns({"__label": label, "__w": weight}).where(F.col("__label").isNotNull())
+    rows = gate_rows(df, margin, weight_mode, floor, cap)
     target = df if score is None else score
     facts = rows.agg(F.count("*").alias("n"), F.avg("__label").alias("rate"), F.avg("__w").alias("w")).first()
     if facts["n"] < min_rows or facts["rate"] in (None, 0.0, 1.0):
@@ -418,6 +424,46 @@ def source_gate(
     return fit_classifier(ready, features, "__label", "__w", max_iter, 3)(target, "fallback_weight")
 
 
+def source_gates(
+    df: DataFrame,
+    features: Sequence[str],
+    fold: str,
+    ordinal: str,
+    margin: float = 0.0,
+    max_iter: int = 20,
+    min_rows: int = 20,
+    weight_mode: str = "uniform",
+    floor: float = 0.05,
+    cap: float = 20.0,
+) -> DataFrame:
+    """Each validation fold scored by the ``source_gate`` of the groups before it, other rows by that of all rows; adds fallback_weight.
+
+    The gates' training rows are nested, so all gates are learned in common passes (``nested.fit_nested``) and the rows are scored
+    in one. ``df`` is read several times. One row a fold reaches the driver.
+    """
+    folds = df.where(F.col(fold).isNotNull()).groupBy(fold).agg(F.min(ordinal).alias("start")).orderBy(fold).collect()
+    # the gate of fold k learns from parts 0 to k, the last gate from all
+    part = reduce(lambda a, b: a + b, [(F.col(ordinal) >= r["start"]).cast("int") for r in folds], F.lit(0))
+    rows = gate_rows(df, margin, weight_mode, floor, cap).withColumn("__part", part)
+    facts = {r["__part"]: r for r in rows.groupBy("__part").agg(F.count("*").alias("n"), F.sum("__label").alias("won")).collect()}
+    gate, constant, learned = F.lit(len(folds)), F.lit(None).cast("double"), []
+    for k, r in enumerate(folds):
+        gate = F.when(F.col(fold) == r[fold], k).otherwise(gate)
+    for k in range(len(folds) + 1):
+        n, won = (sum(facts[p][x] for p in facts if p <= k) for x in ("n", "won"))
+        if n < min_rows or won in (0.0, n):
+            constant = F.when(gate == k, won / n if n else 0.0).otherwise(constant)
+        else:
+            learned.append(k)
+    if not learned:
+        return df.withColumn("fallback_weight", constant)
+    model = F.lit(None).cast("int")
+    for i, k in enumerate(learned):
+        model = F.when(gate == k, i).otherwise(model)
+    score = fit_nested(rows, features, "__label", "__w", "__part", learned, max_iter, 3)
+    return df.withColumn("__learned", score(model)).withColumn("fallback_weight", F.coalesce(constant, "__learned")).drop("__learned")
+
+
 def out_of_fold(df: DataFrame, fits: dict, fold: str, ordinal: str) -> DataFrame:
     """Add predictions for every validation fold by models fitted on earlier groups
     only; rows outside all folds take the models of all rows.

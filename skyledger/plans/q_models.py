@@ -16,7 +16,7 @@ from skyledger.plans.q_features import BIN_ROWS
 from skyledger.plans.q_scoring import CRPS_SQL, MASS_SQL, PR_SQL, WIN_SQL
 from skyledger.plans.registry import query
 from skyledger.plans.roles import with_roles
-from skyledger.session import written
+from skyledger.session import short_methods, written
 from skyledger.sources.tables import table
 
 
@@ -297,6 +297,7 @@ GATE_ABOUT = dict(lead_hours="line", target_date="target_date", one_hot=("decisi
 def gated(spark, sf):
     """Primary and fallback with two sources, one of them missing for a third of the rows."""
     p = paired(spark, sf).withColumns({"s1": F.col("mean") + 1, "s2": F.when(F.col("line") % 3 != 0, F.col("mean") * 0.95)})
+    p = p.drop("market_id", "country", "model_name", "mean", "std", "source_range")  # rows are written: without what is not used
     return A.source_gated(p, "y", "unit", {"one": "s1", "two": "s2"}, ["target_date"], low=0.05, high=0.95, weight_mode="fallback_regret", **GATE_ABOUT)
 
 
@@ -315,12 +316,19 @@ def x13f(spark, sf):
     between = F.col("pred_mean").between(low - 1e-9, high + 1e-9)
     g = N.with_gaussian_crps(g, "pred_mean", "pred_std", "y", "mixed")
     g = N.with_gaussian_crps(g, "primary_mean", "primary_std", "y", "primary")
-    whole = g.agg((F.avg("mixed") < F.avg("primary")).alias("better")).scalar()
-    return g.groupBy("city", "unit").agg(
+    scores = ("mixed", "primary")
+    # sums are written: all rows are scored once, for the groups and for the whole
+    groups = g.groupBy("city", "unit").agg(
+        *[f(s).alias(f"__{s}_{n}") for s in scores for n, f in (("sum", F.sum), ("n", F.count))],
         F.count("*").alias("n"), F.round(F.avg("primary_crps"), 6).alias("primary_crps"), F.round(F.avg("fallback_crps"), 6).alias("fallback_crps"),
         F.round(F.avg((F.col("fallback_crps") < F.col("primary_crps")).cast("int")), 6).alias("fallback_better"),
         F.count(F.when(F.col("fallback_weight").between(0.05, 0.95), 1)).alias("weight_in_range"), F.count(F.when(between, 1)).alias("mean_between"),
-    ).withColumn("better_than_primary", whole)
+    )
+    with short_methods(spark):
+        groups = written(groups, "gate-facts")
+    mixed, primary = (F.sum(f"__{s}_sum") / F.nullif(F.sum(f"__{s}_n"), F.lit(0)) for s in scores)
+    whole = groups.agg((mixed < primary).alias("better")).scalar()
+    return groups.drop(*[f"__{s}_{n}" for s in scores for n in ("sum", "n")]).withColumn("better_than_primary", whole)
 
 
 @query(
