@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.labels import safe_token
-from skyledger.functions.numeric import array_mean, array_std, present, to_celsius, with_gaussian_crps
+from skyledger.functions.numeric import to_celsius, with_gaussian_crps
 from skyledger.operators.features import sentinel_count
 from skyledger.operators.models import gated_mixture, source_gates
 from skyledger.session import short_methods, written
@@ -33,6 +33,18 @@ def categories(df: DataFrame, column: str) -> list[str]:
     return sorted(r[0] for r in df.select(value.alias("v")).where(F.trim("v") != "").distinct().collect())
 
 
+def source_moments(values: Sequence[Column]) -> tuple[Column, Column, Column]:
+    """Mean, standard deviation and range of the non-null values among several columns, as plain arithmetic: array functions with lambdas are interpreted."""
+    if not values:
+        return (F.lit(None).cast("double"),) * 3
+    total = lambda parts: sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
+    n = F.nullif(total([v.isNotNull().cast("double") for v in values]), F.lit(0.0))
+    gaps = [v - F.coalesce(*values) for v in values]  # equal values have none
+    off = total(gaps) / n
+    spread = F.greatest(*values) - F.least(*values) if len(values) > 1 else values[0] - values[0]
+    return total(values) / n, F.sqrt(total([(g - off) * (g - off) for g in gaps]) / n), spread
+
+
 def gate_features(
     df: DataFrame,
     unit: str,
@@ -55,7 +67,7 @@ def gate_features(
     ps, fs = to_celsius(number("primary_std"), u, scale=True), to_celsius(number("fallback_std"), u, scale=True)
     value = {s: to_celsius(number(c), u) for s, c in sources.items()}
     flag = {s: F.coalesce(F.col(availability[s]).cast("boolean"), F.lit(False)) if s in availability else value[s].isNotNull() for s in sources}
-    there = present(list(value.values())) if sources else F.array().cast("array<double>")
+    source_mean, source_std, source_range = source_moments(list(value.values()))
     lead = F.coalesce(number(lead_hours), F.lit(0.0)) if lead_hours else F.lit(0.0)
     day = F.coalesce(F.dayofyear(target_date), F.lit(1)) if target_date else F.lit(1)
     count = sum((f.cast("double") for f in flag.values()), F.lit(0.0))
@@ -67,8 +79,7 @@ def gate_features(
         "target_month": F.coalesce(F.month(target_date), F.lit(0)) if target_date else F.lit(0),
         "decision_hour": F.coalesce(F.hour(decision_time), F.lit(0)) if decision_time else F.lit(0),
         "sentinel_daily_max_count": sentinel_count(list(sources.values()), u) if sources else F.lit(0),
-        "source_mean_c": array_mean(there), "source_std_c": array_std(there, 0),
-        "source_range_c": F.array_max(there) - F.array_min(there),
+        "source_mean_c": source_mean, "source_std_c": source_std, "source_range_c": source_range,
         "available_source_count": count, "available_source_fraction": count / max(len(sources), 1),
     }
     for s in sources:

@@ -70,3 +70,13 @@ def test_all_gates_are_learned_without_a_fit_a_fold(spark, monkeypatch):
     out = A.source_gated(df, "y", "unit", {"one": "s1"}, ["target_date"], target_date="target_date").collect()
     assert len(out) == 200 and {r["in_sample"] for r in out} == {True, False}
     assert np.mean([(r["fallback_weight"] > 0.5) == (r["fallback_crps"] < r["primary_crps"]) for r in out]) > 0.9
+
+
+def test_moments_of_the_sources_there_are(spark):
+    values = [(21.3, 21.3, 21.3), (1.5, None, -4.25), (None, 7.0, None), (None, None, None), (3.1, 3.2, 3.4)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, a double, b double, c double").select("i", *A.source_moments([F.col(x) for x in "abc"])).orderBy("i").collect()
+    assert list(rows[0])[2:] == [0.0, 0.0] and list(rows[3])[1:] == [None] * 3
+    for r, v in zip(rows, values):
+        own = [x for x in v if x is not None]
+        assert not own or list(r)[1:] == pytest.approx([np.mean(own), np.std(own), max(own) - min(own)])
+    assert spark.range(1).select(*A.source_moments([])).first()[0] is None
